@@ -16,6 +16,12 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenkb.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenkb.llm.packing import pack
 
@@ -29,7 +35,7 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_exact_topk, op8_sum_of_squares_packing, op10_stratified_shards)}
+    return {f.__name__: f for f in (op4_exact_topk, op6_one_bit_ann, op8_sum_of_squares_packing, op10_stratified_shards)}
 
 
 TOPK_SQL = """
