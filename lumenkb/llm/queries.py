@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from lumenkb.session import table
 
 
+def op3_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenkb.llm.toxicity import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenkb.llm.topk import exact_top_k
 
@@ -35,7 +41,7 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_exact_topk, op6_one_bit_ann, op8_sum_of_squares_packing, op10_stratified_shards)}
+    return {f.__name__: f for f in (op3_deobfuscated_toxicity, op4_exact_topk, op6_one_bit_ann, op8_sum_of_squares_packing, op10_stratified_shards)}
 
 
 TOPK_SQL = """
