@@ -129,7 +129,7 @@ def restored(token: str, model: np.ndarray, known: dict[str, str]) -> str:
 
 def evidence(found: set[str]) -> set[str]:
     """Features of a document: its words, and what they begin with."""
-    return {w[:24] for w in found} | {w[:5] + "*" for w in found if len(w) > 5} | {w[:4] + "*" for w in found if len(w) > 4}
+    return {w[:24] for w in found} | {w[:5] + "*" for w in found if len(w) >= 5} | {w[:4] + "*" for w in found if len(w) >= 4}
 
 
 def strongest(found: set[str], weights: dict[str, float]) -> tuple[float, float]:
@@ -137,7 +137,7 @@ def strongest(found: set[str], weights: dict[str, float]) -> tuple[float, float]
     return (got[0] if got else 0.0), float(sum(got))
 
 
-def fit(documents: DataFrame, labels: DataFrame, model: np.ndarray, limit: int = 20_000, least_support: int = 3, features: int = 50_000) -> tuple[dict[str, float], np.ndarray]:
+def fit(documents: DataFrame, labels: DataFrame, model: np.ndarray, limit: int = 20_000, least_support: int = 4, features: int = 50_000) -> tuple[dict[str, float], np.ndarray]:
     """Evidence weights and logistic coefficients.
 
     Learns from at most about ``limit`` labelled rows, picked by a hash of doc_id; of them, only those with
