@@ -28,6 +28,13 @@ def op6_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenkb.llm.lines import dedup_lines
+
+    rows = dedup_lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.md5(F.encode("kept_text", "UTF-8")).alias("kept_md5"))
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenkb.llm.packing import pack
 
@@ -41,7 +48,7 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_deobfuscated_toxicity, op4_exact_topk, op6_one_bit_ann, op8_sum_of_squares_packing, op10_stratified_shards)}
+    return {f.__name__: f for f in (op3_deobfuscated_toxicity, op4_exact_topk, op6_one_bit_ann, op7_fuzzy_line_dedup, op8_sum_of_squares_packing, op10_stratified_shards)}
 
 
 TOPK_SQL = """
