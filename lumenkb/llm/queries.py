@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from lumenkb.session import table
 
 
+def op2_chosen_path_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenkb.llm.jaccard import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenkb.llm.toxicity import score
 
@@ -48,7 +54,7 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_deobfuscated_toxicity, op4_exact_topk, op6_one_bit_ann, op7_fuzzy_line_dedup, op8_sum_of_squares_packing, op10_stratified_shards)}
+    return {f.__name__: f for f in (op2_chosen_path_jaccard, op3_deobfuscated_toxicity, op4_exact_topk, op6_one_bit_ann, op7_fuzzy_line_dedup, op8_sum_of_squares_packing, op10_stratified_shards)}
 
 
 TOPK_SQL = """
