@@ -28,6 +28,19 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+#: The classes of the labels table as domains, and the share of tokens each is to have.
+DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low' ELSE 'high' END"
+MIXTURE = {"high": 0.93, "low": 0.06, "toxic": 0.01}
+
+
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenkb.llm.mixing import document_rates
+
+    rates = document_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.expr(DOMAIN), MIXTURE)
+    posterior = [F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(MIXTURE)]
+    return rates.select("doc_id", "tokens", *posterior, "rate")
+
+
 def op6_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenkb.llm.ann import nearest
 
@@ -54,7 +67,7 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chosen_path_jaccard, op3_deobfuscated_toxicity, op4_exact_topk, op6_one_bit_ann, op7_fuzzy_line_dedup, op8_sum_of_squares_packing, op10_stratified_shards)}
+    return {f.__name__: f for f in (op2_chosen_path_jaccard, op3_deobfuscated_toxicity, op4_exact_topk, op5_soft_mixing, op6_one_bit_ann, op7_fuzzy_line_dedup, op8_sum_of_squares_packing, op10_stratified_shards)}
 
 
 TOPK_SQL = """
