@@ -60,6 +60,12 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenkb.llm.suffix import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenkb.llm.sharding import interleave
 
@@ -67,7 +73,7 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chosen_path_jaccard, op3_deobfuscated_toxicity, op4_exact_topk, op5_soft_mixing, op6_one_bit_ann, op7_fuzzy_line_dedup, op8_sum_of_squares_packing, op10_stratified_shards)}
+    return {f.__name__: f for f in (op2_chosen_path_jaccard, op3_deobfuscated_toxicity, op4_exact_topk, op5_soft_mixing, op6_one_bit_ann, op7_fuzzy_line_dedup, op8_sum_of_squares_packing, op9_suffix_array_dedup, op10_stratified_shards)}
 
 
 TOPK_SQL = """
