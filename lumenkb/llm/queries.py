@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from lumenkb.session import table
 
 
+def op1_edit_aware_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits to each document: a replacement after a quarter, an insertion in the middle, a deletion after three quarters."""
+    from lumenkb.llm.tokencount import count_tokens
+
+    docs = table(spark, sf_dir, "documents")
+    n = F.length(F.coalesce("text", F.lit("")))
+    edit = lambda at, cut, new: F.struct(at.cast("long").alias("at"), F.lit(cut).cast("long").alias("cut"), F.lit(new).alias("new"))
+    edits = F.array(edit(F.floor(n / 4), 8, "[edited]"), edit(F.floor(n / 2), 0, " some new words "), edit(F.floor(3 * n / 4), 12, ""))
+    return count_tokens(docs.select("doc_id", "text", edits.alias("edits")))
+
+
 def op2_chosen_path_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenkb.llm.jaccard import jaccard_classes
 
@@ -73,7 +84,7 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chosen_path_jaccard, op3_deobfuscated_toxicity, op4_exact_topk, op5_soft_mixing, op6_one_bit_ann, op7_fuzzy_line_dedup, op8_sum_of_squares_packing, op9_suffix_array_dedup, op10_stratified_shards)}
+    return {f.__name__: f for f in (op1_edit_aware_tokens, op2_chosen_path_jaccard, op3_deobfuscated_toxicity, op4_exact_topk, op5_soft_mixing, op6_one_bit_ann, op7_fuzzy_line_dedup, op8_sum_of_squares_packing, op9_suffix_array_dedup, op10_stratified_shards)}
 
 
 TOPK_SQL = """
