@@ -177,7 +177,7 @@ def set_links(nodes: DataFrame, docs: DataFrame, similarity: float, recall: floa
 
 
 def jaccard_classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9999, slack: float = 0.3, leaf: int = 256, cap: int = 512, part_rows: int = 50_000) -> DataFrame:
-    """doc_id, class_id and n_links of each row of ``docs`` (doc_id, text; other columns are ignored).
+    """doc_id, class_id, n_links, class_key and text_key of each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Links join documents whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or more; classes
     are the connected groups, named by their smallest doc_id. n_links counts the other rows linked to a row, copies
@@ -196,11 +196,28 @@ def jaccard_classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.
     counted = links.groupBy("h1", "h2").agg(F.sum("links").alias("links"))
     grouped = nodes.select(at("h1", "h2").alias("node"), "h1", "h2", "low").join(roots, "node")
     lows = grouped.groupBy("root").agg(F.min("low").alias("class_low"))
-    named = grouped.join(lows, "root").select("h1", "h2", "class_low")
+    named = grouped.join(lows, "root").select("h1", "h2", "class_low", "root")
     about = nodes.select("h1", "h2", "copies", "low").join(counted, ["h1", "h2"], "left").join(named, ["h1", "h2"], "left")
-    out = sets.select("doc_id", "h1", "h2").join(about, ["h1", "h2"], "left")
+    out = sets.select("doc_id", "text_key", "h1", "h2").join(about, ["h1", "h2"], "left")
     return out.select(
         "doc_id",
         F.coalesce("class_low", "low", "doc_id").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
+        F.when(F.col("h1").isNotNull(), F.coalesce("root", at("h1", "h2"))).alias("class_key"),
+        "text_key",
     )
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` (any columns besides doc_id and text) one of each class: that of the smallest doc_id, null ones last.
+
+    Rows equal in doc_id and text are one. Rows without words all stay, but for such copies.
+    """
+    classes = jaccard_classes(docs, **options)
+    own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    first = classes.where(F.col("class_key").isNotNull()).groupBy("class_key").agg(F.min(own).alias("first")).select("first.doc_id", "first.text_key")
+    kept = first.union(classes.where(F.col("class_key").isNull()).select("doc_id", "text_key")).distinct()
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    rows = docs.withColumn("_text", F.expr(TEXT_KEY))
+    rows = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_text"]).drop("_text")

@@ -24,7 +24,7 @@ def op1_edit_aware_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chosen_path_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenkb.llm.jaccard import jaccard_classes
 
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
 def op3_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,10 +12,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,6 +198,39 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def scorer(documents: DataFrame, labels: DataFrame, limit: int = 20_000) -> Callable[[], Callable[[Iterable[str | None]], np.ndarray]]:
+    """What makes, in a task, a function from texts to their scores."""
+    ship_code(documents.sparkSession)
+    model = character_model(documents)
+    weights, w = fit(documents, labels, model, limit)
+    sc = documents.sparkSession.sparkContext
+    held, table = sc.broadcast(model), sc.broadcast(weights)  # both of bounded size
+
+    def start() -> Callable[[Iterable[str | None]], np.ndarray]:
+        known: dict[str, str] = {}
+
+        def score_all(texts: Iterable[str | None]) -> np.ndarray:
+            x = np.array([[1.0, *strongest(words(t or "", held.value, known), table.value)] for t in texts]).reshape(-1, 3)
+            return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+
+        return score_all
+
+    return start
+
+
+def clean(documents: DataFrame, labels: DataFrame, limit: int = 20_000, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``documents`` (any columns besides doc_id and text) that score below ``threshold``."""
+    probabilities = scorer(documents, labels, limit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score_all = probabilities()
+        for b in batches:
+            yield b.filter(pa.array(score_all(b.column(at).cast(pa.string()).to_pylist()) < threshold))
+
+    at = documents.columns.index("text")
+    return documents.mapInArrow(run, documents.schema)
+
+
 def score(documents: DataFrame, labels: DataFrame, limit: int = 20_000) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``documents`` (doc_id, text; other columns are ignored).
 
@@ -204,17 +238,12 @@ def score(documents: DataFrame, labels: DataFrame, limit: int = 20_000) -> DataF
     that repeat are scored alike; texts are read whole. Without toxic labels every score is the same low number; an
     empty table gives no rows. A null doc_id has a null held_out.
     """
-    ship_code(documents.sparkSession)
-    model = character_model(documents)
-    weights, w = fit(documents, labels, model, limit)
-    sc = documents.sparkSession.sparkContext
-    held, table = sc.broadcast(model), sc.broadcast(weights)  # both of bounded size
+    probabilities = scorer(documents, labels, limit)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, str] = {}
+        score_all = probabilities()
         for pdf in batches:
-            x = np.array([[1.0, *strongest(words(t or "", held.value, known), table.value)] for t in pdf["text"]]).reshape(-1, 3)
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            p = score_all(pdf["text"])
             yield pdf[["doc_id", "held_out"]].assign(score=p, predicted=(p >= 0.5).astype(np.int32))
 
     doc_id = F.col("doc_id").cast("long")
