@@ -1,21 +1,374 @@
-"""Every query of the engine by name, and its SQL for an independent check."""
+"""Every query of the engine by name; its SQL is in ``oracles``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lumenkb import oracles
+from lumenkb.functions import ranking as R
+from lumenkb.functions.text import estimate_tokens, tokens
+from lumenkb.operators import graph, guard, notes, search, sessions, sync
+from lumenkb.plans.views import NOW, page_links, pages
+from lumenkb.plans.views import notes as note_view
 from lumenkb.session import table
 
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+RULES = [
+    {"id": "R1", "kind": "forbidden", "pattern": "password", "severity": "deny", "file_pattern": "**/*.md"},
+    {"id": "R2", "kind": "forbidden", "pattern": r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]+", "severity": "warn", "file_pattern": None},
+    {"id": "R3", "kind": "must_contain", "pattern": "the", "severity": "warn", "file_pattern": "src1*/**"},
+]
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    _queries[f.__name__.rstrip("_")] = f
+    return f
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of the benchmark items' ids."""
+    return vectors(spark, sf_dir).join(F.broadcast(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))), "doc_id").select(F.col("doc_id").alias("query_id"), "v")
+
+
+def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.unix_timestamp(F.date_trunc("second", "ts")).alias("ts"))
+    return sessions.access_counts(e, ["user_id", "event_type"])
+
+
+def graph_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, path, title, level, status of each page."""
+    p = pages(spark, sf_dir).drop("html")
+    level = F.element_at(F.array(*[F.lit(x) for x in ("L0Ephemeral", "L1Resource", "L2Log", "L3Evergreen")]), (F.col("id") % 4 + 1).cast("int"))
+    return p.withColumn("level", level).withColumn("status", F.when(F.col("id") % 10 == 9, "superseded").otherwise("active"))
+
+
+def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.resolve_links(pages(spark, sf_dir), page_links(spark, sf_dir))
+
+
+def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges(resolved(spark, sf_dir))
+
+
+@query
+def estimate_tokens_(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query
+def lifecycle_status(spark, sf_dir):
+    n = note_view(spark, sf_dir)
+    tags = F.when(F.col("doc_id") % 11 == 0, F.array(F.lit("#status/archived"))).otherwise(F.array().cast("array<string>"))
+    return n.select("doc_id", notes.lifecycle(F.when(F.col("status") != "active", F.initcap("status")), F.when(F.col("doc_id") % 13 == 0, "x"), tags, F.col("body")).alias("status"))
+
+
+@query
+def hierarchy_classify(spark, sf_dir):
+    folder = F.element_at(F.array(*map(F.lit, ["Daily/x", "docs", "projects/Logs", "cards", "misc", "logs/wiki"])), (F.col("doc_id") % 6 + 1).cast("int"))
+    path = F.when(F.col("doc_id") % 7 == 0, F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).otherwise(F.concat_ws("/", folder, F.concat(F.col("doc_id").cast("string"), F.lit(".md"))))
+    return table(spark, sf_dir, "documents").select("doc_id", notes.level(path, F.when(F.col("doc_id") % 17 == 0, " Session ")).alias("hierarchy"))
+
+
+@query
+def stale_after(spark, sf_dir):
+    day = F.date_format(F.timestamp_seconds(F.lit(NOW) + (F.col("doc_id") % 61 - 30) * 86_400), "yyyy-MM-dd")
+    return table(spark, sf_dir, "documents").select("doc_id", day.alias("stale_date"), notes.stale(day, NOW).alias("expired"))
+
+
+@query
+def temporal_decay(spark, sf_dir):
+    n = note_view(spark, sf_dir)
+    return n.select("doc_id", F.round(R.decay(F.col("level"), F.col("mtime"), F.lit(NOW), F.col("doc_id") % 5 == 0), 6).alias("decay"))
+
+
+@query
+def access_debounce(spark, sf_dir):
+    return accesses(spark, sf_dir)
+
+
+@query
+def access_reinforcement(spark, sf_dir):
+    return accesses(spark, sf_dir).withColumn("reinforcement", F.round(R.reinforcement(F.col("access_count"), F.col("last_access"), F.lit(NOW)), 6))
+
+
+@query
+def corpus_stats(spark, sf_dir):
+    return search.corpus_stats(table(spark, sf_dir, "documents"), "text").withColumn("avg_len", F.round("avg_len", 6))
+
+
+@query
+def term_df(spark, sf_dir):
+    return search.term_df(search.postings(table(spark, sf_dir, "documents"), "text"))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(F.col("query_id").alias("item_id"), "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query
+def bm25_search(spark, sf_dir):
+    return _rounded(search.bm25_search(note_view(spark, sf_dir), asked(spark, sf_dir)))
+
+
+@query
+def bm25_tiers(spark, sf_dir):
+    return search.tier_hits(note_view(spark, sf_dir), asked(spark, sf_dir)).withColumnRenamed("query_id", "item_id")
+
+
+@query
+def scoped_search(spark, sf_dir):
+    return _rounded(search.scoped_search(note_view(spark, sf_dir), asked(spark, sf_dir), "src1", "L3Evergreen"))
+
+
+@query
+def vector_search(spark, sf_dir):
+    rows = search.vector_search(vectors(spark, sf_dir), query_vectors(spark, sf_dir))
+    return rows.select("query_id", F.col("doc_id").alias("vec_id"), "rank", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
+def channels(spark: SparkSession, sf_dir: str, pool: int = 30) -> tuple[DataFrame, DataFrame]:
+    lexical = search.ranked(search.bm25(note_view(spark, sf_dir), search.query_terms(asked(spark, sf_dir))), search.score_order(), pool, "bm25_rank")
+    return lexical, search.vector_search(vectors(spark, sf_dir), query_vectors(spark, sf_dir), pool)
+
+
+@query
+def rrf_fusion(spark, sf_dir):
+    rows = search.fuse(*channels(spark, sf_dir))
+    return rows.select("query_id", F.col("doc_id").alias("id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("bm25_rank", "vector_rank")], F.round("score", 6).alias("score"))
+
+
+@query
+def hybrid_search(spark, sf_dir):
+    access = accesses(spark, sf_dir).groupBy(F.col("user_id").alias("doc_id")).agg(F.sum("access_count").alias("access_count"), F.max("last_access").alias("last_access"))
+    links = page_edges(spark, sf_dir)
+    rows = search.hybrid_search(note_view(spark, sf_dir), asked(spark, sf_dir), vectors(spark, sf_dir), query_vectors(spark, sf_dir), links, access, NOW)
+    return rows.withColumnRenamed("doc_id", "id")
+
+
+@query
+def federated_search(spark, sf_dir):
+    n = note_view(spark, sf_dir).withColumn("content_hash", F.md5("body"))
+    return search.federated_search(n.where("doc_id % 2 = 0"), n.where("doc_id % 2 = 1"), asked(spark, sf_dir)).withColumnRenamed("query_id", "item_id")
+
+
+@query
+def link_resolve(spark, sf_dir):
+    return resolved(spark, sf_dir).drop("raw_target").withColumn("pos", F.col("pos").cast("long")).fillna({"dst": -1})
+
+
+@query
+def link_edges(spark, sf_dir):
+    return page_edges(spark, sf_dir)
+
+
+@query
+def link_stats(spark, sf_dir):
+    return resolved(spark, sf_dir).groupBy("resolution").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def backlinks(spark, sf_dir):
+    return graph.degree(pages(spark, sf_dir), page_edges(spark, sf_dir)).withColumnRenamed("id", "page_id")
+
+
+@query
+def graph_expand(spark, sf_dir):
+    parents = pages(spark, sf_dir).where("id % 25 = 0").select("id", (1.0 / (60 + F.col("id"))).alias("score"))
+    rows = graph.expand(parents, page_edges(spark, sf_dir), graph_notes(spark, sf_dir))
+    return rows.select(F.col("id").alias("neighbour"), "parent", F.round("score", 9).alias("score"))
+
+
+@query
+def orphans(spark, sf_dir):
+    return graph.orphans(graph_notes(spark, sf_dir), page_edges(spark, sf_dir)).withColumnRenamed("id", "page_id")
+
+
+@query
+def broken_links(spark, sf_dir):
+    return resolved(spark, sf_dir).where("resolution = 'broken'").select("src", "raw_target")
+
+
+@query
+def weave_plan(spark, sf_dir):
+    return graph.weave_plan(graph_notes(spark, sf_dir), page_edges(spark, sf_dir))
+
+
+@query
+def graph_export(spark, sf_dir):
+    g = graph_notes(spark, sf_dir)
+    rows = page_edges(spark, sf_dir).join(g.select(F.col("id").alias("src"), F.col("path").alias("src_path")), "src")
+    return rows.join(g.select(F.col("id").alias("dst"), F.col("path").alias("dst_path")), "dst").select("src_path", "dst_path").distinct()
+
+
+@query
+def supersession_chain(spark, sf_dir):
+    n = note_view(spark, sf_dir)
+    # a superseded note's successor: the next note but two of the same rest by three hundred, as far as there are any
+    after = n.select(F.col("doc_id").alias("next"))
+    rows = n.select(F.col("doc_id").alias("id"), F.when(F.col("status") != "active", F.col("doc_id") + 3).alias("want"))
+    rows = rows.join(after, F.col("want") == F.col("next"), "left").select("id", "next")
+    return graph.chains(rows).withColumnRenamed("id", "doc_id")
+
+
+@query
+def near_dups(spark, sf_dir):
+    return graph.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return note_view(spark, sf_dir).select(F.col("doc_id").alias("id"), "path", F.col("body").alias("content"))
+
+
+@query
+def guard_forbidden(spark, sf_dir):
+    return guard.forbidden(files(spark, sf_dir), RULES).withColumnRenamed("id", "doc_id")
+
+
+@query
+def guard_must_contain(spark, sf_dir):
+    return guard.must_contain(files(spark, sf_dir), RULES).withColumnRenamed("id", "doc_id")
+
+
+@query
+def guard_report(spark, sf_dir):
+    return guard.report(files(spark, sf_dir), RULES).withColumnRenamed("id", "doc_id")
+
+
+@query
+def guard_diff(spark, sf_dir):
+    """A diff for each document: its first line goes, its other lines come."""
+    lines = F.split("body", "\n", -1)
+    head = F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path", F.lit("\n--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit("\n@@ -1,1 +1,"), (F.size(lines) - 1).cast("string"), F.lit(" @@\n-"), F.element_at(lines, 1))
+    body = F.array_join(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.concat(F.lit("\n+"), x)), "")
+    return guard.audit_diffs(note_view(spark, sf_dir).select(F.col("doc_id").alias("diff_id"), F.concat(head, body).alias("diff")), RULES).drop("path")
+
+
+@query
+def rule_dedup(spark, sf_dir):
+    rows = note_view(spark, sf_dir).select(F.concat(F.lit("R"), (F.col("doc_id") % 50).cast("string")).alias("id"), F.substring("title", 1, 5).alias("pattern"), F.col("path").alias("source"), F.col("doc_id").alias("order"))
+    return guard.first_rules(rows).drop("order")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_index"), "role", F.col("text").alias("content"))
+
+
+@query
+def gc_turns(spark, sf_dir):
+    rows = sessions.fold_turns(turns(spark, sf_dir), hot=2, foldable_role="assistant")
+    return rows.select(F.col("session_id").alias("conv_id"), F.col("turn_index").alias("turn"), F.col("tier").alias("fold_tier"), F.col("tokens").alias("tokens_after"))
+
+
+@query
+def gc_summary(spark, sf_dir):
+    return sessions.fold_summary(sessions.fold_turns(turns(spark, sf_dir), hot=2, foldable_role="assistant")).withColumnRenamed("session_id", "conv_id")
+
+
+@query
+def offload(spark, sf_dir):
+    return sessions.offload(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), 5).withColumnRenamed("id", "doc_id")
+
+
+def mutated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A snapshot of the notes, and a later state in which some went, some came and some changed."""
+    n = note_view(spark, sf_dir)
+    was = n.where("doc_id % 10 <> 1").select("path", "doc_id", "body", F.md5("body").alias("content_hash"), "mtime")
+    body = F.when(F.col("doc_id") % 10 == 3, F.concat("body", F.lit("\nA line more."))).otherwise(F.col("body"))
+    now = n.where("doc_id % 10 <> 2").select("path", "doc_id", body.alias("body"), F.md5(body).alias("content_hash"), (F.col("mtime") + F.when(F.col("doc_id") % 10 == 4, 5).otherwise(0)).alias("mtime"))
+    return was, now
+
+
+@query
+def dirty_sets(spark, sf_dir):
+    return sync.changes(*mutated(spark, sf_dir)).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def section_diff(spark, sf_dir):
+    cut = lambda d: d.select("doc_id", F.posexplode(F.split("body", "\n", -1)).alias("ord", "line")).select("doc_id", "ord", F.md5("line").alias("text_hash"))
+    was, now = mutated(spark, sf_dir)
+    return sync.section_reuse(cut(was), cut(now))
+
+
+@query
+def vector_dirty(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("h").alias("content_hash"), F.lit(0).alias("mtime"))
+    vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.when(F.col("label") == 3, "old").otherwise("h").alias("content_hash"), F.lit(0).alias("mtime"))
+    return sync.changes(vecs, docs).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def index_health(spark, sf_dir):
+    return sync.health(note_view(spark, sf_dir), vectors(spark, sf_dir))
+
+
+@query
+def timeline(spark, sf_dir):
+    return sessions.timeline(note_view(spark, sf_dir).select(F.col("doc_id").alias("id"), "path", "level", F.col("mtime").alias("stamp"))).withColumnRenamed("id", "doc_id")
+
+
+@query
+def pack_filter(spark, sf_dir):
+    n = note_view(spark, sf_dir).withColumn("tags", F.array(F.concat(F.lit("#"), F.upper("level"))))
+    rows = notes.pack_select(n, query="the", tags=["l3evergreen", "#L2Log"])
+    return rows.select("doc_id", "level")
+
+
+@query
+def flush_dedup_names(spark, sf_dir):
+    n = note_view(spark, sf_dir)
+    return notes.file_names(n.select(F.col("doc_id").alias("id"), F.col("level").alias("folder"), "title", "body")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def category_normalize(spark, sf_dir):
+    raws = ["", "Card", "adr", "wiki", " Journal ", "projects", "recipe", "other"]
+    raw = F.element_at(F.array(*map(F.lit, raws)), (F.col("doc_id") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"), notes.category(raw, F.col("text")).alias("category"))
+
+
+@query
+def loadout_rank(spark, sf_dir):
+    """The ten best notes for each query's keywords."""
+    words = asked(spark, sf_dir).select("query_id", F.slice(F.array_sort(F.array_distinct(tokens(F.col("query")))), 1, 6).alias("keywords"))
+    cards = note_view(spark, sf_dir).where("status = 'active'").select("doc_id", "title", "path", "level")
+    held = F.broadcast(words)  # a batch of queries, bounded by its caller
+    score = notes.keyword_score(F.col("title"), F.col("path"), F.col("title"), F.col("keywords"), F.col("level") == "L3Evergreen")
+    rows = cards.join(held).withColumn("score", score.cast("long")).where("score > 1")
+    return search.ranked(rows, [F.desc("score"), F.length("title"), F.col("doc_id")], 10).select("query_id", "doc_id", "score", "rank")
+
+
+@query
+def handoff_claim(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_timestamp(F.date_trunc("second", "ts")).alias("ts"))
+    made = e.where("event_type = 'error'").select(F.col("event_id").alias("handoff_id"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("AGENT"), (F.col("user_id") % 5).cast("string"))).alias("to_agent"), (F.col("ts") + 86_400).alias("expires_at"))
+    hours = F.explode(F.array(*[F.lit(i) for i in range(6)]))
+    claims = e.where("event_type = 'error'").select(F.col("event_id").alias("handoff_id"), "ts", hours.alias("i"))
+    claims = claims.select("handoff_id", F.concat(F.lit("agent"), ((F.col("handoff_id") + F.col("i")) % 5).cast("string")).alias("agent"), (F.col("ts") + F.col("i") * 20_000).alias("ts"))
+    return sessions.claim(made, claims)
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return hybrid_search(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.SQL
+
+

@@ -61,5 +61,5 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: a cut of the lineage that outlives executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/lumenkb/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
