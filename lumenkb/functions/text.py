@@ -26,7 +26,7 @@ def tokens(text: Column) -> Column:
 
 def segment(text: Column) -> Column:
     """Text with each CJK run written as overlapping bigrams (a run of one as itself), apart from other scripts."""
-    runs = F.regexp_extract_all(text, F.lit(rf"{SEGMENT_CJK}+|[^\s&&[^{SEGMENT_CJK[1:-1]}]]+|\S+"), F.lit(0))
+    runs = F.regexp_extract_all(text, F.lit(rf"{SEGMENT_CJK}+|[^\s{SEGMENT_CJK[1:-1]}]+"), F.lit(0))
     is_cjk = lambda r: r.rlike(rf"^{SEGMENT_CJK}+$")
     pair = lambda r: F.array_join(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))), " ")
     return F.array_join(F.transform(runs, lambda r: F.when(is_cjk(r) & (F.length(r) > 1), pair(r)).otherwise(r)), " ")
