@@ -2,7 +2,7 @@
 
 Rows of each source are ranked in a seeded random order, all rows are sorted by their fractional rank within their
 source, and that order is cut into ``shards`` runs whose row counts are at most one apart (law ``rows``). Every run
-holds the same share of every source, to within one row.
+holds the same share of every source, to within a row for each source that there is.
 
 Both rankings are bucketed: the bucket of a row is a prefix of its sort key, so a rank is a running sum of bucket
 counts plus a row number inside one bucket. No source and no shard ever meets in one task, however hot it is.
