@@ -157,6 +157,26 @@ def hybrid_search(spark, sf_dir):
     return rows.withColumnRenamed("doc_id", "id")
 
 
+@query
+def graph_boost(spark, sf_dir):
+    """Which notes of each query's pool have an active neighbour in it."""
+    lexical, vector = channels(spark, sf_dir)
+    pool = search.fuse(lexical, vector).join(note_view(spark, sf_dir).select("doc_id", "status"), "doc_id")
+    linked = search.connected(pool.where("status = 'active'").select("query_id", "doc_id"), page_edges(spark, sf_dir)).withColumn("c", F.lit(True))
+    rows = pool.join(linked, ["query_id", "doc_id"], "left")
+    return rows.select("query_id", F.col("doc_id").alias("id"), F.coalesce("c", F.lit(False)).alias("connected"))
+
+
+@query
+def section_locate(spark, sf_dir):
+    """The lines of documents as sections."""
+    n, terms = note_view(spark, sf_dir), search.query_terms(asked(spark, sf_dir))
+    hits = search.ranked(search.bm25(n, terms), search.score_order(), 10)
+    lines = n.select("doc_id", F.posexplode(F.split("body", "\n", -1)).alias("ord", "body"))
+    rows = search.section_locate(hits, lines, terms)
+    return rows.select(F.col("query_id").alias("item_id"), "doc_id", "ord", F.round("score", 6).alias("score"))
+
+
 @query
 def federated_search(spark, sf_dir):
     n = note_view(spark, sf_dir).withColumn("content_hash", F.md5("body"))

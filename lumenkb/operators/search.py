@@ -128,6 +128,21 @@ def fuse(lexical: DataFrame, vector: DataFrame, tier: float = R.ANY_TOKENS) -> D
     return rows.withColumn("score", R.rrf(F.col("bm25_rank"), F.col("vector_rank"), F.col("_b"), F.col("_v"), F.lit(tier))).drop("_b", "_v")
 
 
+def connected(live: DataFrame, edges: DataFrame) -> DataFrame:
+    """query_id, doc_id: those of ``live`` that a link joins to another one of the same query, in either direction."""
+    both = edges.select(F.col("src").alias("doc_id"), F.col("dst").alias("near")).union(edges.select("dst", "src")).where("doc_id <> near").distinct()
+    linked = live.join(both, "doc_id").join(live.select("query_id", F.col("doc_id").alias("near")), ["query_id", "near"], "left_semi")
+    return linked.select("query_id", "doc_id").distinct()
+
+
+def section_locate(hits: DataFrame, sections: DataFrame, terms: DataFrame) -> DataFrame:
+    """query_id, doc_id, ord, score: the best section of each hit (query_id, doc_id) by BM25 over all sections (doc_id, ord, body); the first among equals."""
+    numbered = sections.select(F.struct("doc_id", "ord").alias("doc_id"), "body")
+    scored = bm25(numbered, terms).select("query_id", "doc_id.doc_id", "doc_id.ord", "score").join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+    best = scored.groupBy("query_id", "doc_id").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "ord")).alias("x"))
+    return best.select("query_id", "doc_id", F.col("x.ord").cast("long").alias("ord"), (-F.col("x.s")).alias("score"))
+
+
 def hybrid_search(docs: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, edges: DataFrame, access: DataFrame, now: int, limit: int = 10) -> DataFrame:
     """query_id, doc_id, rank, score, graph_boost.
 
@@ -140,10 +155,7 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, vectors: DataFrame, query
     rows = rows.join(docs.select("doc_id", "level", "mtime", "status"), "doc_id").join(access, "doc_id", "left")
     rows = rows.withColumn("top", F.max("score").over(Window.partitionBy("query_id")))
     live = rows.where(F.col("status") == "active").select("query_id", "doc_id")
-    both = edges.select(F.col("src").alias("doc_id"), F.col("dst").alias("near")).union(edges.select("dst", "src")).where("doc_id <> near").distinct()
-    linked = live.join(both, "doc_id").join(live.select("query_id", F.col("doc_id").alias("near")), ["query_id", "near"], "left_semi")
-    linked = linked.select("query_id", "doc_id", F.lit(True).alias("linked")).distinct()
-    rows = rows.join(linked, ["query_id", "doc_id"], "left")
+    rows = rows.join(connected(live, edges).withColumn("linked", F.lit(True)), ["query_id", "doc_id"], "left")
     boost = F.when(F.col("linked"), R.BOOST * F.col("top")).otherwise(0.0)
     weigh = R.decay(F.col("level"), F.col("mtime"), F.lit(now), F.lit(False))
     used = F.coalesce(R.reinforcement(F.col("access_count"), F.col("last_access"), F.lit(now)), F.lit(1.0))

@@ -198,6 +198,17 @@ SQL: dict[str, str] = {
         f2 AS (SELECT *, (score + boost) * {decayed("false")} * coalesce({reinforce("c", "l")}, 1.0) * CASE WHEN status = 'active' THEN 1.0 ELSE 0.2 END AS fin FROM f1),
         f3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fin, 9) DESC, bm25_rank NULLS LAST, vector_rank NULLS LAST, doc_id) AS r FROM f2)
         SELECT query_id, doc_id AS id, r AS "rank", round(fin, 6) AS score, round(boost, 6) AS graph_boost FROM f3 WHERE r <= 10""",
+    "graph_boost": f"""WITH {NOTES}, {TERMS}, {bm25("notes", "")}, {VECTORS}, {FUSED}, {LINKS}, p AS (SELECT query_id, doc_id, status FROM fused JOIN notes USING (doc_id)),
+        live AS (SELECT * FROM p WHERE status = 'active'), bo AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+        lk AS (SELECT DISTINCT x.query_id, x.doc_id, true AS c FROM live x JOIN bo ON a = x.doc_id AND a <> b JOIN live y ON y.query_id = x.query_id AND y.doc_id = b)
+        SELECT query_id, doc_id AS id, coalesce(c, false) AS connected FROM p LEFT JOIN lk USING (query_id, doc_id)""",
+    "section_locate": f"""WITH {NOTES}, {TERMS}, {bm25("notes", "")},
+        h AS (SELECT query_id, doc_id AS d FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM bm25) WHERE r <= 10),
+        sl AS (SELECT doc_id, unnest(l) AS body, generate_subscripts(l, 1) - 1 AS o FROM (SELECT doc_id, string_split(body, chr(10)) AS l FROM notes)),
+        sec AS (SELECT {{'d': doc_id, 'o': o}} AS doc_id, body FROM sl), {bm25("sec", "x")},
+        k AS (SELECT b.query_id, b.doc_id.d AS d, b.doc_id.o AS o, round(score, 9) AS s FROM xbm25 b JOIN h ON h.query_id = b.query_id AND h.d = b.doc_id.d),
+        z AS (SELECT *, row_number() OVER (PARTITION BY query_id, d ORDER BY s DESC, o) AS n FROM k)
+        SELECT query_id AS item_id, d AS doc_id, o AS ord, round(s, 6) AS score FROM z WHERE n = 1""",
     "federated_search": f"""WITH {NOTES}, own AS (SELECT * FROM notes WHERE doc_id % 2 = 0), shared AS (SELECT * FROM notes WHERE doc_id % 2 = 1), {TERMS}, {bm25("own", "o")}, {bm25("shared", "g")},
         o1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM obm25),
         g1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM gbm25),
