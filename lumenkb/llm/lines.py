@@ -54,8 +54,8 @@ def simhashes(lines: list[bytes]) -> np.ndarray:
     return np.packbits(2 * ones > per[:, None], axis=1).view(np.int64).ravel()
 
 
-def distance(a: str, b: str) -> int:
-    """Levenshtein distance, by bit-parallel columns (Hyyrö 2003) on what equal ends leave."""
+def distance(a: str, b: str, most: float = float("inf")) -> float:
+    """Levenshtein distance, by bit-parallel columns (Hyyrö 2003) on what equal ends leave; infinite if over ``most``."""
     lo, hi = 0, min(len(a), len(b))
     while lo < hi and a[lo] == b[lo]:
         lo += 1
@@ -71,12 +71,15 @@ def distance(a: str, b: str) -> int:
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    plus, minus, d = full, 0, len(a)
+    plus, minus, d, rest = full, 0, len(a), len(b)
     for c in b:
         eq = at.get(c, 0)
         diag = (((eq & plus) + plus) ^ plus) | eq | minus
         up, down = minus | (full & ~(diag | plus)), plus & diag
         d += bool(up & top) - bool(down & top)
+        rest -= 1
+        if d - rest > most:  # the columns left can take one each
+            return float("inf")
         up, down = (up << 1 | 1) & full, (down << 1) & full
         plus, minus = down | (full & ~(diag | up)), up & diag
     return d
@@ -84,7 +87,13 @@ def distance(a: str, b: str) -> int:
 
 def close(a: str, b: str, similarity: float) -> bool:
     n = max(len(a), len(b))
-    return min(len(a), len(b)) >= similarity * n and distance(a, b) <= (1 - similarity) * n + 1e-9
+    most = (1 - similarity) * n + 1e-9
+    if n - min(len(a), len(b)) > most:
+        return False
+    one, two = a.split(" "), b.split(" ")
+    if len(one) == len(two) and sum(max(len(x), len(y)) for x, y in zip(one, two, strict=True) if x != y) <= most:
+        return True  # words that differ, each put in its place: a bound of the distance from above
+    return distance(a, b, most) <= most
 
 
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
@@ -143,7 +152,7 @@ def line_links(nodes: DataFrame, texts: DataFrame, radius: int, similarity: floa
     parts = max(8, n * len(chosen) // part_rows)
     tables = F.explode(F.array(*[F.struct(F.lit(t).alias("table"), F.col("sim").bitwiseAND(F.lit(int(m.astype(np.int64)))).alias("value")) for t, m in enumerate(masks)]))
     rows = nodes.withColumn("_t", tables).select("h1", "h2", "sim", F.col("_t.table").alias("table"), F.xxhash64("_t.table", "_t.value").alias("bucket"))
-    dealt = deal(rows, "bucket", "h1, h2", cap, parts)
+    dealt = deal(rows, "bucket", "h1, h2", cap, parts, drop_single=False)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["cell", "side"], kind="stable")

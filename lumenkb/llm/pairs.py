@@ -8,17 +8,25 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenkb.session import materialize
 
-def deal(rows: DataFrame, key: str, spread_by: str, cap: int, parts: int) -> DataFrame:
+
+def deal(rows: DataFrame, key: str, spread_by: str, cap: int, parts: int, drop_single: bool = True) -> DataFrame:
     """``rows`` with part, cell and side, so that rows that must meet share a part and a cell.
 
     A bucket of at most ``cap`` rows is one cell. A larger one is cut into chunks of about ``cap`` rows by the hash of
     ``spread_by``, and each pair of chunks is a cell: every pair of rows still meets exactly once (rows of one chunk in
     the cell of that chunk with itself), and no task holds more than two chunks of it. side: 0 or 1, the chunk's place
-    in a cell of two chunks; 2 in a cell of one.
+    in a cell of two chunks; 2 in a cell of one. Rows alone in their bucket go, unless ``drop_single`` is off, which
+    saves a join where such rows are rare and no bucket is large.
     """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    rows = rows.join(sizes, key).withColumn("_c", F.ceil(F.col("_n") / cap).cast("int"))
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    if drop_single:
+        rows = rows.join(sizes.where(F.col("_n") > 1), key)
+    else:
+        large = materialize(sizes.where(F.col("_n") > cap), "large")
+        rows = rows.withColumn("_n", F.lit(1)) if large.isEmpty() else rows.join(large, key, "left")
+    rows = rows.withColumn("_c", F.coalesce(F.ceil(F.col("_n") / cap).cast("int"), F.lit(1)))
     small = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")))
     own = F.expr(f"cast(pmod(xxhash64({spread_by}, 5), _c) as int)")
     cells = F.transform(
