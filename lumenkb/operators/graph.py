@@ -132,22 +132,23 @@ def near_duplicates(docs: DataFrame, least: float = 0.6) -> DataFrame:
     """
     from lumenkb.functions.text import tokens
 
-    sets = docs.select("doc_id", F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("words")).where(F.size("words") > 0)
-    sets = sets.withColumn("node", F.md5(F.array_join("words", " ")))
-    nodes = materialize(sets.groupBy("node").agg(F.first("words").alias("words"), F.min("doc_id").alias("low")), "word-sets")
+    sets = docs.select("doc_id", F.array_sort(F.array_distinct(F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)))).alias("words")).where(F.size("words") > 0)
+    nodes = materialize(sets.groupBy("words").agg(F.min("doc_id").alias("node")), "word-sets")
     words = nodes.select("node", F.explode("words").alias("word"))
     df = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    size = F.size("words")
-    keep = (size - F.ceil(size * F.lit(least)) + 1).cast("int")
+    n = F.size("x")
     ordered = words.join(df, "word").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("x"))
-    prefix = nodes.select("node", size.cast("int").alias("n"), keep.alias("k")).join(ordered, "node").select("node", "n", F.explode(F.slice("x", F.lit(1), F.col("k"))).alias("y")).select("node", "n", "y.word")
-    other = prefix.select(F.col("node").alias("other"), F.col("n").alias("m"), "word")
-    pairs = prefix.join(other, "word").where((F.col("node") < F.col("other")) & (F.least("n", "m") >= F.greatest("n", "m") * least)).select("node", "other").distinct()
+    keep = (n - F.ceil(n * F.lit(least)) + 1).cast("int")
+    prefix = ordered.select("node", n.alias("n"), F.posexplode(F.slice("x", F.lit(1), keep)).alias("i", "y")).where("y.df > 1").select("node", "n", "i", "y.word")
+    other = prefix.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), "word")
+    # at the first word that two sets share, what follows must hold the rest of the overlap that they need
+    need = F.col("n") + F.col("m")
+    rest = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    fits = (F.col("node") < F.col("other")) & (F.least("n", "m") >= F.greatest("n", "m") * least) & (rest * (1 + least) >= need * least - 1e-9)
+    pairs = prefix.join(other, "word").where(fits).select("node", "other").distinct()
     full = nodes.select("node", "words")
     rows = pairs.join(full, "node").join(full.select(F.col("node").alias("other"), F.col("words").alias("more")), "other")
     both = F.size(F.array_intersect("words", "more"))
     score = both / (F.size("words") + F.size("more") - both)
-    found = rows.withColumn("jaccard", score).where(F.col("jaccard") >= least).select("node", "other", "jaccard")
-    low = nodes.select("node", "low")
-    named = found.join(low.select("node", F.col("low").alias("x")), "node").join(low.select(F.col("node").alias("other"), F.col("low").alias("y")), "other")
-    return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("jaccard", 6).alias("jaccard"))
+    found = rows.withColumn("jaccard", score).where(F.col("jaccard") >= least)
+    return found.select(F.col("node").alias("a"), F.col("other").alias("b"), F.round("jaccard", 6).alias("jaccard"))

@@ -41,13 +41,13 @@ def query_terms(queries: DataFrame, most: int = 8) -> DataFrame:
 
 def bm25(docs: DataFrame, terms: DataFrame, text: str = "body") -> DataFrame:
     """query_id, doc_id, score, matched: BM25 of every document that holds a term of a query."""
-    index = postings(docs, text)
-    size = docs.select("doc_id", F.size(tokens(F.col(text))).alias("len"))
-    stats = corpus_stats(docs, text)
-    # a handful of terms per query: the index is filtered by them before anything is counted
-    hits = index.join(terms, "term")
-    df = hits.select("doc_id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = hits.join(df, "term").join(size, "doc_id").join(F.broadcast(stats))
+    # the length is taken below the explode, else it would be found anew for each word
+    cut = docs.select("doc_id", tokens(F.col(text)).alias("_w")).select("doc_id", "_w", F.size("_w").alias("len"))
+    words = cut.select("doc_id", "len", F.explode("_w").alias("term"))
+    # only words that a query asks for are counted, and each row brings its document's length along
+    index = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rows = index.join(terms, "term").join(df, "term").join(F.broadcast(corpus_stats(docs, text)))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return rows.groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score"), F.count(F.lit(1)).alias("matched"))
