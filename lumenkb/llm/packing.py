@@ -73,7 +73,7 @@ def token_pieces(docs: DataFrame, path: str, budget: int = 1024, end_id: int = 2
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, PIECES)
 
 
-def pack(docs: DataFrame, path: str | None = None, budget: int = 1024, end_id: int = 2, group_rows: int = 100_000) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, budget: int = 1024, end_id: int = 2, group_rows: int = 400_000) -> DataFrame:
     """Pack ``docs`` (doc_id, text; other columns are ignored): one row per piece, with its sequence and offset.
 
     A null or empty text is one end token. Rows that repeat, also with the same or a null doc_id, are packed once each.
@@ -85,12 +85,16 @@ def pack(docs: DataFrame, path: str | None = None, budget: int = 1024, end_id: i
     keyed = pieces.withColumn("grp", F.expr(f"cast(pmod(xxhash64(monotonically_increasing_id()), {groups}) as int)"))
 
     def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        mixed = pdf.sort_values(["ids_crc32", "doc_id", "piece"], kind="stable")
+        pdf = pdf.sort_values(["ids_crc32", "doc_id", "piece"], kind="stable")
+        full = pdf[pdf["length"] == budget]  # each is a sequence
+        mixed = pdf[pdf["length"] < budget]
         falling = mixed.sort_values("length", ascending=False, kind="stable")
         # small groups do better in falling order, large ones in a random one
         tried = [(x, *sum_of_squares(x["length"].to_numpy(), budget)) for x in (falling, mixed)]
-        pdf, bins, offsets = min(tried, key=lambda x: x[1].max())
-        pdf = pdf.assign(sequence_id=(np.int64(key[0]) << 32) + bins, offset=offsets).astype({"doc_id": "Int64"})
+        placed, bins, offsets = min(tried, key=lambda x: x[1].max(initial=-1))
+        alone = np.arange(len(full)) + bins.max(initial=-1) + 1
+        pdf = pd.concat([placed, full]).assign(offset=np.r_[offsets, np.zeros(len(full), np.int64)])
+        pdf = pdf.assign(sequence_id=(np.int64(key[0]) << 32) + np.r_[bins, alone]).astype({"doc_id": "Int64"})
         return pdf[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
     return keyed.groupBy("grp").applyInPandas(place, PLACES)
