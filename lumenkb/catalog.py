@@ -39,7 +39,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors of the benchmark items' ids."""
-    return vectors(spark, sf_dir).join(F.broadcast(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))), "doc_id").select(F.col("doc_id").alias("query_id"), "v")
+    return vectors(spark, sf_dir).join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("query_id"), "v")
 
 
 def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,9 +364,8 @@ def loadout_rank(spark, sf_dir):
     """The ten best notes for each query's keywords."""
     words = asked(spark, sf_dir).select("query_id", F.slice(F.array_sort(F.array_distinct(tokens(F.col("query")))), 1, 6).alias("keywords"))
     cards = note_view(spark, sf_dir).where("status = 'active'").select("doc_id", "title", "path", "level")
-    held = F.broadcast(words)  # a batch of queries, bounded by its caller
     score = notes.keyword_score(F.col("title"), F.col("path"), F.col("title"), F.col("keywords"), F.col("level") == "L3Evergreen")
-    rows = cards.join(held).withColumn("score", score.cast("long")).where("score > 1")
+    rows = cards.join(search.small_batch(words)).withColumn("score", score.cast("long")).where("score > 1")
     return search.ranked(rows, [F.desc("score"), F.length("title"), F.col("doc_id")], 10).select("query_id", "doc_id", "score", "rank")
 
 

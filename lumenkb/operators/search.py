@@ -22,6 +22,13 @@ def postings(docs: DataFrame, text: str = "body") -> DataFrame:
     return docs.select("doc_id", F.explode(tokens(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def small_batch(queries: DataFrame) -> DataFrame:
+    """``queries``, marked for broadcast once their number is known to be at most MOST_QUERIES; raises beyond it."""
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"at most {MOST_QUERIES} queries in a batch")
+    return F.broadcast(queries)
+
+
 def corpus_stats(docs: DataFrame, text: str = "body") -> DataFrame:
     """n_docs, total_tokens, avg_len: one row."""
     n = F.size(tokens(F.col(text)))

@@ -50,14 +50,16 @@ def fold_turns(turns: DataFrame, hot: int = HOT_TURNS, foldable_role: str = "too
     w = Window.partitionBy("session_id").orderBy("turn_index")
     rows = turns.withColumn("pos", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("session_id")))
     rows = rows.withColumn("diag", diagnostic(F.col("content"))).withColumn("ok", succeeded(F.col("content")))
-    later = w.rowsBetween(1, Window.unboundedFollowing)
-    good = F.min(F.when(F.col("ok"), F.col("turn_index"))).over(later)
-    # the errors that follow, in their order; the first other one counts if no success comes before it
-    errors = F.collect_list(F.when(F.col("diag").isNotNull() & ~F.col("ok"), F.struct("turn_index", "diag"))).over(later)
-    rows = rows.withColumn("good", good).withColumn("errors", errors)
-    other = F.element_at(F.filter("errors", lambda e: e["diag"] != F.col("diag")), 1)["turn_index"]
-    other = F.when(F.exists("errors", lambda e: e["diag"] != F.col("diag")), other)
-    rows = rows.withColumn("solved", F.when(F.col("diag").isNotNull(), F.least("good", other)))
+    # read from the end, what comes later is what has been seen; frames that only grow cost the same for each row
+    later = Window.partitionBy("session_id").orderBy(F.desc("turn_index")).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last("diag", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", before)
+    # an error unlike the one before it; a success in between counts first, so it doesn't matter what that one said
+    turned = F.when(F.col("diag").isNotNull() & ~F.col("ok") & (F.col("before").isNull() | (F.col("before") != F.col("diag"))), F.col("turn_index"))
+    rows = rows.withColumn("turned", turned)
+    good = F.last(F.when(F.col("ok"), F.col("turn_index")), ignorenulls=True).over(later)
+    other = F.last("turned", ignorenulls=True).over(later)
+    rows = rows.withColumn("solved", F.when(F.col("diag").isNotNull(), F.least(good, other)))
     recent = F.col("pos") > F.col("n") - hot
     lines = line_count(F.col("content"))
     long = (F.col("role") == foldable_role) & ((lines > LINE_LIMIT) | (estimate_tokens(F.col("content")) > TOKEN_LIMIT))

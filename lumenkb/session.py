@@ -51,7 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = os.environ.setdefault("LUMENKB_SHARED", "file://" + tempfile.mkdtemp(prefix="lumenkb-shared-"))
     return at.rstrip("/")
