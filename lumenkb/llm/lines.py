@@ -2,10 +2,13 @@
 
 A line is normalised (lower case, digits as 0, ASCII punctuation as space, words joined by one space). Lines of fewer
 than ``min_words`` words are left alone: sentence fragments aren't boilerplate. Equal normalised lines are one node. A
-64-bit SimHash of a node's words is split into blocks; nodes within ``radius`` bits agree on all but ``radius`` of the
-blocks, so they meet under at least one choice of the others. Pairs that meet within the radius are checked for an edit
-similarity of ``similarity`` or more, links are closed to connected groups, and the first line of each group (by
-doc_id, then place) stays.
+MinHash of a node's character ``GRAM``-grams, all bins of one permutation, is cut into ``bands`` of two bins; nodes that
+agree on a band are candidates. An exact bound by counts of character pairs and an edit similarity of ``similarity`` or
+more decide, links are closed to connected groups, and the first line of each group (by doc_id, then place) stays.
+
+Without ``bands``, candidates are nodes whose 64-bit SimHash of words differs in ``radius`` bits at most, which misses
+most pairs at that similarity: the codes are split into blocks, and such nodes agree on all but ``radius`` of the blocks,
+so they meet under at least one choice of the others.
 """
 
 from __future__ import annotations
@@ -24,6 +27,10 @@ from lumenkb.llm.pairs import Forest, deal, listed
 from lumenkb.session import materialize, ship_code
 
 FOLD = bytes(48 if 48 <= i <= 57 else i if i >= 128 or 97 <= i <= 122 or i == 10 else 32 for i in range(256))
+#: Bytes of a gram, and columns that character pairs are counted in.
+GRAM, PAIRS = 7, 256
+#: Bands of the query and of the pipeline. Grams of a Jaccard similarity of 0.5 meet with a probability of 0.99, of 0.4 with 0.94.
+BANDS = 16
 POWERS = np.cumprod(np.r_[np.uint64(1), np.full(255, 0x9E3779B97F4A7C15, np.uint64)], dtype=np.uint64)
 
 
@@ -54,6 +61,55 @@ def simhashes(lines: list[bytes]) -> np.ndarray:
     return np.packbits(2 * ones > per[:, None], axis=1).view(np.int64).ravel()
 
 
+def band_codes(lines: list[bytes], bands: int) -> np.ndarray:
+    """A 64-bit code per line and band: two bins of a one-permutation MinHash of its byte n-grams; none may be empty.
+
+    A bin without a gram takes the next that has one. A line shorter than a gram is a gram.
+    """
+    bins, none = 2 * bands, np.uint64(2**64 - 1)
+    per = np.fromiter(map(len, lines), np.int64, len(lines))
+    ends = np.cumsum(per)
+    raw = np.frombuffer(b"".join(lines) + bytes(GRAM), np.uint8).astype(np.uint64)
+    at = np.arange(len(raw) - GRAM)
+    owner = np.repeat(np.arange(len(lines)), per)
+    code = np.zeros(len(at), np.uint64)
+    for k in range(GRAM):
+        code = code << np.uint64(8) | raw[k : k + len(at)]
+    whole = at + GRAM <= ends[owner]
+    whole[ends - per] = True
+    code, owner = mix(code[whole]), owner[whole]
+    low = np.full(len(lines) * bins, none)
+    np.minimum.at(low, owner * bins + ((code >> np.uint64(48)) * np.uint64(bins) >> np.uint64(16)).astype(np.int64), code & np.uint64(2**48 - 1))
+    low = low.reshape(-1, bins)
+    full = low != none
+    # each bin's next full one, counted around
+    place = np.where(np.tile(full, 2), np.arange(2 * bins), 2 * bins)
+    following = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :bins]
+    far = (following - np.arange(bins)).astype(np.uint64)
+    low = np.take_along_axis(low, following % bins, axis=1) ^ mix(far)
+    return mix(mix(low[:, ::2]) + low[:, 1::2] * np.uint64(3) + np.arange(bands, dtype=np.uint64))
+
+
+def pair_counts(texts: list[str]) -> np.ndarray:
+    """Counts of each text's character pairs, hashed to PAIRS columns. An edit changes four of them by one at most."""
+    out = np.zeros((len(texts), PAIRS), np.int32)
+    for k, x in enumerate(texts):
+        a = np.frombuffer(x.encode("utf-32-le", "replace"), np.uint32)
+        out[k] = np.bincount((a[:-1] * np.uint32(31) + a[1:] * np.uint32(7)) % PAIRS, minlength=PAIRS)
+    return out
+
+
+def may_be_close(counts: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float, block: int = 20_000) -> np.ndarray:
+    """False only for pairs that are below the similarity."""
+    most = (1 - similarity) * np.maximum(size[i], size[j]) + 1e-9
+    keep = np.abs(size[i] - size[j]) <= most
+    at = np.flatnonzero(keep)
+    for lo in range(0, len(at), block):
+        x = at[lo : lo + block]
+        keep[x] = np.abs(counts[i[x]] - counts[j[x]]).sum(axis=1) <= 4 * most[x]
+    return keep
+
+
 def distance(a: str, b: str, most: float = float("inf")) -> float:
     """Levenshtein distance, by bit-parallel columns (Hyyrö 2003) on what equal ends leave; infinite if over ``most``."""
     lo, hi = 0, min(len(a), len(b))
@@ -96,8 +152,8 @@ def close(a: str, b: str, similarity: float) -> bool:
     return distance(a, b, most) <= most
 
 
-def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, doc_key, line, h1, h2 (128 bits of the normalised line), sim and norm, of lines that take part."""
+def line_table(docs: DataFrame, min_words: int, coded: bool = True) -> DataFrame:
+    """doc_id, doc_key, line, h1, h2 (128 bits of the normalised line), sim (0 unless ``coded``) and norm, of lines that take part."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -112,7 +168,7 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
                     d = b"".join(map(xxhash.xxh3_128_digest, norms))
                     h = np.frombuffer(d, np.int64).reshape(-1, 2)
                     norm = pd.Series([x.decode("utf-8", "replace") for x in norms], dtype=object)
-                    yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "doc_key": np.array(keys, np.int64), "line": np.array(at, np.int32), "h1": h[:, 0], "h2": h[:, 1], "sim": simhashes(norms), "norm": norm})
+                    yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "doc_key": np.array(keys, np.int64), "line": np.array(at, np.int32), "h1": h[:, 0], "h2": h[:, 1], "sim": simhashes(norms) if coded else np.zeros(len(norms), np.int64), "norm": norm})
                     ids, keys, at, norms, size = [], [], [], [], 0
 
     rows = docs.select(F.col("doc_id"), F.col("doc_key"), F.col("text"))
@@ -185,12 +241,74 @@ def line_links(nodes: DataFrame, texts: DataFrame, radius: int, similarity: floa
     return full.groupBy("part").applyInPandas(verify, "a string, b string")
 
 
-def fuzzy_line_groups(docs: DataFrame, min_words: int, radius: int, similarity: float, cap: int, part_rows: int) -> DataFrame:
+def banded_links(lines: DataFrame, bands: int, similarity: float, cap: int) -> DataFrame:
+    """a, b: verified links between nodes, enough of them to connect each candidate group. ``lines``: h1, h2, norm.
+
+    A node stands for itself by h1 until texts are compared; nodes that share h1 by chance are told apart there.
+    """
+
+    def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for pdf in batches:
+            waiting, ids, size, last = [], [], 0, len(pdf) - 1
+            for k, (h, norm) in enumerate(zip(pdf["h1"].tolist(), pdf["norm"], strict=True)):
+                if h not in seen:  # a repeat told twice would do no harm
+                    if len(seen) >= 1_000_000:
+                        seen.clear()
+                    seen.add(h)
+                    waiting.append(norm.encode("utf-8", "replace")), ids.append(h)
+                    size += len(waiting[-1])
+                if waiting and (size > 1_000_000 or k == last):
+                    yield pd.DataFrame({"bucket": band_codes(waiting, bands).view(np.int64).ravel(), "h1": np.repeat(np.array(ids, np.int64), bands)})
+                    waiting, ids, size = [], [], 0
+
+    rows = lines.select("h1", "norm").mapInPandas(codes, "bucket long, h1 long")
+    shared = rows.groupBy("bucket").agg(F.array_sort(F.collect_set("h1")).alias("ids")).where(F.size("ids") > 1)
+    # bands that hold the same nodes are one
+    shared = materialize(shared.groupBy("ids").agg(F.min("bucket").alias("bucket")), "shared")
+    met = shared.select("bucket", F.explode("ids").alias("h1"))
+    parts = max(8, met.count() // 20_000)
+    dealt = materialize(deal(met, "bucket", "h1", cap, parts), "dealt")
+    text = lines.select("h1", "h2", "norm").join(dealt.select("h1").distinct(), "h1", "left_semi").dropDuplicates(["h1", "h2"])
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["cell", "side", "h1", "h2"], kind="stable")
+        cell, side, norm = pdf["cell"].to_numpy(), pdf["side"].to_numpy(), pdf["norm"].to_list()
+        size, counts = np.fromiter(map(len, norm), np.int64, len(norm)), pair_counts(norm)
+        # equal lines of several cells are one, so that what links them holds in all
+        name = pd.MultiIndex.from_frame(pdf[["h1", "h2"]]).factorize()[0]
+        groups, out = Forest(len(pdf)), []
+
+        def link(i: np.ndarray, j: np.ndarray) -> None:
+            root = np.array([groups.root(x) for x in range(len(norm))])
+            apart = root[name[i]] != root[name[j]]
+            i, j = i[apart], j[apart]
+            keep = may_be_close(counts, size, i, j, similarity)
+            for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
+                a, b = int(name[x]), int(name[y])
+                if groups.root(a) != groups.root(b) and close(norm[x], norm[y], similarity):
+                    groups.join(a, b)
+                    out.append((x, y))
+
+        # the first of each cell with the rest, so that of many alike few pairs are left
+        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        lead = np.repeat(start, np.diff(np.r_[start, len(cell)]))
+        link(lead, np.arange(len(cell)))
+        for i, j in listed(cell, side):
+            link(i, j)
+        ids = [f"{x:x}:{y:x}" for x, y in zip(pdf["h1"].to_numpy().view(np.uint64).tolist(), pdf["h2"].to_numpy().view(np.uint64).tolist(), strict=True)]
+        return pd.DataFrame({"a": pd.Series([ids[x] for x, _ in out], dtype=object), "b": pd.Series([ids[y] for _, y in out], dtype=object)})
+
+    return dealt.join(text, "h1").groupBy("part").applyInPandas(verify, "a string, b string")
+
+
+def fuzzy_line_groups(docs: DataFrame, min_words: int, radius: int, similarity: float, cap: int, part_rows: int, bands: int = 0) -> DataFrame:
     """doc_key, lines: the places, in each document, of lines that aren't the first of their group."""
-    lines = materialize(line_table(docs, min_words), "lines")
+    lines = materialize(line_table(docs, min_words, not bands), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_key", "line")
     nodes = materialize(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim")), "nodes")
-    edges = line_links(nodes.select("h1", "h2", "sim"), lines.select("h1", "h2", "norm"), radius, similarity, cap, part_rows)
+    texts = lines.select("h1", "h2", "norm")
+    edges = banded_links(texts, bands, similarity, cap) if bands else line_links(nodes.select("h1", "h2", "sim"), texts, radius, similarity, cap, part_rows)
     roots = components(materialize(edges, "links"))
     at = F.concat_ws(":", F.lower(F.hex("h1")), F.lower(F.hex("h2")))
     grouped = nodes.select(at.alias("node"), "h1", "h2", "first").join(roots, "node")
@@ -202,9 +320,11 @@ def fuzzy_line_groups(docs: DataFrame, min_words: int, radius: int, similarity:
     return lines.select("doc_key", "line").distinct().join(kept, ["doc_key", "line"], "left_anti").groupBy("doc_key").agg(F.collect_list("line").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, radius: int = 3, similarity: float = 0.8, cap: int = 4096, part_rows: int = 400_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 5, radius: int = 3, similarity: float = 0.8, cap: int = 4096, part_rows: int = 400_000, bands: int = 0) -> DataFrame:
     """``docs`` (doc_id, text, any other columns) with n_lines, n_removed and kept_text.
 
+    ``bands``: how many bands of character n-grams find candidates; 0: only pairs within ``radius`` bits are compared.
+
     Null and empty texts have no lines that take part and stay as they are. Rows that are equal in doc_id and text are
     one document and keep the same lines; null doc_ids come last. Texts are read whole. An empty table gives no rows.
     Columns named n_lines, n_removed or kept_text in the input are replaced.
@@ -213,7 +333,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, radius: int = 3, similarity
     docs = docs.drop("n_lines", "n_removed", "kept_text")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("doc_key"))
-    removed = fuzzy_line_groups(slim, min_words, radius, similarity, cap, part_rows)
+    removed = fuzzy_line_groups(slim, min_words, radius, similarity, cap, part_rows, bands)
     removed = removed.select(F.col("doc_key").alias("_key"), F.col("lines").alias("_lines"))
     rows = docs.withColumn("_own", key).join(removed, F.col("_own") == F.col("_key"), "left")
     whole = F.split("text", "\n", -1)

@@ -12,7 +12,7 @@ from lumenkb.llm import queries
 from lumenkb.llm.components import components
 from lumenkb.llm.gsaca import suffix_array
 from lumenkb.llm.jaccard import jaccard_classes, one_of_each
-from lumenkb.llm.lines import choices, close, dedup_lines, distance, normalised, simhashes
+from lumenkb.llm.lines import BANDS, choices, close, dedup_lines, distance, normalised, simhashes
 from lumenkb.llm.pairs import Forest, listed
 from lumenkb.llm.shingles import shingle_set
 from lumenkb.llm.suffix import dedup_substrings
@@ -122,6 +122,20 @@ def test_op7_equals_all_pairs(spark):
     assert {r["doc_id"]: r["kept_md5"] for r in queries.op7_fuzzy_line_dedup(spark, SF).collect()} == want
 
 
+def test_banded_lines_equal_all_pairs_without_a_radius(docs):
+    rows = line_corpus()
+    want = plain_lines(rows, radius=64)
+    assert want != plain_lines(rows)
+    for cap in (4096, 3):
+        assert {r["doc_id"]: r["kept_text"] for r in dedup_lines(docs(rows), cap=cap, bands=BANDS).collect()} == want
+
+
+def test_op7_equals_all_pairs_without_a_radius(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").collect()]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: r["kept_text"] for r in dedup_lines(rows, bands=BANDS).collect()} == plain_lines(docs, radius=64)
+
+
 def test_lines_on_odd_rows(docs):
     got = dedup_lines(docs(ODD, extra=True)).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in ODD)
