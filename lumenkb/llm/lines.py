@@ -1,10 +1,11 @@
 """Operator 7: removal of lines that repeat, exactly or nearly, across and within documents.
 
-A line is normalised (lower case, digits as 0, ASCII punctuation as space, words joined by one space). Lines of fewer
-than ``min_words`` words are left alone: sentence fragments aren't boilerplate. Equal normalised lines are one node. A
-MinHash of a node's character ``GRAM``-grams, all bins of one permutation, is cut into ``bands`` of two bins; nodes that
-agree on a band are candidates. An exact bound by counts of character pairs and an edit similarity of ``similarity`` or
-more decide, links are closed to connected groups, and the first line of each group (by doc_id, then place) stays.
+A line is normalised (lower case, digits as 0, ASCII punctuation as space, words joined by one space). Equal normalised
+lines are one node, with ``short`` at any length. Lines of fewer than ``min_words`` words (characters, in scripts without
+spaces) are not linked to near ones: in sentence fragments a word is much. A MinHash of a node's byte ``GRAM``-grams, all
+bins of one permutation, is cut into ``bands`` of two bins; nodes that agree on a band, in ``AGREE`` bins and about in
+length are candidates. An exact bound by counts of character pairs and an edit similarity of ``similarity`` or more
+decide, links are closed to connected groups, and the first line of each group (by doc_id, then place) stays.
 
 Without ``bands``, candidates are nodes whose 64-bit SimHash of words differs in ``radius`` bits at most, which misses
 most pairs at that similarity: the codes are split into blocks, and such nodes agree on all but ``radius`` of the blocks,
@@ -13,6 +14,7 @@ so they meet under at least one choice of the others.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,9 +30,13 @@ from lumenkb.session import materialize, ship_code
 
 FOLD = bytes(48 if 48 <= i <= 57 else i if i >= 128 or 97 <= i <= 122 or i == 10 else 32 for i in range(256))
 #: Bytes of a gram, and columns that character pairs are counted in.
-GRAM, PAIRS = 7, 256
-#: Bands of the query and of the pipeline. Grams of a Jaccard similarity of 0.5 meet with a probability of 0.99, of 0.4 with 0.94.
+GRAM, PAIRS = 8, 256
+#: Characters of scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Bands of the query and of the pipeline. README has the recall.
 BANDS = 16
+#: Bins, of two for each band, in which candidates agree at least.
+AGREE = 5
 POWERS = np.cumprod(np.r_[np.uint64(1), np.full(255, 0x9E3779B97F4A7C15, np.uint64)], dtype=np.uint64)
 
 
@@ -61,8 +67,8 @@ def simhashes(lines: list[bytes]) -> np.ndarray:
     return np.packbits(2 * ones > per[:, None], axis=1).view(np.int64).ravel()
 
 
-def band_codes(lines: list[bytes], bands: int) -> np.ndarray:
-    """A 64-bit code per line and band: two bins of a one-permutation MinHash of its byte n-grams; none may be empty.
+def minhash(lines: list[bytes], bands: int) -> np.ndarray:
+    """Two bins a band of a one-permutation MinHash of the byte n-grams of each line; none may be empty.
 
     A bin without a gram takes the next that has one. A line shorter than a gram is a gram.
     """
@@ -86,7 +92,12 @@ def band_codes(lines: list[bytes], bands: int) -> np.ndarray:
     place = np.where(np.tile(full, 2), np.arange(2 * bins), 2 * bins)
     following = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :bins]
     far = (following - np.arange(bins)).astype(np.uint64)
-    low = np.take_along_axis(low, following % bins, axis=1) ^ mix(far)
+    return np.take_along_axis(low, following % bins, axis=1) ^ mix(far)
+
+
+def band_codes(lines: list[bytes], bands: int) -> np.ndarray:
+    """A 64-bit code per line and band."""
+    low = minhash(lines, bands)
     return mix(mix(low[:, ::2]) + low[:, 1::2] * np.uint64(3) + np.arange(bands, dtype=np.uint64))
 
 
@@ -152,8 +163,14 @@ def close(a: str, b: str, similarity: float) -> bool:
     return distance(a, b, most) <= most
 
 
-def line_table(docs: DataFrame, min_words: int, coded: bool = True) -> DataFrame:
-    """doc_id, doc_key, line, h1, h2 (128 bits of the normalised line), sim (0 unless ``coded``) and norm, of lines that take part."""
+def word_count(line: bytes) -> int:
+    """Words of a normalised line; where a script sets no spaces, each of its characters counts as one."""
+    n = line.count(b" ") + 1
+    return n if line.isascii() else n + len(UNSPACED.findall(line.decode("utf-8", "replace")))
+
+
+def line_table(docs: DataFrame, min_words: int, coded: bool = True, short: bool = False) -> DataFrame:
+    """doc_id, doc_key, line, h1, h2 (128 bits of the normalised line), sim (0 unless ``coded``) and norm, of lines that take part: all with a word if ``short``."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -161,7 +178,7 @@ def line_table(docs: DataFrame, min_words: int, coded: bool = True) -> DataFrame
             last = len(pdf) - 1
             for k, (doc_id, key, text) in enumerate(zip(pdf["doc_id"], pdf["doc_key"], pdf["text"], strict=True)):
                 for i, x in enumerate(normalised(text or "")):
-                    if x.count(b" ") + 1 >= min_words:
+                    if x and short or x.count(b" ") + 1 >= min_words:
                         ids.append(doc_id), keys.append(key), at.append(i), norms.append(x)
                         size += len(x)
                 if size > 1_000_000 or k == last:
@@ -241,26 +258,37 @@ def line_links(nodes: DataFrame, texts: DataFrame, radius: int, similarity: floa
     return full.groupBy("part").applyInPandas(verify, "a string, b string")
 
 
-def banded_links(lines: DataFrame, bands: int, similarity: float, cap: int) -> DataFrame:
+def banded_links(lines: DataFrame, bands: int, similarity: float, cap: int, min_words: int) -> DataFrame:
     """a, b: verified links between nodes, enough of them to connect each candidate group. ``lines``: h1, h2, norm.
 
     A node stands for itself by h1 until texts are compared; nodes that share h1 by chance are told apart there.
     """
 
-    def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def once(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+        """h1 and text of the lines that may be linked; a repeat told twice would do no harm."""
         seen: set[int] = set()
         for pdf in batches:
-            waiting, ids, size, last = [], [], 0, len(pdf) - 1
+            ids, waiting, size, last = [], [], 0, len(pdf) - 1
             for k, (h, norm) in enumerate(zip(pdf["h1"].tolist(), pdf["norm"], strict=True)):
-                if h not in seen:  # a repeat told twice would do no harm
+                if h not in seen and word_count(x := norm.encode("utf-8", "replace")) >= min_words:
                     if len(seen) >= 1_000_000:
                         seen.clear()
                     seen.add(h)
-                    waiting.append(norm.encode("utf-8", "replace")), ids.append(h)
-                    size += len(waiting[-1])
+                    ids.append(h), waiting.append(x)
+                    size += len(x)
                 if waiting and (size > 1_000_000 or k == last):
-                    yield pd.DataFrame({"bucket": band_codes(waiting, bands).view(np.int64).ravel(), "h1": np.repeat(np.array(ids, np.int64), bands)})
-                    waiting, ids, size = [], [], 0
+                    yield np.array(ids, np.int64), waiting
+                    ids, waiting, size = [], [], 0
+
+    def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, texts in once(batches):
+            yield pd.DataFrame({"bucket": band_codes(texts, bands).view(np.int64).ravel(), "h1": np.repeat(ids, bands)})
+
+    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, texts in once(batches):
+            sig = minhash(texts, bands).astype(np.uint8)  # a byte of each bin
+            size = [len(x.decode("utf-8", "replace")) for x in texts]
+            yield pd.DataFrame({"h1": ids, "size": np.array(size, np.int32), "sig": [x.tobytes() for x in sig]})
 
     rows = lines.select("h1", "norm").mapInPandas(codes, "bucket long, h1 long")
     shared = rows.groupBy("bucket").agg(F.array_sort(F.collect_set("h1")).alias("ids")).where(F.size("ids") > 1)
@@ -269,6 +297,23 @@ def banded_links(lines: DataFrame, bands: int, similarity: float, cap: int) -> D
     met = shared.select("bucket", F.explode("ids").alias("h1"))
     parts = max(8, met.count() // 20_000)
     dealt = materialize(deal(met, "bucket", "h1", cap, parts), "dealt")
+    about = lines.select("h1", "norm").mapInPandas(marks, "h1 long, size int, sig binary").dropDuplicates(["h1"])
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["cell", "side"], kind="stable")
+        sig, size = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1), pdf["size"].to_numpy()
+        hit = np.zeros(len(pdf), bool)
+        for i, j in listed(pdf["cell"].to_numpy(), pdf["side"].to_numpy(), 200_000):
+            # pairs of rows that are both known to be wanted have nothing to tell
+            new = ~(hit[i] & hit[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6)
+            i, j = i[new], j[new]
+            near = (sig[i] == sig[j]).sum(axis=1) >= AGREE
+            hit[i[near]] = hit[j[near]] = True
+        return pdf.loc[hit, ["h1", "cell", "side"]]
+
+    dealt = materialize(dealt.join(about, "h1").groupBy("part").applyInPandas(meet, "h1 long, cell long, side int"), "near")
+    few = max(8, dealt.count() // 20_000)
+    dealt = dealt.withColumn("part", F.expr(f"cast(pmod(xxhash64(cell), {few}) as int)"))
     text = lines.select("h1", "h2", "norm").join(dealt.select("h1").distinct(), "h1", "left_semi").dropDuplicates(["h1", "h2"])
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -302,13 +347,13 @@ def banded_links(lines: DataFrame, bands: int, similarity: float, cap: int) -> D
     return dealt.join(text, "h1").groupBy("part").applyInPandas(verify, "a string, b string")
 
 
-def fuzzy_line_groups(docs: DataFrame, min_words: int, radius: int, similarity: float, cap: int, part_rows: int, bands: int = 0) -> DataFrame:
+def fuzzy_line_groups(docs: DataFrame, min_words: int, radius: int, similarity: float, cap: int, part_rows: int, bands: int = 0, short: bool = False) -> DataFrame:
     """doc_key, lines: the places, in each document, of lines that aren't the first of their group."""
-    lines = materialize(line_table(docs, min_words, not bands), "lines")
+    lines = materialize(line_table(docs, min_words, not bands, short), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_key", "line")
     nodes = materialize(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim")), "nodes")
     texts = lines.select("h1", "h2", "norm")
-    edges = banded_links(texts, bands, similarity, cap) if bands else line_links(nodes.select("h1", "h2", "sim"), texts, radius, similarity, cap, part_rows)
+    edges = banded_links(texts, bands, similarity, cap, min_words) if bands else line_links(nodes.select("h1", "h2", "sim"), texts, radius, similarity, cap, part_rows)
     roots = components(materialize(edges, "links"))
     at = F.concat_ws(":", F.lower(F.hex("h1")), F.lower(F.hex("h2")))
     grouped = nodes.select(at.alias("node"), "h1", "h2", "first").join(roots, "node")
@@ -320,20 +365,24 @@ def fuzzy_line_groups(docs: DataFrame, min_words: int, radius: int, similarity:
     return lines.select("doc_key", "line").distinct().join(kept, ["doc_key", "line"], "left_anti").groupBy("doc_key").agg(F.collect_list("line").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, radius: int = 3, similarity: float = 0.8, cap: int = 4096, part_rows: int = 400_000, bands: int = 0) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 5, radius: int = 3, similarity: float = 0.8, cap: int = 4096, part_rows: int = 400_000, bands: int = 0, short: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, any other columns) with n_lines, n_removed and kept_text.
 
     ``bands``: how many bands of character n-grams find candidates; 0: only pairs within ``radius`` bits are compared.
+    ``short``: equal lines are one at any length, and only near ones need ``min_words``; else shorter lines take no part.
+    It goes with ``bands``.
 
     Null and empty texts have no lines that take part and stay as they are. Rows that are equal in doc_id and text are
     one document and keep the same lines; null doc_ids come last. Texts are read whole. An empty table gives no rows.
     Columns named n_lines, n_removed or kept_text in the input are replaced.
     """
+    if short and not bands:
+        raise ValueError("short lines need bands")
     ship_code(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed", "kept_text")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("doc_key"))
-    removed = fuzzy_line_groups(slim, min_words, radius, similarity, cap, part_rows, bands)
+    removed = fuzzy_line_groups(slim, min_words, radius, similarity, cap, part_rows, bands, short)
     removed = removed.select(F.col("doc_key").alias("_key"), F.col("lines").alias("_lines"))
     rows = docs.withColumn("_own", key).join(removed, F.col("_own") == F.col("_key"), "left")
     whole = F.split("text", "\n", -1)

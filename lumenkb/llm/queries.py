@@ -61,7 +61,7 @@ def op6_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenkb.llm.lines import BANDS, dedup_lines
 
-    rows = dedup_lines(table(spark, sf_dir, "documents"), bands=BANDS)
+    rows = dedup_lines(table(spark, sf_dir, "documents"), bands=BANDS, short=True)
     return rows.select("doc_id", "n_lines", "n_removed", F.md5(F.encode("kept_text", "UTF-8")).alias("kept_md5"))
 
 

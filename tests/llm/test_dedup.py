@@ -136,6 +136,13 @@ def test_op7_equals_all_pairs_without_a_radius(spark):
     assert {r["doc_id"]: r["kept_text"] for r in dedup_lines(rows, bands=BANDS).collect()} == plain_lines(docs, radius=64)
 
 
+def test_short_and_unspaced_lines_repeat(docs):
+    chinese = "这是一个关于数据清洗的很长的句子而且没有任何空格在里面"
+    rows = [(1, f"Read more\n{chinese}\n\n---"), (2, f"read more!\nRead less\n{chinese}\n\n---"), (3, chinese.replace("清洗", "整理"))]
+    got = {r["doc_id"]: r["kept_text"] for r in dedup_lines(docs(rows), bands=BANDS, short=True).collect()}
+    assert got == {1: rows[0][1], 2: "Read less\n\n---", 3: ""}
+
+
 def test_lines_on_odd_rows(docs):
     got = dedup_lines(docs(ODD, extra=True)).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in ODD)
