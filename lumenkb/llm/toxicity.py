@@ -35,6 +35,8 @@ SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]){3,}[^\W_](?![^\W_])")
 RUN = re.compile(r"(.)\1\1")
 WORD = re.compile(r"[^\W_]+")
 EDGE = " \t\r\n.,;:?!\"'()[]{}<>#%&*-_/\\|=~^`«»“”‘’…$"
+#: Of them, those that stand for no letter.
+QUOTES = "".join(c for c in EDGE if c not in STANDS_FOR)
 _codes = np.zeros(0x3000, np.int64)
 _codes[[ord(c) for c in LETTERS]] = np.arange(1, len(LETTERS) + 1)
 
@@ -72,26 +74,46 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log((cube + 8 * two[None]) / (cube.sum(axis=2, keepdims=True) + 8)).astype(np.float32)
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The most likely spelling of a lower-case token under the channel and the character model."""
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def decode(token: str, model: np.ndarray, spaces: bool = False) -> str:
+    """The most likely spelling of a lower-case token under the channel and the character model; with ``spaces``, of words.
+
+    A path keeps its spelling as a chain of (rest, character), so that long tokens take time in proportion.
+    """
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for i, c in enumerate(token):
         options = [(c, CHANNEL["self"])] if c in LETTERS else []
         options += [(x, CHANNEL["swap"]) for x in STANDS_FOR.get(c, "")]
         again = CHANNEL["again"] if i and token[i - 1] == c else None
         if not options:
             continue
-        step: dict[tuple[int, int], tuple[float, str]] = {}
+        if spaces and i:  # a word may end before this character
+            for (a, b), (cost, text) in list(paths.items()):
+                new = cost + float(model[a, b, 0])
+                if b and new > paths.get((b, 0), (-math.inf,))[0]:
+                    paths[b, 0] = (new, (text, " "))
+        step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, text) in paths.items():
-            if again is not None and cost + again > step.get((a, b), (-math.inf,))[0]:
+            if again is not None and b and cost + again > step.get((a, b), (-math.inf,))[0]:
                 step[a, b] = (cost + again, text)
             for x, p in options:
                 k = int(_codes[ord(x)])
                 new = cost + p + float(model[a, b, k])
                 if new > step.get((b, k), (-math.inf,))[0]:
-                    step[b, k] = (new, text + x)
+                    step[b, k] = (new, (text, x))
         paths = step
-    return max((cost + float(model[a, b, 0]), text) for (a, b), (cost, text) in paths.items())[1]
+    end = max(((cost + float(model[a, b, 0]), n) for n, ((a, b), (cost, _)) in enumerate(paths.items())), key=lambda x: x[0])[1]
+    chain, out = list(paths.values())[end][1], []
+    while chain is not None:
+        chain, x = chain
+        out.append(x)
+    return "".join(reversed(out))
+
+
+def obfuscated(token: str) -> bool:
+    """Whether a letter stands next to a character of the channel, or characters of the channel alone may spell a word."""
+    if any(a.isalpha() != b.isalpha() and (a in STANDS_FOR or b in STANDS_FOR) for a, b in zip(token, token[1:], strict=False)):
+        return True
+    return len(token) > 1 and token[0] in STANDS_FOR and not token.isdigit() and all(c in STANDS_FOR for c in token) and any(map(str.isalnum, token))
 
 
 def words(text: str, model: np.ndarray, known: dict[str, str]) -> set[str]:
@@ -106,26 +128,27 @@ def words(text: str, model: np.ndarray, known: dict[str, str]) -> set[str]:
                 core = restored(core, model, known)
             out.add(core)
         elif core:
-            letters = sum(map(str.isalpha, core))
-            if letters >= 2 and 2 * letters >= len(core) and any(c in STANDS_FOR for c in core) and len(core) <= 40:
-                out.add(restored(core, model, known))
             out.update(WORD.findall(core))
-            # symbols that close a word may be letters too: "a$$"
-            whole = t.strip(" \t.,;:?\"'()[]{}<>#%&*-_/\\=~^`«»“”‘’…")
-            if whole != core and len(whole) <= 40 and sum(map(str.isalpha, whole)) * 2 >= len(whole):
-                out.add(restored(whole, model, known))
+            if obfuscated(core):
+                out.add(restored(core, model, known))
+        # symbols at a word's ends may be letters too: "a$$", "$hit"; those that close a sentence are tried both ways
+        whole = t.strip(QUOTES)
+        for w in {whole, whole.rstrip("!|*+")} - {core}:
+            if obfuscated(w):
+                out.add(restored(w, model, known))
     for m in SPACED.findall(low):
         out.add(restored(re.sub(r"[ .\-_*]", "", m)[:200], model, known))
     out.discard("")
     return out
 
 
-def restored(token: str, model: np.ndarray, known: dict[str, str]) -> str:
-    if token not in known:
+def restored(token: str, model: np.ndarray, known: dict[str, str], spaces: bool = False) -> str:
+    key = " " + token if spaces else token
+    if key not in known:
         if len(known) >= 200_000:
             known.clear()
-        known[token] = decode(token[:400], model)
-    return known[token]
+        known[key] = decode(token, model, spaces)
+    return known[key]
 
 
 def evidence(found: set[str]) -> set[str]:

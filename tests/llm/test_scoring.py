@@ -32,6 +32,11 @@ def test_words_restores_spaced_letters(model):
     assert {"idiot", "moron", "what", "said"} <= got
 
 
+@pytest.mark.parametrize("seen, meant", [("1d10t", "idiot"), ("an 1d10t!", "idiot"), ("$tupid", "stupid"), ("(m0r0n)", "moron"), ("5tup1d,", "stupid"), ("cl0wn" + "n" * 60, "clown")])
+def test_words_sends_leeted_tokens_to_the_lattice(model, seen, meant):
+    assert meant in words(seen, model, {})
+
+
 def test_op3_on_held_out_labels(spark):
     got = queries.op3_deobfuscated_toxicity(spark, SF)
     labels = spark.read.parquet(f"{SF}/labels.parquet")
