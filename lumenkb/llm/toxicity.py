@@ -31,7 +31,7 @@ STANDS_FOR = {
     "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "£": "l", "(": "c", "*": "aeiou",
 }
 CHANNEL = {"self": math.log(0.9), "swap": math.log(0.3), "drop": math.log(0.5), "again": math.log(0.2)}
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]){3,}[^\W_](?![^\W_])")
+SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]){2,}[^\W_](?![^\W_])")
 RUN = re.compile(r"(.)\1\1")
 WORD = re.compile(r"[^\W_]+")
 EDGE = " \t\r\n.,;:?!\"'()[]{}<>#%&*-_/\\|=~^`«»“”‘’…$"
@@ -137,7 +137,7 @@ def words(text: str, model: np.ndarray, known: dict[str, str]) -> set[str]:
             if obfuscated(w):
                 out.add(restored(w, model, known))
     for m in SPACED.findall(low):
-        out.add(restored(re.sub(r"[ .\-_*]", "", m)[:200], model, known))
+        out.update(restored(re.sub(r"[ .\-_*]", "", m), model, known, spaces=True).split())
     out.discard("")
     return out
 

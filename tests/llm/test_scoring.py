@@ -37,6 +37,12 @@ def test_words_sends_leeted_tokens_to_the_lattice(model, seen, meant):
     assert meant in words(seen, model, {})
 
 
+def test_words_segments_spaced_letters(model):
+    assert "idiot" in words("t h e i d i o t", model, {})
+    assert "saw" in words("s a w", model, {})
+    assert "moron" in words("t h e s t u p i d " * 40 + "m o r o n", model, {})
+
+
 def test_op3_on_held_out_labels(spark):
     got = queries.op3_deobfuscated_toxicity(spark, SF)
     labels = spark.read.parquet(f"{SF}/labels.parquet")
