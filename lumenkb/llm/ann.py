@@ -73,8 +73,10 @@ def _search_cells(k: int, bits: int, seed: int, confidence: float, chunk: int):
                     for i in range(len(guess)):
                         one, own = q[lo + i], qids[lo + i]
                         # a sum along each row adds in the same order for equal rows, so that equal vectors tie
-                        first = (vectors[best_but(guess[i], 3 * k, ids, own)] * one).sum(axis=1)
-                        near = np.flatnonzero(upper[i] >= np.sort(first)[-k]) if len(first) >= k else np.arange(len(ids))
+                        guessed = best_but(guess[i], 3 * k, ids, own)
+                        first = (vectors[guessed] * one).sum(axis=1)
+                        # rows whose exact score is known stay, whatever their bound says
+                        near = np.union1d(guessed, np.flatnonzero(upper[i] >= np.sort(first)[-k])) if len(first) >= k else np.arange(len(ids))
                         exact = (vectors[near] * one).sum(axis=1)
                         got = best_but(exact, k, ids[near], own)
                         out.append(pd.DataFrame({"query_id": own, "vec_id": ids[near[got]], "score": exact[got]}))

@@ -5,10 +5,11 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lumenkb.llm import queries
-from lumenkb.llm.ann import nearest
+from lumenkb.llm.ann import _search_cells, encode_block, nearest
 from lumenkb.llm.topk import exact_top_k
 
 SF = "/root/testdata/sf0.001"
@@ -79,3 +80,12 @@ def test_op6_recall_and_scores(spark):
         assert [r["vec_id"] for r in mine] == [r["vec_id"] for r in sorted(mine, key=lambda r: (-r["score"], r["vec_id"]))]
         hits, total = hits + len(set(best) & {r["vec_id"] for r in mine}), total + 20
     assert hits / total >= 0.9
+
+
+def test_rows_scored_exactly_are_kept():
+    r, ids = np.random.default_rng(3), np.arange(21)
+    for _ in range(100):
+        m = r.standard_normal((21, 16))
+        cell = {f"c_{k}": v for k, v in encode_block(ids, m, 128, 29).items()} | {"q_ids": ids.tobytes(), "q_vectors": m.tobytes()}
+        got = next(_search_cells(20, 128, 29, 1.9, 64)(iter([pd.DataFrame([cell])])))
+        assert got.groupby("query_id").size().tolist() == [20] * 21
