@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,10 +24,8 @@ def postings(docs: DataFrame, text: str = "body") -> DataFrame:
 
 
 def small_batch(queries: DataFrame) -> DataFrame:
-    """``queries``, marked for broadcast once their number is known to be at most MOST_QUERIES; raises beyond it."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries in a batch")
-    return F.broadcast(queries)
+    """``queries``, marked for broadcast if they are known to be at most MOST_QUERIES."""
+    return queries if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES else F.broadcast(queries)
 
 
 def corpus_stats(docs: DataFrame, text: str = "body") -> DataFrame:
@@ -99,10 +98,18 @@ def scoped_search(docs: DataFrame, queries: DataFrame, prefix: str, level: str,
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """query_id, doc_id, rank, distance by cosine. ``vectors``: doc_id, v. ``queries``: query_id, v; at most MOST_QUERIES."""
-    asked = queries.select("query_id", F.col("v").cast("array<double>").alias("v")).limit(MOST_QUERIES + 1).toPandas()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries in a batch")
+    """query_id, doc_id, rank, distance by cosine. ``vectors``: doc_id, v. ``queries``: query_id, v; more than MOST_QUERIES go in blocks."""
+    asked = queries.select("query_id", F.col("v").cast("array<double>").alias("v"))
+    some = asked.limit(MOST_QUERIES + 1).toPandas()
+    if len(some) <= MOST_QUERIES:
+        return ranked_near(vectors, some, limit)
+    blocks = 2 * asked.count() // MOST_QUERIES + 1  # about half full; a query_id is never split
+    block = F.pmod(F.xxhash64(F.lit(11), "query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [ranked_near(vectors, asked.where(block == b).toPandas(), limit) for b in range(blocks)])
+
+
+def ranked_near(vectors: DataFrame, asked: pd.DataFrame, limit: int) -> DataFrame:
+    """The same for queries that the driver holds."""
     ids = asked["query_id"].to_numpy(np.int64)
     ship_code(vectors.sparkSession)
     held = vectors.sparkSession.sparkContext.broadcast(np.stack(asked["v"].to_list()) if len(asked) else np.zeros((0, 1)))

@@ -181,3 +181,14 @@ def test_entry_imports_without_optional_parts():
     import __spark_entry__ as e
 
     assert "hybrid_search" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_more_queries_than_a_batch_run_in_blocks(spark, monkeypatch):
+    from lumenkb.operators import search
+
+    vectors = spark.createDataFrame([(i, [float(i % 7) - 3, float(i % 5) + 1]) for i in range(30)], "doc_id long, v array<double>")
+    asked = vectors.select(F.col("doc_id").alias("query_id"), "v")
+    want = sorted(search.vector_search(vectors, asked, 3).collect())
+    monkeypatch.setattr(search, "MOST_QUERIES", 10)
+    assert sorted(search.vector_search(vectors, asked, 3).collect()) == want
+    assert vectors.join(search.small_batch(asked)).count() == 900
