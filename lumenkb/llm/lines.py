@@ -1,25 +1,28 @@
 """Operator 7: removal of lines that repeat, exactly or nearly, across and within documents.
 
 A line is normalised (lower case, digits as 0, ASCII punctuation as space, words joined by one space). Equal normalised
-lines are one node, with ``short`` at any length. Lines of fewer than ``min_words`` words (characters, in scripts without
-spaces) are not linked to near ones: in sentence fragments a word is much. A MinHash of a node's byte ``GRAM``-grams, all
-bins of one permutation, is cut into ``bands`` of two bins; nodes that agree on a band, in ``AGREE`` bins and about in
-length are candidates. An exact bound by counts of character pairs and an edit similarity of ``similarity`` or more
-decide, links are closed to connected groups, and the first line of each group (by doc_id, then place) stays.
-
-Without ``bands``, candidates are nodes whose 64-bit SimHash of words differs in ``radius`` bits at most, which misses
-most pairs at that similarity: the codes are split into blocks, and such nodes agree on all but ``radius`` of the blocks,
-so they meet under at least one choice of the others.
+lines are one node, at any length. Lines of fewer than ``min_words`` words (characters, in scripts without spaces) are not
+linked to near ones: in sentence fragments a word is much.
+
+A line's SimHash is made piece by piece, so that changed words spoil the pieces they are in and no other: runs of up to
+``PIECE`` words, three counted from the start of the line and three from its end, each have a 64-bit SimHash of their
+words; lines of about ``SHORT`` words or fewer have one for all their words and one for all but each. These are the pigeonhole
+blocks. Lines that agree on a block are compared: a plain 64-bit SimHash of all words may differ in ``RADIUS`` bits, and
+an edit similarity of ``similarity`` or more decides. Links are closed to connected groups, and the first line of each
+group (by doc_id, then place) stays.
+
+Nodes of a block are first compared with the block's smallest one only, a join whose rows follow the number of nodes.
+Nodes that this leaves unlinked are then compared with all others of the block, in cells of bounded size.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,20 +32,20 @@ from lumenkb.llm.pairs import Forest, deal, listed
 from lumenkb.session import materialize, ship_code
 
 FOLD = bytes(48 if 48 <= i <= 57 else i if i >= 128 or 97 <= i <= 122 or i == 10 else 32 for i in range(256))
-#: Bytes of a gram, and columns that character pairs are counted in.
-GRAM, PAIRS = 8, 256
+#: Words of a piece at most, words of a short line at most, bits in which the codes of whole lines may differ.
+PIECE, SHORT, RADIUS = 6, 8, 24
 #: Characters of scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
-#: Bands of the query and of the pipeline. README has the recall.
-BANDS = 16
-#: Bins, of two for each band, in which candidates agree at least.
-AGREE = 5
 POWERS = np.cumprod(np.r_[np.uint64(1), np.full(255, 0x9E3779B97F4A7C15, np.uint64)], dtype=np.uint64)
+LANES = np.uint64(0x0101010101010101)
 
 
 def normalised(text: str) -> list[bytes]:
     """The normalised form of each line of a text, split at line feeds."""
-    return [b" ".join(x.split()) for x in text.lower().encode("utf-8", "replace").translate(FOLD).split(b"\n")]
+    raw = text.lower().encode("utf-8", "replace").translate(FOLD)
+    while b"  " in raw:
+        raw = raw.replace(b"  ", b" ")
+    return raw.replace(b" \n", b"\n").replace(b"\n ", b"\n").strip(b" ").split(b"\n")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,73 +55,88 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def unit_hashes(lines: list[bytes], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the lines, one line after the other, and the number of words of each; none may be empty.
+
+    About ``most`` bytes are hashed at a time, cut between words, so that a very long line takes no more memory.
+    """
+    raw = b" ".join(lines) + b" "
+    out, lo = [], 0
+    while lo < len(raw):
+        hi = len(raw) if len(raw) - lo <= most else (raw.rfind(b" ", lo, lo + most) + 1 or raw.index(b" ", lo + most) + 1)
+        a = np.frombuffer(raw, np.uint8, hi - lo, lo)
+        gaps = np.flatnonzero(a == 32)
+        starts = np.r_[0, gaps[:-1] + 1]
+        length = gaps - starts + 1
+        place = np.arange(len(a)) - np.repeat(starts, length)
+        code = a * POWERS[place & 255]
+        code[gaps] = 0
+        out.append(mix(np.add.reduceat(code, starts)))
+        lo = hi
+    return np.concatenate(out), np.fromiter((x.count(b" ") + 1 for x in lines), np.int64, len(lines))
+
+
+def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit SimHash of each run of ``sizes`` hashes: the bits that more than half of the run have."""
+    # bytes count up to 255, so longer runs are counted in parts
+    parts = -(-sizes // 255)
+    whose = np.repeat(np.arange(len(sizes)), parts)
+    nth = np.arange(len(whose)) - np.repeat(np.cumsum(parts) - parts, parts)
+    starts = np.repeat(np.cumsum(sizes) - sizes, parts) + 255 * nth
+    ones = np.empty((len(whose), 8, 8), np.uint8)
+    for k in range(8):
+        ones[:, k] = np.add.reduceat((hashes >> np.uint64(k)) & LANES, starts).view(np.uint8).reshape(-1, 8)
+    if len(whose) > len(sizes):
+        ones = np.add.reduceat(ones, np.cumsum(parts) - parts, axis=0, dtype=np.int64)
+    bits = 2 * ones.astype(np.int64) > sizes[:, None, None]
+    return np.packbits(bits.reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 64), axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def simhashes(lines: list[bytes]) -> np.ndarray:
     """A 64-bit SimHash of the words of each normalised line; none may be empty."""
-    if not lines:
-        return np.zeros(0, np.int64)
-    raw = np.frombuffer(b" ".join(lines) + b" ", np.uint8)
-    gaps = np.flatnonzero(raw == 32)
-    starts = np.r_[0, gaps[:-1] + 1]
-    place = (np.arange(len(raw)) - np.repeat(starts, np.diff(np.r_[starts, len(raw)]))) & 255
-    words = mix(np.add.reduceat(np.where(raw == 32, np.uint64(0), raw.astype(np.uint64) * POWERS[place]), starts))
-    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
-    per = np.fromiter((x.count(b" ") + 1 for x in lines), np.int64, len(lines))
-    ones = np.add.reduceat(bits, np.r_[0, np.cumsum(per)[:-1]], axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > per[:, None], axis=1).view(np.int64).ravel()
-
-
-def minhash(lines: list[bytes], bands: int) -> np.ndarray:
-    """Two bins a band of a one-permutation MinHash of the byte n-grams of each line; none may be empty.
-
-    A bin without a gram takes the next that has one. A line shorter than a gram is a gram.
-    """
-    bins, none = 2 * bands, np.uint64(2**64 - 1)
-    per = np.fromiter(map(len, lines), np.int64, len(lines))
-    ends = np.cumsum(per)
-    raw = np.frombuffer(b"".join(lines) + bytes(GRAM), np.uint8).astype(np.uint64)
-    at = np.arange(len(raw) - GRAM)
-    owner = np.repeat(np.arange(len(lines)), per)
-    code = np.zeros(len(at), np.uint64)
-    for k in range(GRAM):
-        code = code << np.uint64(8) | raw[k : k + len(at)]
-    whole = at + GRAM <= ends[owner]
-    whole[ends - per] = True
-    code, owner = mix(code[whole]), owner[whole]
-    low = np.full(len(lines) * bins, none)
-    np.minimum.at(low, owner * bins + ((code >> np.uint64(48)) * np.uint64(bins) >> np.uint64(16)).astype(np.int64), code & np.uint64(2**48 - 1))
-    low = low.reshape(-1, bins)
-    full = low != none
-    # each bin's next full one, counted around
-    place = np.where(np.tile(full, 2), np.arange(2 * bins), 2 * bins)
-    following = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :bins]
-    far = (following - np.arange(bins)).astype(np.uint64)
-    return np.take_along_axis(low, following % bins, axis=1) ^ mix(far)
-
-
-def band_codes(lines: list[bytes], bands: int) -> np.ndarray:
-    """A 64-bit code per line and band."""
-    low = minhash(lines, bands)
-    return mix(mix(low[:, ::2]) + low[:, 1::2] * np.uint64(3) + np.arange(bands, dtype=np.uint64))
-
-
-def pair_counts(texts: list[str]) -> np.ndarray:
-    """Counts of each text's character pairs, hashed to PAIRS columns. An edit changes four of them by one at most."""
-    out = np.zeros((len(texts), PAIRS), np.int32)
-    for k, x in enumerate(texts):
-        a = np.frombuffer(x.encode("utf-32-le", "replace"), np.uint32)
-        out[k] = np.bincount((a[:-1] * np.uint32(31) + a[1:] * np.uint32(7)) % PAIRS, minlength=PAIRS)
-    return out
-
-
-def may_be_close(counts: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float, block: int = 20_000) -> np.ndarray:
-    """False only for pairs that are below the similarity."""
-    most = (1 - similarity) * np.maximum(size[i], size[j]) + 1e-9
-    keep = np.abs(size[i] - size[j]) <= most
-    at = np.flatnonzero(keep)
-    for lo in range(0, len(at), block):
-        x = at[lo : lo + block]
-        keep[x] = np.abs(counts[i[x]] - counts[j[x]]).sum(axis=1) <= 4 * most[x]
-    return keep
+    return majority(*unit_hashes(lines)).view(np.int64) if lines else np.zeros(0, np.int64)
+
+
+def pieces(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each piece of lines of ``counts`` words its line, a tag of its kind and place, its size; and the words of all pieces."""
+    base = np.cumsum(counts) - counts
+    line, tag, size, words = [], [], [], []
+
+    def add(at: np.ndarray, kind: int, picked: np.ndarray) -> None:
+        line.append(at), tag.append(np.full(len(at), kind)), size.append(np.full(len(at), picked.shape[1])), words.append(picked.ravel())
+
+    for n in range(1, SHORT + 2):
+        at = np.flatnonzero(counts == n)
+        if len(at):
+            every = base[at, None] + np.arange(n)
+            add(at, 0, every)
+            for k in range(n if n > 1 else 0):  # of one size with the whole of a line that lacks the word
+                add(at, 0, np.delete(every, k, axis=1))
+    for length in range(SHORT // 3 + 1, PIECE + 1):
+        # lines near the limit between two lengths have pieces of both
+        lo, hi = (SHORT if length == SHORT // 3 + 1 else 4 * length), (4 * length + 7 if length < PIECE else 1 << 60)
+        at = np.flatnonzero((counts >= lo) & (counts <= hi))
+        for k in range(3 if len(at) else 0):
+            near = at[counts[at] >= (k + 1) * length]
+            add(near, 16 * length + k + 1, base[near, None] + k * length + np.arange(length))
+            add(near, 16 * length + k + 9, (base + counts)[near, None] - (k + 1) * length + np.arange(length))
+    if not line:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    return tuple(np.concatenate(x) for x in (line, tag, size, words))
+
+
+def block_codes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The SimHash of each line, and the blocks: the line and the 64-bit code of each, lines ascending."""
+    hashes, counts = unit_hashes(lines)
+    line, tag, size, words = pieces(counts)
+    code = mix(majority(hashes[words], size) + mix(tag.astype(np.uint64))) if len(line) else np.zeros(0, np.uint64)
+    order = np.argsort(line, kind="stable")
+    return majority(hashes, counts).view(np.int64), line[order], code[order].view(np.int64)
+
+
+def spaced(line: bytes) -> bytes:
+    """The line with each character of a script without spaces as a word of its own."""
+    return b" ".join(UNSPACED.sub(r" \g<0> ", line.decode("utf-8", "replace")).encode().split())
 
 
 def distance(a: str, b: str, most: float = float("inf")) -> float:
@@ -163,228 +181,160 @@ def close(a: str, b: str, similarity: float) -> bool:
     return distance(a, b, most) <= most
 
 
-def word_count(line: bytes) -> int:
-    """Words of a normalised line; where a script sets no spaces, each of its characters counts as one."""
-    n = line.count(b" ") + 1
-    return n if line.isascii() else n + len(UNSPACED.findall(line.decode("utf-8", "replace")))
-
-
-def line_table(docs: DataFrame, min_words: int, coded: bool = True, short: bool = False) -> DataFrame:
-    """doc_id, doc_key, line, h1, h2 (128 bits of the normalised line), sim (0 unless ``coded``) and norm, of lines that take part: all with a word if ``short``."""
+def line_table(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, k1, k2, line, h1, h2 (128 bits of the normalised line) of all lines with a word.
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids, keys, at, norms, size = [], [], [], [], 0
-            last = len(pdf) - 1
-            for k, (doc_id, key, text) in enumerate(zip(pdf["doc_id"], pdf["doc_key"], pdf["text"], strict=True)):
-                for i, x in enumerate(normalised(text or "")):
-                    if x and short or x.count(b" ") + 1 >= min_words:
-                        ids.append(doc_id), keys.append(key), at.append(i), norms.append(x)
-                        size += len(x)
-                if size > 1_000_000 or k == last:
-                    d = b"".join(map(xxhash.xxh3_128_digest, norms))
-                    h = np.frombuffer(d, np.int64).reshape(-1, 2)
-                    norm = pd.Series([x.decode("utf-8", "replace") for x in norms], dtype=object)
-                    yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "doc_key": np.array(keys, np.int64), "line": np.array(at, np.int32), "h1": h[:, 0], "h2": h[:, 1], "sim": simhashes(norms) if coded else np.zeros(len(norms), np.int64), "norm": norm})
-                    ids, keys, at, norms, size = [], [], [], [], 0
-
-    rows = docs.select(F.col("doc_id"), F.col("doc_key"), F.col("text"))
-    return rows.mapInPandas(split, "doc_id long, doc_key long, line int, h1 long, h2 long, sim long, norm string")
-
-
-def choices(nodes: int, radius: int) -> list[list[int]]:
-    """Bit masks, as lists of bits: any two codes within ``radius`` agree on all bits of one of them.
-
-    The number of blocks grows with that of the nodes, so that a bucket holds few of them by chance. It changes which
-    pairs meet by chance and how often, never which are found.
+    norm, sim and blocks (the line's codes) are null where the line is too short to be linked to near ones, and where the
+    same task has sent the same line before.
     """
-    blocks = next((m for m in range(radius + 1, 9) if nodes <= 64 * 2.0 ** (64 * (m - radius) // m)), 9)
-    parts = np.array_split(np.arange(64), blocks)
-    return [[int(b) for p in c for b in parts[p]] for c in combinations(range(blocks), blocks - radius)]
-
-
-def _masks(chosen: list[list[int]]) -> np.ndarray:
-    return np.array([sum(1 << b for b in c) for c in chosen], np.uint64)
-
-
-def _near(sim: np.ndarray, i: np.ndarray, j: np.ndarray, table: np.ndarray, masks: np.ndarray, radius: int) -> np.ndarray:
-    """Pairs within the radius, told only under the first choice of blocks on which they agree."""
-    x = sim[i] ^ sim[j]
-    keep = np.bitwise_count(x) <= radius
-    at = np.flatnonzero(keep)
-    first = np.argmax((x[at, None] & masks) == 0, axis=1)
-    keep[at] = first == table[i[at]]
-    return keep
-
+    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("norm", pa.string()), ("sim", pa.int64()), ("blocks", pa.list_(pa.int64()))])
+
+    def frame(rows: list[tuple], norms: list[bytes], sent: set[int]) -> pa.RecordBatch:
+        h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, norms)), np.int64).reshape(-1, 2)
+        new, units = [], []
+        for at, (one, x) in enumerate(zip(h[:, 0].tolist(), norms, strict=True)):
+            if one in sent:
+                continue
+            unit = x if x.isascii() or max(x) < 0xE0 else spaced(x)
+            if unit.count(b" ") + 1 >= min_words:
+                if len(sent) >= 1_000_000:
+                    sent.clear()
+                sent.add(one)
+                new.append(at), units.append(unit)
+        sim, line, code = block_codes(units) if new else (np.zeros(0, np.int64),) * 3
+        shown, codes, none = [None] * len(norms), np.zeros(len(norms), np.int64), np.ones(len(norms), bool)
+        for at in new:
+            shown[at] = norms[at]
+        codes[new], none[new] = sim, False
+        ends = np.zeros(len(norms) + 1, np.int32)
+        ends[1:][new] = np.bincount(line, minlength=len(new))
+        ends = np.cumsum(ends, dtype=np.int32)
+        blocks = pa.ListArray.from_arrays(pa.array(ends), pa.array(code))
+        ids, k1, k2, places = zip(*rows, strict=True)
+        columns = [pa.array(ids, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(places, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(shown, pa.binary()).cast(pa.string()), pa.array(codes, mask=none), blocks]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        for b in batches:
+            rows, norms, size = [], [], 0
+            for doc_id, k1, k2, text in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
+                for i, x in enumerate(normalised(text.as_py() or "")):
+                    if x:
+                        rows.append((doc_id, k1, k2, i)), norms.append(x)
+                        size += len(x)
+                        if size > 1_000_000:
+                            yield frame(rows, norms, sent)
+                            rows, norms, size = [], [], 0
+            if rows:
+                yield frame(rows, norms, sent)
 
-def line_links(nodes: DataFrame, texts: DataFrame, radius: int, similarity: float, cap: int, part_rows: int) -> DataFrame:
-    """a, b: verified links between nodes (h1, h2, sim), enough of them to connect each group. ``texts``: h1, h2, norm."""
-    n = nodes.count()
-    chosen = choices(n, radius)
-    masks = _masks(chosen)
-    parts = max(8, n * len(chosen) // part_rows)
-    tables = F.explode(F.array(*[F.struct(F.lit(t).alias("table"), F.col("sim").bitwiseAND(F.lit(int(m.astype(np.int64)))).alias("value")) for t, m in enumerate(masks)]))
-    rows = nodes.withColumn("_t", tables).select("h1", "h2", "sim", F.col("_t.table").alias("table"), F.xxhash64("_t.table", "_t.value").alias("bucket"))
-    dealt = deal(rows, "bucket", "h1, h2", cap, parts, drop_single=False)
+    return docs.select("doc_id", "k1", "k2", "text").mapInArrow(split, "doc_id long, k1 long, k2 long, line int, h1 long, h2 long, norm string, sim long, blocks array<long>")
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cell", "side"], kind="stable")
-        sim, table = pdf["sim"].to_numpy().view(np.uint64), pdf["table"].to_numpy()
-        hit = np.zeros(len(pdf), bool)
-        for i, j in listed(pdf["cell"].to_numpy(), pdf["side"].to_numpy()):
-            near = _near(sim, i, j, table, masks, radius)
-            hit[i[near]] = hit[j[near]] = True
-        return pdf.loc[hit, ["h1", "h2", "sim", "table", "cell", "side"]]
-
-    met = materialize(dealt.groupBy("part").applyInPandas(meet, "h1 long, h2 long, sim long, table int, cell long, side int"), "met")
-    # only nodes that met another within the radius need their text
-    wanted = met.select("h1", "h2").distinct()
-    text = texts.join(wanted, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cell", "side", "h1", "h2"], kind="stable")
-        sim, table, norm = pdf["sim"].to_numpy().view(np.uint64), pdf["table"].to_numpy(), pdf["norm"].to_list()
-        groups, out = Forest(len(pdf)), []
-        for i, j in listed(pdf["cell"].to_numpy(), pdf["side"].to_numpy()):
-            near = _near(sim, i, j, table, masks, radius)
-            for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
-                if groups.root(x) != groups.root(y) and close(norm[x], norm[y], similarity):
-                    groups.join(x, y)
-                    out.append((x, y))
-        ids = [f"{x:x}:{y:x}" for x, y in zip(pdf["h1"].to_numpy().view(np.uint64).tolist(), pdf["h2"].to_numpy().view(np.uint64).tolist(), strict=True)]
-        return pd.DataFrame({"a": pd.Series([ids[x] for x, _ in out], dtype=object), "b": pd.Series([ids[y] for _, y in out], dtype=object)})
 
-    full = met.withColumn("part", F.expr(f"cast(pmod(xxhash64(cell), {parts}) as int)")).join(text, ["h1", "h2"])
-    return full.groupBy("part").applyInPandas(verify, "a string, b string")
+def node_id(h1: np.ndarray, h2: np.ndarray) -> list[str]:
+    return [f"{x:x}:{y:x}" for x, y in zip(h1.view(np.uint64).tolist(), h2.view(np.uint64).tolist(), strict=True)]
 
 
-def banded_links(lines: DataFrame, bands: int, similarity: float, cap: int, min_words: int) -> DataFrame:
-    """a, b: verified links between nodes, enough of them to connect each candidate group. ``lines``: h1, h2, norm.
+def line_links(lines: DataFrame, similarity: float, cap: int, part_rows: int) -> DataFrame:
+    """a, b: verified links between nodes, enough of them to connect each group. ``lines``: h1, h2, norm, sim, blocks.
 
     A node stands for itself by h1 until texts are compared; nodes that share h1 by chance are told apart there.
     """
-
-    def once(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-        """h1 and text of the lines that may be linked; a repeat told twice would do no harm."""
-        seen: set[int] = set()
+    blocks = lines.where(F.col("blocks").isNotNull()).select(F.explode("blocks").alias("block"), "h1")
+    # two numbers a block are kept, so that a block of many nodes is combined before the shuffle
+    shared = blocks.groupBy("block").agg(F.min("h1").alias("lead"), F.max("h1").alias("last")).where(F.col("lead") < F.col("last"))
+    met = materialize(blocks.join(shared.select("block", "lead"), "block").where(F.col("h1") != F.col("lead")), "met")
+    pairs = materialize(met.select("h1", "lead").distinct(), "pairs")
+    wanted = pairs.select("h1").union(pairs.select("lead")).distinct()
+    known = lines.where(F.col("norm").isNotNull()).select("h1", "h2", "norm", "sim")
+    text = materialize(known.join(wanted, "h1", "left_semi").dropDuplicates(["h1", "h2"]), "texts")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, waiting, size, last = [], [], 0, len(pdf) - 1
-            for k, (h, norm) in enumerate(zip(pdf["h1"].tolist(), pdf["norm"], strict=True)):
-                if h not in seen and word_count(x := norm.encode("utf-8", "replace")) >= min_words:
-                    if len(seen) >= 1_000_000:
-                        seen.clear()
-                    seen.add(h)
-                    ids.append(h), waiting.append(x)
-                    size += len(x)
-                if waiting and (size > 1_000_000 or k == last):
-                    yield np.array(ids, np.int64), waiting
-                    ids, waiting, size = [], [], 0
-
-    def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, texts in once(batches):
-            yield pd.DataFrame({"bucket": band_codes(texts, bands).view(np.int64).ravel(), "h1": np.repeat(ids, bands)})
-
-    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, texts in once(batches):
-            sig = minhash(texts, bands).astype(np.uint8)  # a byte of each bin
-            size = [len(x.decode("utf-8", "replace")) for x in texts]
-            yield pd.DataFrame({"h1": ids, "size": np.array(size, np.int32), "sig": [x.tobytes() for x in sig]})
-
-    rows = lines.select("h1", "norm").mapInPandas(codes, "bucket long, h1 long")
-    shared = rows.groupBy("bucket").agg(F.array_sort(F.collect_set("h1")).alias("ids")).where(F.size("ids") > 1)
-    # bands that hold the same nodes are one
-    shared = materialize(shared.groupBy("ids").agg(F.min("bucket").alias("bucket")), "shared")
-    met = shared.select("bucket", F.explode("ids").alias("h1"))
-    parts = max(8, met.count() // 20_000)
-    dealt = materialize(deal(met, "bucket", "h1", cap, parts), "dealt")
-    about = lines.select("h1", "norm").mapInPandas(marks, "h1 long, size int, sig binary").dropDuplicates(["h1"])
+            bits = np.bitwise_count(pdf["sim"].to_numpy().view(np.uint64) ^ pdf["lead_sim"].to_numpy().view(np.uint64))
+            ok = np.fromiter((b <= RADIUS and close(x, y, similarity) for b, x, y in zip(bits.tolist(), pdf["norm"], pdf["lead_norm"], strict=True)), bool, len(pdf))
+            yield pdf[["h1", "h2", "lead", "lead_h2"]].assign(ok=ok)
+
+    leads = text.select(*[F.col(c).alias(n) for c, n in (("h1", "lead"), ("h2", "lead_h2"), ("norm", "lead_norm"), ("sim", "lead_sim"))])
+    both = pairs.join(text, "h1").join(leads, "lead")
+    told = materialize(both.mapInPandas(compare, "h1 long, h2 long, lead long, lead_h2 long, ok boolean"), "told")
+    name = lambda one, two: F.concat_ws(":", F.lower(F.hex(one)), F.lower(F.hex(two)))
+    links = told.where("ok").select(name("h1", "h2").alias("a"), name("lead", "lead_h2").alias("b"))
+
+    # what is not linked to the first node of a block may be linked to others of it
+    failed = told.where(~F.col("ok")).select("h1", "lead").distinct()
+    rest = materialize(met.join(failed, ["h1", "lead"]).select("block", "h1").distinct(), "rest")
+    if rest.isEmpty():
+        return links
+    open_blocks = rest.select("block").distinct()
+    among = met.join(open_blocks, "block", "left_semi").select("block", "h1").distinct()
+    among = materialize(among.join(rest.withColumn("rest", F.lit(True)), ["block", "h1"], "left").withColumn("rest", F.coalesce("rest", F.lit(False))), "among")
+    parts = max(8, among.count() // part_rows)
+    dealt = deal(among, "block", "h1", cap, parts)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cell", "side"], kind="stable")
-        sig, size = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1), pdf["size"].to_numpy()
-        hit = np.zeros(len(pdf), bool)
-        for i, j in listed(pdf["cell"].to_numpy(), pdf["side"].to_numpy(), 200_000):
-            # pairs of rows that are both known to be wanted have nothing to tell
-            new = ~(hit[i] & hit[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6)
-            i, j = i[new], j[new]
-            near = (sig[i] == sig[j]).sum(axis=1) >= AGREE
-            hit[i[near]] = hit[j[near]] = True
-        return pdf.loc[hit, ["h1", "cell", "side"]]
-
-    dealt = materialize(dealt.join(about, "h1").groupBy("part").applyInPandas(meet, "h1 long, cell long, side int"), "near")
-    few = max(8, dealt.count() // 20_000)
-    dealt = dealt.withColumn("part", F.expr(f"cast(pmod(xxhash64(cell), {few}) as int)"))
-    text = lines.select("h1", "h2", "norm").join(dealt.select("h1").distinct(), "h1", "left_semi").dropDuplicates(["h1", "h2"])
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["cell", "side", "h1", "h2"], kind="stable")
-        cell, side, norm = pdf["cell"].to_numpy(), pdf["side"].to_numpy(), pdf["norm"].to_list()
-        size, counts = np.fromiter(map(len, norm), np.int64, len(norm)), pair_counts(norm)
+        cell, side, norm, rest = pdf["cell"].to_numpy(), pdf["side"].to_numpy(), pdf["norm"].to_list(), pdf["rest"].to_numpy()
+        sim = pdf["sim"].to_numpy().view(np.uint64)
+        size = np.fromiter(map(len, norm), np.int64, len(norm))
         # equal lines of several cells are one, so that what links them holds in all
         name = pd.MultiIndex.from_frame(pdf[["h1", "h2"]]).factorize()[0]
-        groups, out = Forest(len(pdf)), []
-
-        def link(i: np.ndarray, j: np.ndarray) -> None:
-            root = np.array([groups.root(x) for x in range(len(norm))])
-            apart = root[name[i]] != root[name[j]]
-            i, j = i[apart], j[apart]
-            keep = may_be_close(counts, size, i, j, similarity)
-            for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
+        groups, out, seen = Forest(len(pdf)), [], set()
+        for i, j in listed(cell, side):
+            keep = (rest[i] | rest[j]) & (name[i] != name[j]) & (np.bitwise_count(sim[i] ^ sim[j]) <= RADIUS)
+            i, j = i[keep], j[keep]
+            keep = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
+            i, j = i[keep], j[keep]
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 a, b = int(name[x]), int(name[y])
-                if groups.root(a) != groups.root(b) and close(norm[x], norm[y], similarity):
+                if (a, b) in seen or groups.root(a) == groups.root(b):
+                    continue
+                if close(norm[x], norm[y], similarity):
                     groups.join(a, b)
                     out.append((x, y))
-
-        # the first of each cell with the rest, so that of many alike few pairs are left
-        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        lead = np.repeat(start, np.diff(np.r_[start, len(cell)]))
-        link(lead, np.arange(len(cell)))
-        for i, j in listed(cell, side):
-            link(i, j)
-        ids = [f"{x:x}:{y:x}" for x, y in zip(pdf["h1"].to_numpy().view(np.uint64).tolist(), pdf["h2"].to_numpy().view(np.uint64).tolist(), strict=True)]
+                elif len(seen) < 1_000_000:
+                    seen.add((a, b))
+        ids = node_id(pdf["h1"].to_numpy(), pdf["h2"].to_numpy())
         return pd.DataFrame({"a": pd.Series([ids[x] for x, _ in out], dtype=object), "b": pd.Series([ids[y] for _, y in out], dtype=object)})
 
-    return dealt.join(text, "h1").groupBy("part").applyInPandas(verify, "a string, b string")
+    return links.union(dealt.join(text, "h1").groupBy("part").applyInPandas(meet, "a string, b string"))
 
 
-def fuzzy_line_groups(docs: DataFrame, min_words: int, radius: int, similarity: float, cap: int, part_rows: int, bands: int = 0, short: bool = False) -> DataFrame:
-    """doc_key, lines: the places, in each document, of lines that aren't the first of their group."""
-    lines = materialize(line_table(docs, min_words, not bands, short), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_key", "line")
-    nodes = materialize(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim")), "nodes")
-    texts = lines.select("h1", "h2", "norm")
-    edges = banded_links(texts, bands, similarity, cap, min_words) if bands else line_links(nodes.select("h1", "h2", "sim"), texts, radius, similarity, cap, part_rows)
-    roots = components(materialize(edges, "links"))
+def repeated_lines(docs: DataFrame, min_words: int, similarity: float, cap: int, part_rows: int) -> DataFrame:
+    """k1, k2, lines: the places, in each document, of lines that aren't the first of their group."""
+    lines = materialize(line_table(docs, min_words), "lines")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "line")
+    nodes = materialize(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
+    roots = components(materialize(line_links(lines.select("h1", "h2", "norm", "sim", "blocks"), similarity, cap, part_rows), "links"))
     at = F.concat_ws(":", F.lower(F.hex("h1")), F.lower(F.hex("h2")))
-    grouped = nodes.select(at.alias("node"), "h1", "h2", "first").join(roots, "node")
+    grouped = materialize(nodes.select(at.alias("node"), "h1", "h2", "first").join(roots, "node"), "grouped")
     best = grouped.groupBy("root").agg(F.min("first").alias("best"))
     # nodes whose group keeps another node's line lose all their lines
     lost = grouped.join(best, "root").where(F.col("best") != F.col("first")).select("h1", "h2", F.lit(True).alias("lost"))
-    status = nodes.select("h1", "h2", "first").join(lost, ["h1", "h2"], "left")
-    kept = status.where(F.col("lost").isNull()).select("first.doc_key", "first.line", F.lit(True).alias("kept"))
-    return lines.select("doc_key", "line").distinct().join(kept, ["doc_key", "line"], "left_anti").groupBy("doc_key").agg(F.collect_list("line").alias("lines"))
+    some = nodes.join(lost, ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("lost")).select("h1", "h2", "lost", "first")
+    hit = lines.select("h1", "h2", "k1", "k2", "line").join(some, ["h1", "h2"])
+    first = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2")) & (F.col("line") == F.col("first.line"))
+    gone = materialize(hit.where(F.col("lost").isNotNull() | ~first).select("k1", "k2", "line"), "gone")
+    return gone.groupBy("k1", "k2").agg(F.collect_set("line").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, radius: int = 3, similarity: float = 0.8, cap: int = 4096, part_rows: int = 400_000, bands: int = 0, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, cap: int = 4096, part_rows: int = 20_000) -> DataFrame:
     """``docs`` (doc_id, text, any other columns) with n_lines, n_removed and kept_text.
 
-    ``bands``: how many bands of character n-grams find candidates; 0: only pairs within ``radius`` bits are compared.
-    ``short``: equal lines are one at any length, and only near ones need ``min_words``; else shorter lines take no part.
-    It goes with ``bands``.
-
-    Null and empty texts have no lines that take part and stay as they are. Rows that are equal in doc_id and text are
-    one document and keep the same lines; null doc_ids come last. Texts are read whole. An empty table gives no rows.
-    Columns named n_lines, n_removed or kept_text in the input are replaced.
+    Equal lines are one at any length; only near ones need ``min_words``. Lines without a word are left alone. Null and
+    empty texts have no lines that take part and stay as they are. Rows that are equal in doc_id and text are one document
+    and keep the same lines; null doc_ids come last. Texts are read whole. An empty table gives no rows. Columns named
+    n_lines, n_removed or kept_text in the input are replaced.
     """
-    if short and not bands:
-        raise ValueError("short lines need bands")
     ship_code(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed", "kept_text")
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("doc_key"))
-    removed = fuzzy_line_groups(slim, min_words, radius, similarity, cap, part_rows, bands, short)
-    removed = removed.select(F.col("doc_key").alias("_key"), F.col("lines").alias("_lines"))
-    rows = docs.withColumn("_own", key).join(removed, F.col("_own") == F.col("_key"), "left")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    keys = [F.xxhash64(doc_id, text), F.xxhash64(F.lit(1), doc_id, text)]  # 128 bits
+    slim = docs.select(doc_id.alias("doc_id"), keys[0].alias("k1"), keys[1].alias("k2"), text.alias("text"))
+    removed = repeated_lines(slim, min_words, similarity, cap, part_rows)
+    removed = removed.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("lines").alias("_lines"))
+    rows = docs.withColumn("_o1", keys[0]).withColumn("_o2", keys[1]).join(removed, (F.col("_o1") == F.col("_k1")) & (F.col("_o2") == F.col("_k2")), "left")
     whole = F.split("text", "\n", -1)
     left = F.filter(whole, lambda x, i: ~F.array_contains(F.col("_lines"), i))
     return rows.select(
