@@ -33,7 +33,7 @@ from lumenkb.session import materialize, ship_code
 
 FOLD = bytes(48 if 48 <= i <= 57 else i if i >= 128 or 97 <= i <= 122 or i == 10 else 32 for i in range(256))
 #: Words of a piece at most, words of a short line at most, bits in which the codes of whole lines may differ.
-PIECE, SHORT, RADIUS = 6, 8, 24
+PIECE, SHORT, RADIUS = 6, 8, 20
 #: Characters of scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 POWERS = np.cumprod(np.r_[np.uint64(1), np.full(255, 0x9E3779B97F4A7C15, np.uint64)], dtype=np.uint64)
@@ -129,7 +129,9 @@ def block_codes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     """The SimHash of each line, and the blocks: the line and the 64-bit code of each, lines ascending."""
     hashes, counts = unit_hashes(lines)
     line, tag, size, words = pieces(counts)
-    code = mix(majority(hashes[words], size) + mix(tag.astype(np.uint64))) if len(line) else np.zeros(0, np.uint64)
+    # a word's place in its piece belongs to it, so that one that occurs twice does not outvote the others
+    place = (np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint64)
+    code = mix(majority(mix(hashes[words] + place), size) + mix(tag.astype(np.uint64))) if len(line) else np.zeros(0, np.uint64)
     order = np.argsort(line, kind="stable")
     return majority(hashes, counts).view(np.int64), line[order], code[order].view(np.int64)
 
@@ -176,8 +178,10 @@ def close(a: str, b: str, similarity: float) -> bool:
     if n - min(len(a), len(b)) > most:
         return False
     one, two = a.split(" "), b.split(" ")
-    if len(one) == len(two) and sum(max(len(x), len(y)) for x, y in zip(one, two, strict=True) if x != y) <= most:
-        return True  # words that differ, each put in its place: a bound of the distance from above
+    if len(one) == len(two):  # words that differ, each put in its place: a bound of the distance from above
+        apart = [(x, y) for x, y in zip(one, two, strict=True) if x != y]
+        if sum(max(len(x), len(y)) for x, y in apart) <= most:
+            return True
     return distance(a, b, most) <= most
 
 
@@ -262,16 +266,15 @@ def line_links(lines: DataFrame, similarity: float, cap: int, part_rows: int) ->
     name = lambda one, two: F.concat_ws(":", F.lower(F.hex(one)), F.lower(F.hex(two)))
     links = told.where("ok").select(name("h1", "h2").alias("a"), name("lead", "lead_h2").alias("b"))
 
-    # what is not linked to the first node of a block may be linked to others of it
-    failed = told.where(~F.col("ok")).select("h1", "lead").distinct()
-    rest = materialize(met.join(failed, ["h1", "lead"]).select("block", "h1").distinct(), "rest")
-    if rest.isEmpty():
+    # what is not linked to the first node of a block may be linked to others of it, if there are any
+    failed = told.where(~F.col("ok")).select("h1", "lead", F.lit(True).alias("rest")).distinct()
+    marked = materialize(met.join(failed, ["h1", "lead"], "left").select("block", "h1", F.coalesce("rest", F.lit(False)).alias("rest")), "marked")
+    few = marked.groupBy("block").agg(F.max("rest").alias("some"), F.min("h1").alias("low"), F.max("h1").alias("high"))
+    among = materialize(marked.join(few.where("some and low < high").select("block"), "block", "left_semi"), "among")
+    n = among.count()
+    if not n:
         return links
-    open_blocks = rest.select("block").distinct()
-    among = met.join(open_blocks, "block", "left_semi").select("block", "h1").distinct()
-    among = materialize(among.join(rest.withColumn("rest", F.lit(True)), ["block", "h1"], "left").withColumn("rest", F.coalesce("rest", F.lit(False))), "among")
-    parts = max(8, among.count() // part_rows)
-    dealt = deal(among, "block", "h1", cap, parts)
+    dealt = deal(among.distinct(), "block", "h1", cap, max(8, n // part_rows))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["cell", "side", "h1", "h2"], kind="stable")
@@ -281,6 +284,11 @@ def line_links(lines: DataFrame, similarity: float, cap: int, part_rows: int) ->
         # equal lines of several cells are one, so that what links them holds in all
         name = pd.MultiIndex.from_frame(pdf[["h1", "h2"]]).factorize()[0]
         groups, out, seen = Forest(len(pdf)), [], set()
+        # what isn't rest is linked to the first node of the block, and so to each other
+        tied = np.flatnonzero(~rest)
+        for x, y in zip(tied[:-1].tolist(), tied[1:].tolist(), strict=True):
+            if cell[x] == cell[y]:
+                groups.join(int(name[x]), int(name[y]))
         for i, j in listed(cell, side):
             keep = (rest[i] | rest[j]) & (name[i] != name[j]) & (np.bitwise_count(sim[i] ^ sim[j]) <= RADIUS)
             i, j = i[keep], j[keep]
