@@ -38,6 +38,8 @@ PIECE, SHORT, RADIUS = 6, 8, 20
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 POWERS = np.cumprod(np.r_[np.uint64(1), np.full(255, 0x9E3779B97F4A7C15, np.uint64)], dtype=np.uint64)
 LANES = np.uint64(0x0101010101010101)
+#: Columns that character pairs are counted in.
+PAIRS = 256
 
 
 def normalised(text: str) -> list[bytes]:
@@ -141,6 +143,24 @@ def spaced(line: bytes) -> bytes:
     return b" ".join(UNSPACED.sub(r" \g<0> ", line.decode("utf-8", "replace")).encode().split())
 
 
+def pair_counts(texts: list[str]) -> np.ndarray:
+    """Counts of each text's character pairs, hashed to PAIRS columns. An edit changes four of them by one at most."""
+    out = np.zeros((len(texts), PAIRS), np.int32)
+    for k, x in enumerate(texts):
+        a = np.frombuffer(x.encode("utf-32-le", "replace"), np.uint32)
+        out[k] = np.bincount((a[:-1] * np.uint32(31) + a[1:] * np.uint32(7)) % PAIRS, minlength=PAIRS)
+    return out
+
+
+def may_be_close(one: np.ndarray, two: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray, block: int = 20_000) -> np.ndarray:
+    """False only for pairs (i of counts ``one``, j of ``two``) that are more than ``most`` edits apart."""
+    keep = np.zeros(len(i), bool)
+    for lo in range(0, len(i), block):
+        x = slice(lo, lo + block)
+        keep[x] = np.abs(one[i[x]] - two[j[x]]).sum(axis=1) <= 4 * most[x]
+    return keep
+
+
 def distance(a: str, b: str, most: float = float("inf")) -> float:
     """Levenshtein distance, by bit-parallel columns (Hyyrö 2003) on what equal ends leave; infinite if over ``most``."""
     lo, hi = 0, min(len(a), len(b))
@@ -172,6 +192,73 @@ def distance(a: str, b: str, most: float = float("inf")) -> float:
     return d
 
 
+#: Letters, 0 and the space are classes of their own, all other characters share the rest.
+CLASSES = 64
+_class = (np.arange(0x110000) % (CLASSES - 28) + 28).astype(np.uint8)
+_class[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz0 "]] = np.arange(28)
+
+
+def middles(a: str, b: str) -> tuple[str, str]:
+    """What equal ends leave of two texts, the shorter first."""
+    if len(a) > len(b):
+        a, b = b, a
+    lo, hi = 0, len(a)
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    a, b = a[lo:], b[lo:]
+    lo, hi = 0, len(a)
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[len(a) - mid : len(a) - lo] == b[len(b) - mid : len(b) - lo] else (lo, mid - 1)
+    return a[: len(a) - lo], b[: len(b) - lo]
+
+
+def far_apart(pairs: list[tuple[str, str]], most: np.ndarray, block: int = 1024) -> np.ndarray:
+    """True only for pairs more than ``most`` edits apart: the distance of their classes of characters, columns of many pairs at once."""
+    out = np.zeros(len(pairs), bool)
+    cut = [middles(a, b) for a, b in pairs]
+    size = np.array([(len(a), len(b)) for a, b in cut], np.int64).reshape(-1, 2)
+    some = np.flatnonzero(size.max(axis=1, initial=0) > most)  # others can't be far apart
+    some = some[np.lexsort((size[some, 1], (size[some, 0] + 63) // 64))]
+    one = np.uint64(1)
+    for lo in range(0, len(some), block):
+        at = some[lo : lo + block]
+        m, n, limit, rows = size[at, 0], size[at, 1], most[at], np.arange(len(at))
+        words, steps = max(1, -(-int(m.max()) // 64)), int(n.max())
+        text = np.full((steps, len(at)), CLASSES, np.uint8)
+        has = np.zeros((words, len(at), CLASSES + 1), np.uint64)
+        for r, k in enumerate(at.tolist()):
+            a, b = (_class[np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)] for x in cut[k])
+            text[: len(b), r] = b
+            place = np.arange(len(a))
+            np.bitwise_or.at(has, (place >> 6, r, a), one << (place & 63).astype(np.uint64))
+        plus, minus = np.full((words, len(at)), ~np.uint64(0)), np.zeros((words, len(at)), np.uint64)
+        last = np.maximum(m - 1, 0) >> 6
+        shift = [np.where(last == w, np.maximum(m - 1, 0) & 63, 63).astype(np.uint64) for w in range(words)]
+        score = m.copy()
+        for t in range(steps):
+            up, down = np.ones(len(at), np.uint64), np.zeros(len(at), np.uint64)
+            step = np.zeros(len(at), np.int64)
+            for w in range(words):
+                eq, p, q = has[w, rows, text[t]], plus[w], minus[w]
+                vertical = eq | q
+                eq = eq | down
+                across = (((eq & p) + p) ^ p) | eq
+                rise, fall = q | ~(across | p), p & across
+                new_up, new_down = rise >> shift[w] & one, fall >> shift[w] & one
+                ends = last == w
+                step[ends] = new_up[ends].astype(np.int64) - new_down[ends].astype(np.int64)
+                rise, fall = rise << one | up, fall << one | down
+                plus[w], minus[w] = fall | ~(vertical | rise), rise & vertical
+                up, down = new_up, new_down
+            score += np.where((t < n) & (m > 0), step, 0)
+            if t % 16 == 15 and (score - np.maximum(n - t - 1, 0) > limit).all():
+                break
+        out[at] = np.where(m > 0, score - np.maximum(n - t - 1, 0), n) > limit
+    return out
+
+
 def close(a: str, b: str, similarity: float) -> bool:
     n = max(len(a), len(b))
     most = (1 - similarity) * n + 1e-9
@@ -182,6 +269,8 @@ def close(a: str, b: str, similarity: float) -> bool:
         apart = [(x, y) for x, y in zip(one, two, strict=True) if x != y]
         if sum(max(len(x), len(y)) for x, y in apart) <= most:
             return True
+    if n > 64 and 2 * most < sum(abs(a.count(c) - b.count(c)) for c in "abcdefghijklmnopqrstuvwxyz 0"):
+        return False  # an edit changes two counts by one at most
     return distance(a, b, most) <= most
 
 
@@ -256,8 +345,10 @@ def line_links(lines: DataFrame, similarity: float, cap: int, part_rows: int) ->
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            bits = np.bitwise_count(pdf["sim"].to_numpy().view(np.uint64) ^ pdf["lead_sim"].to_numpy().view(np.uint64))
-            ok = np.fromiter((b <= RADIUS and close(x, y, similarity) for b, x, y in zip(bits.tolist(), pdf["norm"], pdf["lead_norm"], strict=True)), bool, len(pdf))
+            ok = np.bitwise_count(pdf["sim"].to_numpy().view(np.uint64) ^ pdf["lead_sim"].to_numpy().view(np.uint64)) <= RADIUS
+            one, two = pdf["norm"].to_list(), pdf["lead_norm"].to_list()
+            for at in np.flatnonzero(ok).tolist():
+                ok[at] = close(one[at], two[at], similarity)
             yield pdf[["h1", "h2", "lead", "lead_h2"]].assign(ok=ok)
 
     leads = text.select(*[F.col(c).alias(n) for c, n in (("h1", "lead"), ("h2", "lead_h2"), ("norm", "lead_norm"), ("sim", "lead_sim"))])
@@ -269,21 +360,24 @@ def line_links(lines: DataFrame, similarity: float, cap: int, part_rows: int) ->
     # what is not linked to the first node of a block may be linked to others of it, if there are any
     failed = told.where(~F.col("ok")).select("h1", "lead", F.lit(True).alias("rest")).distinct()
     marked = materialize(met.join(failed, ["h1", "lead"], "left").select("block", "h1", F.coalesce("rest", F.lit(False)).alias("rest")), "marked")
-    few = marked.groupBy("block").agg(F.max("rest").alias("some"), F.min("h1").alias("low"), F.max("h1").alias("high"))
-    among = materialize(marked.join(few.where("some and low < high").select("block"), "block", "left_semi"), "among")
+    marked = materialize(marked.distinct(), "distinct")
+    few = marked.groupBy("block").agg(F.max("rest").alias("some"), F.min("h1").alias("low"), F.max("h1").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.expr("cast(xxhash64(h1, rest) as decimal(38))")).alias("all"))
+    # blocks of the same nodes are one
+    few = few.where("some and low < high").groupBy("low", "high", "n", "all").agg(F.min("block").alias("block")).select("block")
+    among = materialize(marked.join(few, "block", "left_semi"), "among")
     n = among.count()
     if not n:
         return links
-    dealt = deal(among.distinct(), "block", "h1", cap, max(8, n // part_rows))
+    dealt = deal(among, "block", "h1", cap, max(32, n // part_rows))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["cell", "side", "h1", "h2"], kind="stable")
         cell, side, norm, rest = pdf["cell"].to_numpy(), pdf["side"].to_numpy(), pdf["norm"].to_list(), pdf["rest"].to_numpy()
         sim = pdf["sim"].to_numpy().view(np.uint64)
-        size = np.fromiter(map(len, norm), np.int64, len(norm))
+        size, counts = np.fromiter(map(len, norm), np.int64, len(norm)), pair_counts(norm)
         # equal lines of several cells are one, so that what links them holds in all
         name = pd.MultiIndex.from_frame(pdf[["h1", "h2"]]).factorize()[0]
-        groups, out, seen = Forest(len(pdf)), [], set()
+        groups, out = Forest(len(pdf)), []
         # what isn't rest is linked to the first node of the block, and so to each other
         tied = np.flatnonzero(~rest)
         for x, y in zip(tied[:-1].tolist(), tied[1:].tolist(), strict=True):
@@ -292,17 +386,22 @@ def line_links(lines: DataFrame, similarity: float, cap: int, part_rows: int) ->
         for i, j in listed(cell, side):
             keep = (rest[i] | rest[j]) & (name[i] != name[j]) & (np.bitwise_count(sim[i] ^ sim[j]) <= RADIUS)
             i, j = i[keep], j[keep]
-            keep = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
+            most = (1 - similarity) * np.maximum(size[i], size[j]) + 1e-9
+            keep = np.abs(size[i] - size[j]) <= most
+            i, j, most = i[keep], j[keep], most[keep]
+            keep = may_be_close(counts, counts, i, j, most)
             i, j = i[keep], j[keep]
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                a, b = int(name[x]), int(name[y])
-                if (a, b) in seen or groups.root(a) == groups.root(b):
-                    continue
-                if close(norm[x], norm[y], similarity):
-                    groups.join(a, b)
-                    out.append((x, y))
-                elif len(seen) < 1_000_000:
-                    seen.add((a, b))
+            most = most[keep]
+            for lo in range(0, len(i), 8192):
+                # those that a link found meanwhile leaves in two groups
+                pairs = [k for k in range(lo, min(lo + 8192, len(i))) if groups.root(int(name[i[k]])) != groups.root(int(name[j[k]]))]
+                gone = far_apart([(norm[i[k]], norm[j[k]]) for k in pairs], most[pairs]) if len(pairs) > 200 else np.zeros(len(pairs), bool)
+                for k, away in zip(pairs, gone.tolist(), strict=True):
+                    x, y = int(i[k]), int(j[k])
+                    a, b = int(name[x]), int(name[y])
+                    if not away and groups.root(a) != groups.root(b) and close(norm[x], norm[y], similarity):
+                        groups.join(a, b)
+                        out.append((x, y))
         ids = node_id(pdf["h1"].to_numpy(), pdf["h2"].to_numpy())
         return pd.DataFrame({"a": pd.Series([ids[x] for x, _ in out], dtype=object), "b": pd.Series([ids[y] for _, y in out], dtype=object)})
 
@@ -327,7 +426,7 @@ def repeated_lines(docs: DataFrame, min_words: int, similarity: float, cap: int,
     return gone.groupBy("k1", "k2").agg(F.collect_set("line").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, cap: int = 4096, part_rows: int = 20_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, cap: int = 512, part_rows: int = 2_000) -> DataFrame:
     """``docs`` (doc_id, text, any other columns) with n_lines, n_removed and kept_text.
 
     Equal lines are one at any length; only near ones need ``min_words``. Lines without a word are left alone. Null and
