@@ -215,15 +215,18 @@ def middles(a: str, b: str) -> tuple[str, str]:
 
 
 def far_apart(pairs: list[tuple[str, str]], most: np.ndarray, block: int = 1024) -> np.ndarray:
-    """True only for pairs more than ``most`` edits apart: the distance of their classes of characters, columns of many pairs at once."""
+    """True only for pairs more than ``most`` edits apart, and for most of them: the distance of their classes of characters, columns of many pairs at once."""
     out = np.zeros(len(pairs), bool)
     cut = [middles(a, b) for a, b in pairs]
     size = np.array([(len(a), len(b)) for a, b in cut], np.int64).reshape(-1, 2)
-    some = np.flatnonzero(size.max(axis=1, initial=0) > most)  # others can't be far apart
+    # others can't be far apart, or are so long that nothing is won by taking many at once
+    some = np.flatnonzero((size[:, 1] > most) & (size[:, 0] <= 1024) & (size[:, 1] <= 2048))
     some = some[np.lexsort((size[some, 1], (size[some, 0] + 63) // 64))]
     one = np.uint64(1)
     for lo in range(0, len(some), block):
         at = some[lo : lo + block]
+        if len(at) < 100:
+            break
         m, n, limit, rows = size[at, 0], size[at, 1], most[at], np.arange(len(at))
         words, steps = max(1, -(-int(m.max()) // 64)), int(n.max())
         text = np.full((steps, len(at)), CLASSES, np.uint8)
