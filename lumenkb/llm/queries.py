@@ -42,12 +42,14 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The classes of the labels table as domains, and the share of tokens each is to have.
 DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low' ELSE 'high' END"
 MIXTURE = {"high": 0.93, "low": 0.06, "toxic": 0.01}
+#: Of the largest total that needs no repeats; the rest leaves rates room to fall where a document is of two domains.
+HEADROOM = 0.9
 
 
 def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenkb.llm.mixing import document_rates
 
-    rates = document_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.expr(DOMAIN), MIXTURE)
+    rates = document_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.expr(DOMAIN), MIXTURE, headroom=HEADROOM)
     posterior = [F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(MIXTURE)]
     return rates.select("doc_id", "tokens", *posterior, "rate")
 
