@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenkb.session import ship_code
-
 
 def compiled(pattern: str) -> str:
     """The regular expression of a rule's pattern: an identifier as a whole word, ``name()`` as a call, plain text as itself."""
     if re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_]*[A-Za-z0-9]|[A-Za-z0-9]", pattern):
         return rf"\b{pattern}\b"
-    if pattern.endswith("()"):
+    if pattern.endswith("()") and not pattern.endswith("\\()"):
         return (r"\b" if re.match(r"[A-Za-z0-9_]", pattern) else "") + re.escape(pattern[:-2]) + r"\s*\("
     try:
         re.compile(pattern)
@@ -82,58 +78,36 @@ def report(files: DataFrame, rules: list[dict]) -> DataFrame:
     return rows.select("id", F.coalesce("violations", F.lit(0)).alias("violations"), (F.coalesce("denied", F.lit(0)) == 0).alias("is_passed"))
 
 
-HUNK = re.compile(r"@@ -\d+(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
-
-
-def diff_events(text: str) -> Iterator[tuple[str, str, int, str]]:
-    """(file, kind, line, content) of a unified diff: kind + or - for lines, x for a file that goes.
-
-    Counts in a hunk's header say what belongs to it, so content that looks like a header stays content.
-    """
-    path, line, old, new = "", 0, 0, 0
-    for raw in text.split("\n"):
-        s = raw.rstrip("\r")
-        if old > 0 or new > 0:
-            mark = s[:1]
-            if mark == "+":
-                yield path, "+", line, s[1:].rstrip()
-                line, new = line + 1, max(new - 1, 0)
-                continue
-            if mark == "-":
-                yield path, "-", line, s[1:].rstrip()
-                old = max(old - 1, 0)
-                continue
-            if mark == " " or not s and old and new:
-                line, old, new = line + 1, max(old - 1, 0), max(new - 1, 0)
-                continue
-            if mark == "\\":
-                continue
-            old = new = 0
-        if s.startswith("diff --git "):
-            path = _clean(s.rsplit(" ", 1)[1]) or ""
-        elif s == "+++ /dev/null" or s.startswith("deleted file mode"):
-            yield path, "x", 0, ""
-        elif s.startswith("+++ "):
-            path = _clean(s[4:]) or path
-        elif m := HUNK.match(s):
-            old, line, new = int(m[1] or 1), int(m[2]), int(m[3] or 1)
-
-
-def _clean(path: str) -> str | None:
-    path = path.split("\t")[0].strip().strip('"')
-    return None if path == "/dev/null" else re.sub("^[ab]/", "", path)
-
-
 def diff_lines(diffs: DataFrame) -> DataFrame:
-    """diff_id, path, kind, line_no, content of diffs (diff_id, diff)."""
+    """diff_id, path, kind, line_no, content of unified diffs (diff_id, diff): kind + or - for lines, x for a file that goes.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, *e) for i, text in zip(pdf["diff_id"], pdf["diff"], strict=True) for e in diff_events(text or "")]
-            yield pd.DataFrame(rows, columns=["diff_id", "path", "kind", "line_no", "content"]).astype({"diff_id": "int64", "line_no": "int64"})
-
-    ship_code(diffs.sparkSession)
-    return diffs.select("diff_id", "diff").mapInPandas(run, "diff_id long, path string, kind string, line_no long, content string")
+    A line that starts with @@ opens a hunk and says how many old and new lines it has. Running sums over the lines after
+    it tell which of them still belong to it, and their numbers in the new file, so that content that looks like a file
+    header stays content. A removed line has the number of the place that it was taken from.
+    """
+    lines = diffs.select("diff_id", F.posexplode(F.split(F.coalesce("diff", F.lit("")), "\r?\n", -1)).alias("at", "s"))
+    head = r"^@@ -\d+(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+    before = Window.partitionBy("diff_id").orderBy("at")
+    lines = lines.withColumn("opens", F.col("s").rlike(head)).withColumn("hunk", F.sum(F.col("opens").cast("int")).over(before))
+    number = lambda group: F.when(F.col("opens"), F.coalesce(F.nullif(F.regexp_extract("s", head, group), F.lit("")), F.lit("1")).cast("long"))
+    inside = Window.partitionBy("diff_id", "hunk").orderBy("at")
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    for name, group in (("old", 1), ("first", 2), ("new", 3)):
+        lines = lines.withColumn(name, F.first(number(group)).over(inside))
+    mark = F.when(F.col("s") == "", " ").otherwise(F.substring("s", 1, 1))
+    lines = lines.withColumn("mark", F.when(F.col("opens") | (F.col("hunk") == 0), "@").otherwise(mark))
+    used = lambda *marks: F.coalesce(F.sum(F.col("mark").isin(*marks).cast("long")).over(earlier), F.lit(0))
+    lines = lines.withColumn("old_left", F.col("old") - used("-", " ")).withColumn("new_left", F.col("new") - used("+", " ")).withColumn("line_no", F.col("first") + used("+", " "))
+    fits = F.when(F.col("mark").isin("+", "-", " "), (F.col("old_left") > 0) | (F.col("new_left") > 0)).otherwise(F.col("opens") | (F.col("mark") == "\\"))
+    # what follows a line that doesn't fit is no part of the hunk either
+    lines = lines.withColumn("content", (F.col("hunk") > 0) & F.min(fits.cast("int")).over(inside).cast("boolean"))
+    name = lambda x: F.nullif(F.regexp_replace(F.btrim(F.split_part(x, F.lit("\t"), F.lit(1)), F.lit(' "')), "^[ab]/", ""), F.lit("/dev/null"))
+    named = F.when(F.col("content"), None).when(F.col("s").startswith("diff --git "), F.coalesce(name(F.regexp_extract("s", "([^ ]*)$", 1)), F.lit(""))).when(F.col("s").startswith("+++ "), name(F.substring("s", 5, 1 << 30)))
+    lines = lines.withColumn("path", F.coalesce(F.last(named, ignorenulls=True).over(before), F.lit("")))
+    kind = F.when(F.col("content") & F.col("mark").isin("+", "-"), F.col("mark")).when(~F.col("content") & ((F.col("s") == "+++ /dev/null") | F.col("s").startswith("deleted file mode")), "x")
+    gone = F.col("kind") == "x"
+    rows = lines.withColumn("kind", kind).where("kind is not null")
+    return rows.select("diff_id", "path", "kind", F.when(gone, 0).otherwise(F.col("line_no")).cast("long").alias("line_no"), F.when(gone, "").otherwise(F.rtrim(F.substring("s", 2, 1 << 30))).alias("content"))
 
 
 def audit_diffs(diffs: DataFrame, rules: list[dict]) -> DataFrame:

@@ -91,7 +91,7 @@ def pack_select(notes: DataFrame, query: str | None = None, tags: list[str] | No
 
 
 def keyword_score(name: Column, path: Column, concept: Column, keywords: Column, linked: Column) -> Column:
-    """20 for a keyword that is the name, 10 for one in it, 4 in the path, 3 in the concept, and 1 if linked."""
+    """20 for a keyword that is the name, 10 for one in it, 4 in the path, 3 in the concept, and 1 if linked; keywords of one byte don't count."""
     n, p, c = F.lower(name), F.lower(path), F.lower(concept)
     one = lambda k: F.when(n == k, 20).when(n.contains(k), 10).otherwise(0) + F.when(p.contains(k), 4).otherwise(0) + F.when(c.contains(k), 3).otherwise(0)
-    return F.aggregate(keywords, F.lit(0), lambda a, k: a + one(k)) + F.when(linked, 1).otherwise(0)
+    return F.aggregate(keywords, F.lit(0), lambda a, k: a + F.when(F.octet_length(k) > 1, one(k)).otherwise(0)) + F.when(linked, 1).otherwise(0)

@@ -108,7 +108,7 @@ bare AS (SELECT *, trim(regexp_replace(trim(raw_target), '[#^].*$', '')) AS bare
 tgt AS (SELECT b.*, regexp_replace(regexp_replace(lower(translate(bare, '\', '/')), '^(\./|/)+', ''), '\.md$', '') AS target, coalesce(n.dir, '') AS src_dir FROM bare b LEFT JOIN pn n ON n.id = b.src),
 knd AS (
   SELECT *, CASE WHEN trim(raw_target) = '' THEN 'broken' WHEN bare = '' THEN 'self' WHEN target = '' THEN 'broken'
-    WHEN regexp_extract(target, '\.([a-z0-9]+)$', 1) IN ('png', 'jpg', 'jpeg', 'gif', 'svg', 'webp', 'pdf', 'mp3', 'mp4', 'csv', 'zip', 'canvas', 'excalidraw') THEN 'asset' END AS kind FROM tgt
+    WHEN regexp_extract(target, '\.([a-z0-9]+)$', 1) IN ('png', 'jpg', 'jpeg', 'gif', 'webp', 'svg', 'pdf', 'canvas', 'excalidraw', 'mp4', 'webm', 'mp3', 'wav', 'zip', 'csv') THEN 'asset' END AS kind FROM tgt
 ),
 cand AS (
   SELECT src, pos, src_dir, 1 AS tier, n.* FROM knd JOIN pn n ON target = n.p WHERE kind IS NULL
@@ -273,8 +273,8 @@ SQL: dict[str, str] = {
         CASE doc_id % 8 WHEN 0 THEN 'log' WHEN 1 THEN CASE WHEN contains(text, '## Non-Negotiable Invariants') THEN 'decision' ELSE 'concept' END WHEN 2 THEN 'decision' WHEN 3 THEN 'concept'
           WHEN 4 THEN 'log' WHEN 5 THEN 'project' WHEN 6 THEN 'skill' ELSE 'other' END AS category FROM documents""",
     "loadout_rank": f"""WITH {NOTES}, k AS (SELECT item_id AS query_id, list_sort(list_distinct({words("text")}))[1:6] AS ks FROM benchmark),
-        c AS (SELECT query_id, doc_id, title, level, CAST(list_sum(list_transform(ks, lambda k: (CASE WHEN lower(title) = k THEN 20 WHEN contains(lower(title), k) THEN 10 ELSE 0 END)
-            + (CASE WHEN contains(lower(path), k) THEN 4 ELSE 0 END) + (CASE WHEN contains(lower(title), k) THEN 3 ELSE 0 END))) + CASE WHEN level = 'L3Evergreen' THEN 1 ELSE 0 END AS BIGINT) AS score
+        c AS (SELECT query_id, doc_id, title, level, CAST(coalesce(list_sum(list_transform(list_filter(ks, lambda k: strlen(k) > 1), lambda k: (CASE WHEN lower(title) = k THEN 20 WHEN contains(lower(title), k) THEN 10 ELSE 0 END)
+            + (CASE WHEN contains(lower(path), k) THEN 4 ELSE 0 END) + (CASE WHEN contains(lower(title), k) THEN 3 ELSE 0 END))), 0) + CASE WHEN level = 'L3Evergreen' THEN 1 ELSE 0 END AS BIGINT) AS score
           FROM notes, k WHERE status = 'active'),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(title), doc_id) AS n FROM c WHERE score > 1)
         SELECT query_id, doc_id, score, n AS "rank" FROM r WHERE n <= 10""",

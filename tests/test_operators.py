@@ -1,5 +1,7 @@
 """Cases that the driver tables don't hold."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,8 +118,12 @@ def test_access_counts_from_the_last_counted(spark):
 DIFF = "diff --git a/a.py b/a.py\n--- a/a.py\n+++ b/a.py\n@@ -1,2 +1,3 @@\n keep\n-+++ old\n+eval(x)\n+++ b/trap.py\n\\ No newline at end of file\n@@ -9,0 +11 @@\n+late eval\n"
 
 
-def test_diff_lines_follow_the_hunk_counts():
-    got = list(guard.diff_events(DIFF))
+def test_diff_lines_follow_the_hunk_counts(spark):
+    more = "diff --git a/gone.py b/gone.py\r\ndeleted file mode 100644\r\n--- a/gone.py\r\n+++ /dev/null\r\n@@ -1 +0,0 @@\r\n-x = 1\r\n"
+    rows = guard.diff_lines(spark.createDataFrame([(1, DIFF), (2, more), (3, None), (4, "no diff")], "diff_id long, diff string")).collect()
+    assert Counter((r["path"], r["kind"], r["content"]) for r in rows if r["diff_id"] == 2) == Counter([("gone.py", "x", ""), ("gone.py", "x", ""), ("gone.py", "-", "x = 1")])
+    assert {r["diff_id"] for r in rows} == {1, 2}
+    got = [(r["path"], r["kind"], r["line_no"], r["content"]) for r in rows if r["diff_id"] == 1]
     assert ("a.py", "-", 2, "+++ old") in got and ("a.py", "+", 2, "eval(x)") in got and ("a.py", "+", 3, "++ b/trap.py") in got and ("a.py", "+", 11, "late eval") in got
     assert {e[0] for e in got} == {"a.py"}
 
