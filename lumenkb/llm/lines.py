@@ -340,7 +340,9 @@ def line_links(lines: DataFrame, similarity: float, cap: int, part_rows: int) ->
     blocks = lines.where(F.col("blocks").isNotNull()).select(F.explode("blocks").alias("block"), "h1")
     # two numbers a block are kept, so that a block of many nodes is combined before the shuffle
     shared = blocks.groupBy("block").agg(F.min("h1").alias("lead"), F.max("h1").alias("last")).where(F.col("lead") < F.col("last"))
-    met = materialize(blocks.join(shared.select("block", "lead"), "block").where(F.col("h1") != F.col("lead")), "met")
+    # written, as other sides of joins with hot keys are, so that Spark can split these
+    shared = materialize(shared.select("block", "lead"), "shared")
+    met = materialize(blocks.join(shared, "block").where(F.col("h1") != F.col("lead")), "met")
     pairs = materialize(met.select("h1", "lead").distinct(), "pairs")
     wanted = pairs.select("h1").union(pairs.select("lead")).distinct()
     known = lines.where(F.col("norm").isNotNull()).select("h1", "h2", "norm", "sim")
@@ -423,7 +425,7 @@ def repeated_lines(docs: DataFrame, min_words: int, similarity: float, cap: int,
     # nodes whose group keeps another node's line lose all their lines
     lost = grouped.join(best, "root").where(F.col("best") != F.col("first")).select("h1", "h2", F.lit(True).alias("lost"))
     some = nodes.join(lost, ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("lost")).select("h1", "h2", "lost", "first")
-    hit = lines.select("h1", "h2", "k1", "k2", "line").join(some, ["h1", "h2"])
+    hit = lines.select("h1", "h2", "k1", "k2", "line").join(materialize(some, "some"), ["h1", "h2"])
     first = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2")) & (F.col("line") == F.col("first.line"))
     gone = materialize(hit.where(F.col("lost").isNotNull() | ~first).select("k1", "k2", "line"), "gone")
     return gone.groupBy("k1", "k2").agg(F.collect_set("line").alias("lines"))

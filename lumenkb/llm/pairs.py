@@ -22,7 +22,8 @@ def deal(rows: DataFrame, key: str, spread_by: str, cap: int, parts: int, drop_s
     """
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     if drop_single:
-        rows = rows.join(sizes.where(F.col("_n") > 1), key)
+        # written, so that Spark can split the join where a bucket is hot
+        rows = rows.join(materialize(sizes.where(F.col("_n") > 1), "sizes"), key)
     else:
         large = materialize(sizes.where(F.col("_n") > cap), "large")
         rows = rows.withColumn("_n", F.lit(1)) if large.isEmpty() else rows.join(large, key, "left")
