@@ -33,13 +33,11 @@ from lumenkb.session import materialize, ship_code
 
 FOLD = bytes(48 if 48 <= i <= 57 else i if i >= 128 or 97 <= i <= 122 or i == 10 else 32 for i in range(256))
 #: Words of a piece at most, words of a short line at most, bits in which the codes of whole lines may differ.
-PIECE, SHORT, RADIUS = 6, 8, 20
+PIECE, SHORT, RADIUS = 6, 8, 18
 #: Characters of scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 POWERS = np.cumprod(np.r_[np.uint64(1), np.full(255, 0x9E3779B97F4A7C15, np.uint64)], dtype=np.uint64)
 LANES = np.uint64(0x0101010101010101)
-#: Columns that character pairs are counted in.
-PAIRS = 256
 
 
 def normalised(text: str) -> list[bytes]:
@@ -143,24 +141,6 @@ def spaced(line: bytes) -> bytes:
     return b" ".join(UNSPACED.sub(r" \g<0> ", line.decode("utf-8", "replace")).encode().split())
 
 
-def pair_counts(texts: list[str]) -> np.ndarray:
-    """Counts of each text's character pairs, hashed to PAIRS columns. An edit changes four of them by one at most."""
-    out = np.zeros((len(texts), PAIRS), np.int32)
-    for k, x in enumerate(texts):
-        a = np.frombuffer(x.encode("utf-32-le", "replace"), np.uint32)
-        out[k] = np.bincount((a[:-1] * np.uint32(31) + a[1:] * np.uint32(7)) % PAIRS, minlength=PAIRS)
-    return out
-
-
-def may_be_close(one: np.ndarray, two: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray, block: int = 20_000) -> np.ndarray:
-    """False only for pairs (i of counts ``one``, j of ``two``) that are more than ``most`` edits apart."""
-    keep = np.zeros(len(i), bool)
-    for lo in range(0, len(i), block):
-        x = slice(lo, lo + block)
-        keep[x] = np.abs(one[i[x]] - two[j[x]]).sum(axis=1) <= 4 * most[x]
-    return keep
-
-
 def distance(a: str, b: str, most: float = float("inf")) -> float:
     """Levenshtein distance, by bit-parallel columns (Hyyrö 2003) on what equal ends leave; infinite if over ``most``."""
     lo, hi = 0, min(len(a), len(b))
@@ -225,7 +205,7 @@ def far_apart(pairs: list[tuple[str, str]], most: np.ndarray, block: int = 1024)
     one = np.uint64(1)
     for lo in range(0, len(some), block):
         at = some[lo : lo + block]
-        if len(at) < 100:
+        if len(at) < 256:
             break
         m, n, limit, rows = size[at, 0], size[at, 1], most[at], np.arange(len(at))
         words, steps = max(1, -(-int(m.max()) // 64)), int(n.max())
@@ -379,7 +359,7 @@ def line_links(lines: DataFrame, similarity: float, cap: int, part_rows: int) ->
         pdf = pdf.sort_values(["cell", "side", "h1", "h2"], kind="stable")
         cell, side, norm, rest = pdf["cell"].to_numpy(), pdf["side"].to_numpy(), pdf["norm"].to_list(), pdf["rest"].to_numpy()
         sim = pdf["sim"].to_numpy().view(np.uint64)
-        size, counts = np.fromiter(map(len, norm), np.int64, len(norm)), pair_counts(norm)
+        size = np.fromiter(map(len, norm), np.int64, len(norm))
         # equal lines of several cells are one, so that what links them holds in all
         name = pd.MultiIndex.from_frame(pdf[["h1", "h2"]]).factorize()[0]
         groups, out = Forest(len(pdf)), []
@@ -394,13 +374,10 @@ def line_links(lines: DataFrame, similarity: float, cap: int, part_rows: int) ->
             most = (1 - similarity) * np.maximum(size[i], size[j]) + 1e-9
             keep = np.abs(size[i] - size[j]) <= most
             i, j, most = i[keep], j[keep], most[keep]
-            keep = may_be_close(counts, counts, i, j, most)
-            i, j = i[keep], j[keep]
-            most = most[keep]
             for lo in range(0, len(i), 8192):
                 # those that a link found meanwhile leaves in two groups
                 pairs = [k for k in range(lo, min(lo + 8192, len(i))) if groups.root(int(name[i[k]])) != groups.root(int(name[j[k]]))]
-                gone = far_apart([(norm[i[k]], norm[j[k]]) for k in pairs], most[pairs]) if len(pairs) > 200 else np.zeros(len(pairs), bool)
+                gone = far_apart([(norm[i[k]], norm[j[k]]) for k in pairs], most[pairs]) if len(pairs) > 2000 else np.zeros(len(pairs), bool)
                 for k, away in zip(pairs, gone.tolist(), strict=True):
                     x, y = int(i[k]), int(j[k])
                     a, b = int(name[x]), int(name[y])
