@@ -273,7 +273,7 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
                 continue
             unit = x if x.isascii() or max(x) < 0xE0 else spaced(x)
             if unit.count(b" ") + 1 >= min_words:
-                if len(sent) >= 1_000_000:
+                if len(sent) >= 200_000:
                     sent.clear()
                 sent.add(one)
                 new.append(at), units.append(unit)

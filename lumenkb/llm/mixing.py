@@ -131,7 +131,7 @@ def fit_rates(rows: DataFrame, targets: list[float], held: list[float], least: f
     A step is r <- clip(y - sum of p_k (total_k(y) - target_k) / held_k), ``held`` being the totals at a rate of one: in
     coordinates in which a token of any document weighs the same, the gradient of the weighted squares over their largest
     possible curvature. y is r, carried on by Nesterov's momentum, which starts anew when the squares grow. It ends when
-    no residual is above ``tolerance`` times the targets' sum, or no total has moved by a tenth of that in eight steps.
+    no residual is above ``tolerance`` times the targets' sum, or no total has moved by that in eight steps.
     Raises if neither happens within ``limit`` steps.
     """
     k = len(targets)
@@ -147,7 +147,7 @@ def fit_rates(rows: DataFrame, targets: list[float], held: list[float], least: f
         totals, away = ([float(got[f"{c}{i}"] or 0) for i in range(k)] for c in "ty")
         history.append(totals)
         moved = max((abs(a - b) for a, b in zip(totals, history[-9], strict=True)), default=0.0) if len(history) > 8 else math.inf
-        if max((abs(a - b) for a, b in zip(totals, targets, strict=True)), default=0.0) <= tolerance * scale or moved <= tolerance * scale / 10:
+        if max((abs(a - b) for a, b in zip(totals, targets, strict=True)), default=0.0) <= tolerance * scale or moved <= tolerance * scale:
             return now.drop("_state"), history
         squares = sum((a - b) ** 2 / max(1.0, h) for a, b, h in zip(totals, targets, held, strict=True))
         if squares > before:

@@ -145,7 +145,7 @@ def words(text: str, model: np.ndarray, known: dict[str, str]) -> set[str]:
 def restored(token: str, model: np.ndarray, known: dict[str, str], spaces: bool = False) -> str:
     key = " " + token if spaces else token
     if key not in known:
-        if len(known) >= 200_000:
+        if len(known) >= 50_000:
             known.clear()
         known[key] = decode(token, model, spaces)
     return known[key]
@@ -247,8 +247,10 @@ def clean(documents: DataFrame, labels: DataFrame, limit: int = 20_000, threshol
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_all = probabilities()
-        for b in batches:
-            yield b.filter(pa.array(score_all(b.column(at).cast(pa.string()).to_pylist()) < threshold))
+        for whole in batches:
+            for lo in range(0, len(whole), 500):  # texts of so many rows at a time are Python's
+                b = whole.slice(lo, 500)
+                yield b.filter(pa.array(score_all(b.column(at).cast(pa.string()).to_pylist()) < threshold))
 
     at = documents.columns.index("text")
     return documents.mapInArrow(run, documents.schema)

@@ -105,7 +105,7 @@ def test_rates_equal_plain_projected_gradient(spark):
     want, rate, past, age, before, history = t.sum() * np.array([0.5, 0.5]), np.ones(len(rows)), np.ones(len(rows)), 0, np.inf, []
     for _ in range(400):
         history.append(p.T @ (rate * t))
-        if abs(history[-1] - want).max() <= 1e-4 * want.sum() or len(history) > 8 and abs(history[-1] - history[-9]).max() <= 1e-5 * want.sum():
+        if abs(history[-1] - want).max() <= 1e-4 * want.sum() or len(history) > 8 and abs(history[-1] - history[-9]).max() <= 1e-4 * want.sum():
             break
         squares = ((history[-1] - want) ** 2 / held).sum()
         age = 0 if squares > before else age
