@@ -18,6 +18,8 @@ DEFAULTS = {
 }
 
 _shipped: set[str] = set()
+#: Folders of intermediate tables in the order in which they were written.
+_written: list[str] = []
 
 
 def build(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -58,9 +60,29 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: a cut of the lineage that outlives executors."""
+def written() -> int:
+    """How many intermediate tables there have been, for ``sweep``."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Delete the intermediate tables from the ``since``-th on; nothing that is still to be computed may read them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for at in _written[since:]:
+        path = hadoop(at)
+        path.getFileSystem(conf).delete(path, True)
+    del _written[since:]
+
+
+def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: a cut of the lineage that outlives executors.
+
+    With ``keep`` the table is none that ``sweep`` deletes.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/lumenkb/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
+    if not keep:
+        _written.append(at)
     return spark.read.schema(df.schema).parquet(at)
