@@ -47,7 +47,7 @@ def featured(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     gone = lambda *chars: sum((n - F.length(F.replace("text", F.lit(c), F.lit(""))) for c in chars[1:]), n - F.length(F.replace("text", F.lit(chars[0]), F.lit(""))))
     some = F.greatest(n, F.lit(1))
-    words = F.array_remove(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), "")
+    words = F.array_remove(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " "), "")
     docs = docs.select("k1", "k2", "doc_id", "source", "lang", n.alias("n"), gone("\n").alias("feeds"), (gone("%", "&", "#", "*", "$") / some).alias("symbols"), (gone("|", "!") / some).alias("bars"), F.size(words).alias("tokens"), F.array_distinct(words).alias("words"))
     traits = {
         "source": F.coalesce("source", F.lit("")),
@@ -60,7 +60,7 @@ def featured(docs: DataFrame) -> DataFrame:
     }
     trait = lambda name: F.concat(F.lit(f"\n{name}="), traits[name])
     rows = docs.select("k1", "k2", "doc_id", F.col("tokens").cast("long").alias("tokens"), F.explode(F.concat(F.array(F.lit("\n"), *map(trait, traits)), F.col("words"))).alias("word"))
-    name = F.btrim(F.lower("word"), F.lit(ENDS))
+    name = F.rtrim("word", F.lit(ENDS))
     feature = F.when(F.col("word") == "\n", None).when(F.substring("word", 1, 1) == "\n", -1 - F.pmod(F.xxhash64("word"), F.lit(TRAITS))).when(name != "", F.pmod(F.xxhash64(name), F.lit(BUCKETS)))
     return rows.select("k1", "k2", "doc_id", "tokens", feature.alias("feature"), (F.col("word") == "\n").alias("row")).where("row or feature is not null")
 
