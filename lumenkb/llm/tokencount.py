@@ -5,12 +5,13 @@ of characters and of tokens. An edit descends by characters to the leaves that i
 where it begins near the start of a leaf, and the leaf after them as long as the new text doesn't end a pre-token where
 the old text did. Only that region is encoded again; the sums on its paths to the root are updated. Counts stay exact,
 because the pre-token pattern never looks behind, looks ahead of a pre-token by three characters at most except over
-white space, and no leaf ends in white space unless the text does.
+white space, and no leaf ends in white space unless the text does. Strings of special tokens are pre-tokens of their own,
+whatever they stand beside; an edit can make or break one that begins up to its length before it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 
 import pandas as pd
@@ -18,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenkb.llm.bpe import default_path, encoder
+from lumenkb.llm.bpe import default_path, encoder, specials
 from lumenkb.session import ship_code
 
 #: The pre-token pattern of the byte-level vocabulary (a fixed value, published with it).
@@ -27,13 +28,15 @@ AHEAD = 3
 
 
 class TokenTree:
-    """Token counts of one text under edits."""
+    """Token counts of one text under edits. ``special``: strings that ``encode`` takes as one token; none may overlap itself or another."""
 
-    def __init__(self, text: str, encode: Callable[[str], list[int]], fanout: int = 32):
+    def __init__(self, text: str, encode: Callable[[str], list[int]], fanout: int = 32, special: Iterable[str] = ()):
         self.encode, self.encoded_again = encode, 0
+        self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        self.ahead = max([AHEAD, *map(len, special)])
         self.leaves = []
         start = at = waiting = 0
-        for w in PATTERN.findall(text):
+        for w in self.pre_tokens(text):
             at, waiting = at + len(w), waiting + 1
             if waiting >= fanout and not w[-1].isspace() or at == len(text):
                 self.leaves.append(text[start:at])
@@ -48,6 +51,11 @@ class TokenTree:
         for i in range(self.width - 1, 0, -1):
             self._sum(i)
 
+    def pre_tokens(self, text: str) -> list[str]:
+        if self.special is None or not self.special.search(text):
+            return PATTERN.findall(text)
+        return [w for i, x in enumerate(self.special.split(text)) for w in ([x] if i % 2 else PATTERN.findall(x))]
+
     def _sum(self, i: int) -> None:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
         self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -75,14 +83,17 @@ class TokenTree:
         at = max(0, min(at, self.chars[1]))
         cut = max(0, min(cut, self.chars[1] - at))
         (lo, off), (hi, _) = self.find(at), self.find(at + cut)
-        while lo and off < AHEAD:
+        while lo and off < self.ahead:
             lo -= 1
             off += len(self.leaves[lo])
         old = "".join(self.leaves[lo : hi + 1])
         text = old[:off] + new + old[off + cut :]
         while hi + 1 < len(self.leaves):
-            follow = self.leaves[hi + 1]
-            if follow and text and not text[-1].isspace() and len(text) in set(accumulate(map(len, PATTERN.findall(text + follow)))):
+            follow, after = self.leaves[hi + 1], hi + 2
+            seen = follow
+            while len(seen) < self.ahead and after < len(self.leaves):
+                seen, after = seen + self.leaves[after], after + 1
+            if follow and text and not text[-1].isspace() and len(text) in set(accumulate(map(len, self.pre_tokens(text + seen)))):
                 break
             text += follow
             hi += 1
@@ -108,11 +119,11 @@ def count_tokens(docs: DataFrame, path: str | None = None, fanout: int = 32) ->
     path = path or default_path()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path)
+        encode, special = encoder(path), specials(path)
         for pdf in batches:
             out = []
             for text, edits in zip(pdf["text"], pdf["edits"], strict=True):
-                tree = TokenTree(text or "", encode, fanout)
+                tree = TokenTree(text or "", encode, fanout, special)
                 before = tree.total
                 for e in edits if edits is not None else ():
                     tree.edit(e["at"] or 0, e["cut"] or 0, e["new"] or "")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.llm.conftest import ODD
 
-from lumenkb.llm.bpe import default_path, encoder, packed
+from lumenkb.llm.bpe import default_path, encoder, packed, specials
 from lumenkb.llm.packing import pack, sum_of_squares
 from lumenkb.llm.sharding import interleave
 from lumenkb.llm.tokencount import TokenTree, count_tokens
@@ -21,9 +21,10 @@ def test_encoder_equals_the_tokenizer_file():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(default_path())
-    tok.encode_special_tokens = True
     encode, r = encoder(default_path()), random.Random(1)
-    texts = ["", " a", "a  b", "x \n\t y", "it's", "<|endoftext|>"] + ["".join(r.choice("ab 's\n\t1.é知") for _ in range(30)) for _ in range(300)]
+    texts = ["", " a", "a  b", "x \n\t y", "it's", "<|endoftext|>"]
+    texts += ["".join(r.choice(["<|endoftext|>", "<|", "|>", " ", "\n", "a", "..", "endoftext"]) for _ in range(12)) for _ in range(300)]
+    texts += ["".join(r.choice("ab 's\n\t1.é知") for _ in range(30)) for _ in range(300)]
     assert all(encode(t) == tok.encode(t, add_special_tokens=False).ids for t in texts)
 
 
@@ -39,6 +40,19 @@ def test_token_tree_equals_encoding_again():
             assert tree.total == len(encode(x)) and tree.chars[1] == len(x)
 
 
+def test_token_tree_makes_and_breaks_special_tokens():
+    r, encode, special = random.Random(11), encoder(default_path()), specials(default_path())
+    parts = ["<|endoftext|>", "<|endoftext", "<|", "|>", "endoftext", ">", " ", ".", "a"]
+    for _ in range(2000):
+        x = "".join(r.choices(parts, k=r.randint(0, 12)))
+        tree = TokenTree(x, encode, r.choice([1, 2, 4]), special)
+        for _ in range(4):
+            at, cut, new = r.randint(0, len(x)), r.choice([0, 1, 3, 20]), "".join(r.choices(parts, k=r.randint(0, 2)))
+            tree.edit(at, cut, new)
+            x = x[:at] + new + x[at + cut :]
+            assert tree.total == len(encode(x)) and tree.chars[1] == len(x)
+
+
 def test_count_tokens_on_odd_rows(docs):
     edits = F.array(F.struct(F.lit(-3).alias("at"), F.lit(10**6).alias("cut"), F.lit("new text").alias("new")), F.struct(F.lit(None).cast("long").alias("at"), F.lit(0).alias("cut"), F.lit(None).cast("string").alias("new")))
     rows = count_tokens(docs(ODD, extra=True).withColumn("edits", edits)).collect()
