@@ -139,7 +139,7 @@ def vector_search(spark, sf_dir):
 
 
 def channels(spark: SparkSession, sf_dir: str, pool: int = 30) -> tuple[DataFrame, DataFrame]:
-    lexical = search.ranked(search.bm25(note_view(spark, sf_dir), search.query_terms(asked(spark, sf_dir))), search.score_order(), pool, "bm25_rank")
+    lexical = search.lexical_hits(note_view(spark, sf_dir), asked(spark, sf_dir), pool)
     return lexical, search.vector_search(vectors(spark, sf_dir), query_vectors(spark, sf_dir), pool)
 
 

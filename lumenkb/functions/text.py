@@ -24,6 +24,12 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(WORD), F.lit(0))
 
 
+def fold_fullwidth(text: Column) -> Column:
+    """Full-width forms of ASCII (U+FF01 to U+FF5E) and the ideographic space as their narrow ones."""
+    wide = [chr(c) for c in range(0xFF01, 0xFF5F)]
+    return F.translate(text, "".join(wide) + "\u3000", "".join(chr(ord(c) - 0xFEE0) for c in wide) + " ")
+
+
 def segment(text: Column) -> Column:
     """Text with each CJK run written as overlapping bigrams (a run of one as itself), apart from other scripts."""
     runs = F.regexp_extract_all(text, F.lit(rf"{SEGMENT_CJK}+|[^\s{SEGMENT_CJK[1:-1]}]+"), F.lit(0))
@@ -32,6 +38,17 @@ def segment(text: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.when(is_cjk(r) & (F.length(r) > 1), pair(r)).otherwise(r)), " ")
 
 
+def segmented(text: Column) -> Column:
+    """Text as it is indexed: full-width forms folded, and CJK runs as bigrams where there are any."""
+    text = fold_fullwidth(text)
+    return F.when(text.rlike(SEGMENT_CJK), segment(text)).otherwise(text)
+
+
+def index_tokens(text: Column) -> Column:
+    """Tokens of the text as it is indexed."""
+    return tokens(segmented(text))
+
+
 def estimate_tokens(text: Column) -> Column:
     """A quarter of the characters that are neither white space nor CJK, and two thirds of the CJK ones, each rounded up."""
     solid = F.regexp_replace(text, r"\s", "")

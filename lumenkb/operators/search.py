@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenkb.functions import ranking as R
-from lumenkb.functions.text import tokens
-from lumenkb.session import ship_code
+from lumenkb.functions.text import SEGMENT_CJK, fold_fullwidth, index_tokens, segmented, tokens
+from lumenkb.session import materialize, ship_code
 
 K1, B = 1.2, 0.75
 MOST_QUERIES = 10_000
+#: Ways to ask, from the strictest to the weakest.
+TIERS = ["strict", "all", "any"]
 
 
 def postings(docs: DataFrame, text: str = "body") -> DataFrame:
@@ -70,26 +72,87 @@ def score_order(column: str = "score") -> list[Column]:
     return [F.desc(F.round(column, 9)), F.col("doc_id")]
 
 
+def query_phrases(queries: DataFrame, most: int = 8) -> DataFrame:
+    """query_id, tier, term, times, need: what each tier of a query (see TIERS) asks for.
+
+    A term is the tokens of a phrase with spaces between, ``times`` how often the tier asks for it, ``need`` how many
+    different terms a hit must hold. strict: each part of the query between white space is a phrase. all: the same
+    after CJK runs are cut into bigrams. any: at most ``most`` different phrases of those; where there are more, Latin
+    ones of three characters and more come first, then other Latin ones, then CJK bigrams, longer before shorter.
+    """
+    text = fold_fullwidth(F.col("query"))
+    parts = lambda x: F.posexplode(F.split(F.trim(x), r"\s+")).alias("pos", "part")
+    term = F.array_join(index_tokens(F.col("part")), " ")
+    whole = queries.select("query_id", parts(text)).select("query_id", term.alias("term")).where("term <> ''").withColumn("tier", F.lit(0))
+    cut = queries.select("query_id", parts(segmented(text))).select("query_id", "pos", F.array_join(tokens(F.col("part")), " ").alias("term"), F.regexp_replace(F.lower("part"), r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "").alias("key"))
+    cut = cut.where("term <> ''").groupBy("query_id", "key").agg(F.min("pos").alias("pos"), F.min_by("term", "pos").alias("term"))
+    cjk = F.col("key").rlike(SEGMENT_CJK)
+    group = F.when(~cjk & (F.length("key") >= 3), 0).when(~cjk, 1).when(F.length("key") >= 2, 2).otherwise(3)
+    best = Window.partitionBy("query_id").orderBy(group, F.desc(F.length("key")), "pos")
+    some = cut.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most).select("query_id", "term", F.lit(2).alias("tier"))
+    rows = whole.unionByName(cut.select("query_id", "term", F.lit(1).alias("tier"))).unionByName(some)
+    rows = rows.groupBy("query_id", "tier", "term").agg(F.count(F.lit(1)).alias("times"))
+    return rows.withColumn("need", F.when(F.col("tier") == 2, 1).otherwise(F.count(F.lit(1)).over(Window.partitionBy("query_id", "tier"))))
+
+
+def phrase_index(docs: DataFrame, terms: DataFrame, text: str = "body") -> DataFrame:
+    """doc_id, len, term, tf of each of ``terms`` (distinct; tokens with spaces between) in each document that holds it."""
+    cut = docs.select("doc_id", index_tokens(F.col(text)).alias("_w")).select("doc_id", "_w", F.size("_w").alias("len"))
+    words = cut.select("doc_id", "len", F.posexplode("_w").alias("pos", "word"))
+    asked = terms.select("term", F.split("term", " ").alias("x")).select("term", F.size("x").alias("n"), F.posexplode("x").alias("off", "word"))
+    # a phrase stands where all of its tokens agree on where it begins; a single token begins at itself
+    found = words.join(asked, "word")
+    alone = found.where("n = 1").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    starts = found.where("n > 1").groupBy("doc_id", "len", "term", "n", (F.col("pos") - F.col("off")).alias("at")).agg(F.count(F.lit(1)).alias("m")).where("m = n")
+    return alone.unionByName(starts.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def ladder(docs: DataFrame, queries: DataFrame, text: str = "body") -> DataFrame:
+    """query_id, tier, doc_id, score, factor: BM25 of the hits of each query's first tier that has any, and the tier's weight.
+
+    A tier that asks for every phrase looks only at the documents that hold the rarest of them, and not at all if one
+    of them stands nowhere; the last tier runs for what is left.
+    """
+    asked = materialize(query_phrases(queries), "phrases")
+    index = materialize(phrase_index(docs, asked.select("term").distinct(), text), "postings")
+    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = F.size(index_tokens(F.col(text)))
+    total = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(n).alias("avg_len"))
+    units = materialize(asked.join(df, "term").join(F.broadcast(total)), "units")  # a row of totals
+
+    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    gain = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    score = lambda rows: rows.groupBy("query_id", "tier", "doc_id").agg(F.sum(gain).alias("score"), F.count(F.lit(1)).alias("matched"), F.first("need").alias("need"))
+
+    every = units.where("tier < 2").withColumn("_held", F.count(F.lit(1)).over(Window.partitionBy("query_id", "tier"))).where("_held = need").drop("_held")
+    rarest = every.groupBy("query_id", "tier").agg(F.min(F.struct("df", "term")).alias("x")).select("query_id", "tier", F.col("x.term").alias("term"))
+    within = rarest.join(index.select("doc_id", "term"), "term").select("query_id", "tier", "doc_id")
+    full = score(within.join(every, ["query_id", "tier"]).join(index, ["doc_id", "term"])).where("matched = need")
+    full = materialize(full.drop("matched", "need"), "full-hits")
+    first = full.groupBy("query_id").agg(F.min("tier").alias("tier"))
+    some = score(units.where("tier = 2").join(first.select("query_id"), "query_id", "left_anti").join(index, "term"))
+    rows = full.join(first, ["query_id", "tier"]).unionByName(some.drop("matched", "need"))
+    return rows.withColumn("factor", F.when(F.col("tier") == 2, R.ANY_TOKENS).otherwise(1.0))
+
+
+def lexical_hits(docs: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
+    """query_id, doc_id, bm25_rank, score, factor: the best hits of each query's tier."""
+    return ranked(ladder(docs, queries), score_order(), pool, "bm25_rank")
+
+
 def bm25_search(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """query_id, doc_id, rank, score: pure lexical mode; the score comes from the rank, and inactive notes sink."""
     pool = max(3 * limit, 20)
-    hits = ranked(bm25(docs, query_terms(queries)), score_order(), pool, "bm25_rank")
+    hits = lexical_hits(docs, queries, pool)
     live = docs.select("doc_id", F.when(F.col("status") == "active", 1.0).otherwise(R.INACTIVE).alias("_f"))
-    rows = hits.join(live, "doc_id").withColumn("score", R.ANY_TOKENS / (R.RRF_K + F.col("bm25_rank")) * F.col("_f"))
+    rows = hits.join(live, "doc_id").withColumn("score", F.col("factor") / (R.RRF_K + F.col("bm25_rank")) * F.col("_f"))
     return ranked(rows, [F.desc("score"), F.col("bm25_rank"), F.col("doc_id")], limit).select("query_id", "doc_id", "rank", "score")
 
 
 def tier_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, tier, n_hits: the first tier with hits. all: documents with every token; any: with one of the chosen eight."""
-    every = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    need = every.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    index = postings(docs).select("doc_id", "term")
-    full = index.join(every, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n")).join(need, "query_id").where("n = need")
-    some = index.join(query_terms(queries), "term").select("query_id", "doc_id").distinct()
-    rows = full.select("query_id", F.lit(1).alias("t")).unionByName(some.select("query_id", F.lit(2).alias("t")))
-    counts = rows.groupBy("query_id", "t").agg(F.count(F.lit(1)).alias("n_hits"))
-    first = counts.groupBy("query_id").agg(F.min(F.struct("t", "n_hits")).alias("x"))
-    return first.select("query_id", F.when(F.col("x.t") == 1, "all").otherwise("any").alias("tier"), F.col("x.n_hits").alias("n_hits"))
+    """query_id, tier, n_hits: the first tier with hits, and how many."""
+    hits = ladder(docs, queries).groupBy("query_id", "tier").agg(F.count(F.lit(1)).alias("n_hits"))
+    return hits.select("query_id", F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier") + 1).alias("tier"), "n_hits")
 
 
 def scoped_search(docs: DataFrame, queries: DataFrame, prefix: str, level: str, limit: int = 10) -> DataFrame:
@@ -132,14 +195,17 @@ def ranked_near(vectors: DataFrame, asked: pd.DataFrame, limit: int) -> DataFram
     return ranked(rows, [F.round("distance", 9), F.col("doc_id")], limit).select("query_id", "doc_id", "rank", "distance")
 
 
-def fuse(lexical: DataFrame, vector: DataFrame, tier: float = R.ANY_TOKENS) -> DataFrame:
-    """query_id, doc_id, bm25_rank, vector_rank, score: both channels by reciprocal ranks; an empty channel's weight goes to the other."""
-    rows = lexical.select("query_id", "doc_id", "bm25_rank").join(vector.select("query_id", "doc_id", F.col("rank").alias("vector_rank")), ["query_id", "doc_id"], "full_outer")
+def fuse(lexical: DataFrame, vector: DataFrame) -> DataFrame:
+    """query_id, doc_id, bm25_rank, vector_rank, score: both channels by reciprocal ranks; an empty channel's weight goes to the other.
+
+    ``lexical``: query_id, doc_id, bm25_rank, factor (the weight of the tier that the query's hits are of).
+    """
+    rows = lexical.select("query_id", "doc_id", "bm25_rank", "factor").join(vector.select("query_id", "doc_id", F.col("rank").alias("vector_rank")), ["query_id", "doc_id"], "full_outer")
     w = Window.partitionBy("query_id")
     lex, vec = F.max("bm25_rank").over(w).isNotNull(), F.max("vector_rank").over(w).isNotNull()
     weight = lambda own, other: F.when(own & other, 0.5).when(own, 1.0).otherwise(0.0)
     rows = rows.withColumn("_b", weight(lex, vec)).withColumn("_v", weight(vec, lex))
-    return rows.withColumn("score", R.rrf(F.col("bm25_rank"), F.col("vector_rank"), F.col("_b"), F.col("_v"), F.lit(tier))).drop("_b", "_v")
+    return rows.withColumn("score", R.rrf(F.col("bm25_rank"), F.col("vector_rank"), F.col("_b"), F.col("_v"), F.coalesce("factor", F.lit(1.0)))).drop("_b", "_v", "factor")
 
 
 def connected(live: DataFrame, edges: DataFrame) -> DataFrame:
@@ -164,8 +230,7 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, vectors: DataFrame, query
     weighs by age, use and status. ``edges``: src, dst. ``access``: doc_id, access_count, last_access.
     """
     pool = max(3 * limit, 20)
-    lexical = ranked(bm25(docs, query_terms(queries)), score_order(), pool, "bm25_rank")
-    rows = fuse(lexical, vector_search(vectors, query_vectors, pool))
+    rows = fuse(lexical_hits(docs, queries, pool), vector_search(vectors, query_vectors, pool))
     rows = rows.join(docs.select("doc_id", "level", "mtime", "status"), "doc_id").join(access, "doc_id", "left")
     rows = rows.withColumn("top", F.max("score").over(Window.partitionBy("query_id")))
     live = rows.where(F.col("status") == "active").select("query_id", "doc_id")
@@ -184,8 +249,8 @@ def federated_search(own: DataFrame, shared: DataFrame, queries: DataFrame, limi
     pool = max(2 * limit, 10)
 
     def scope(docs: DataFrame, name: str, factor: float) -> DataFrame:
-        hits = ranked(bm25(docs, query_terms(queries)), score_order(), pool, "r")
-        quality = F.when(F.col("status") == "active", 1.0).otherwise(R.INACTIVE) * R.ANY_TOKENS
+        hits = lexical_hits(docs, queries, pool).withColumnRenamed("bm25_rank", "r")
+        quality = F.when(F.col("status") == "active", 1.0).otherwise(R.INACTIVE) * F.col("factor")
         rows = hits.join(docs.select("doc_id", "status", "content_hash"), "doc_id")
         return rows.select("query_id", "doc_id", "content_hash", F.lit(name).alias("scope"), (factor * quality / (R.RRF_K + F.col("r"))).alias("score"))
 

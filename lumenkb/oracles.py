@@ -73,10 +73,40 @@ def bm25(src: str, p: str) -> str:
 )"""
 
 
+#: Phrases by tier: 0 every part between white space, 2 the eight that are best. Without CJK text tier 1 asks for what tier 0 asks for.
+PHRASES = rf"""
+uraw AS (SELECT item_id AS query_id, unnest(s) AS raw, generate_subscripts(s, 1) AS pos FROM (SELECT item_id, string_split_regex(trim(text), '\s+') AS s FROM benchmark)),
+un AS (SELECT query_id, pos, array_to_string({words("raw")}, ' ') AS term, regexp_replace(lower(raw), '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$', '', 'g') AS k FROM uraw),
+u2d AS (SELECT query_id, k, min(pos) AS pos, arg_min(term, pos) AS term FROM un WHERE term <> '' GROUP BY 1, 2),
+u2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(k) < 3, length(k) DESC, pos) AS n FROM u2d),
+units AS (SELECT query_id, 0 AS t, term, count(*) AS times FROM un WHERE term <> '' GROUP BY ALL UNION ALL SELECT query_id, 2, term, count(*) FROM u2 WHERE n <= 8 GROUP BY ALL),
+need AS (SELECT query_id, t, CASE WHEN t = 0 THEN count(*) ELSE 1 END AS need FROM units GROUP BY query_id, t),
+phrases AS (SELECT term, string_split(term, ' ') AS ph FROM (SELECT DISTINCT term FROM units))"""
+
+
+def laddered(src: str, p: str) -> str:
+    """CTEs that end in ``{p}bm25``: query_id, doc_id, t, score, f (the tier's weight), of the first tier with hits."""
+    return f"""
+{p}w AS (SELECT doc_id, {words("body")} AS w FROM {src}),
+{p}tok AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM {p}w),
+{p}post AS (
+  SELECT doc_id, term, count(*) AS tf FROM {p}tok JOIN phrases ON word = ph[1] AND len(ph) = 1 GROUP BY ALL
+  UNION ALL SELECT t.doc_id, term, count(*) FROM {p}tok t JOIN phrases ON word = ph[1] AND len(ph) > 1 JOIN {p}w x ON x.doc_id = t.doc_id WHERE x.w[t.pos : t.pos + len(ph) - 1] = ph GROUP BY ALL
+),
+{p}stat AS (SELECT count(*) AS n_docs, avg(len(w)) AS avg_len FROM {p}w),
+{p}df AS (SELECT term, count(*) AS df FROM {p}post GROUP BY term),
+{p}sc AS (
+  SELECT u.query_id, u.t, p.doc_id, count(*) AS m, sum(times * greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / avg_len))) AS score
+  FROM units u JOIN {p}post p USING (term) JOIN {p}df USING (term) JOIN {p}w USING (doc_id), {p}stat GROUP BY ALL
+),
+{p}hit AS (SELECT s.*, min(s.t) OVER (PARTITION BY query_id) AS first FROM {p}sc s JOIN need n USING (query_id, t) WHERE m >= need),
+{p}bm25 AS (SELECT query_id, doc_id, t, score, CASE WHEN t = 2 THEN 0.55 ELSE 1.0 END AS f FROM {p}hit WHERE t = first)"""
+
+
 def pure(src: str, p: str) -> str:
     return f"""
 {p}r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM {p}bm25),
-{p}s AS (SELECT query_id, b.doc_id, r, 0.55 / (60 + r) * CASE WHEN status = 'active' THEN 1.0 ELSE 0.2 END AS s FROM {p}r b JOIN {src} n ON b.doc_id = n.doc_id WHERE r <= 30),
+{p}s AS (SELECT query_id, b.doc_id, r, f / (60 + r) * CASE WHEN status = 'active' THEN 1.0 ELSE 0.2 END AS s FROM {p}r b JOIN {src} n ON b.doc_id = n.doc_id WHERE r <= 30),
 {p}f AS (SELECT query_id AS item_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, r, doc_id) AS "rank", round(s, 6) AS score FROM {p}s)"""
 
 
@@ -89,12 +119,12 @@ vd AS (
 vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), doc_id) AS r FROM vd)"""
 
 FUSED = """
-lex AS (SELECT query_id, doc_id, r AS bm25_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM bm25) WHERE r <= 30),
-fu AS (SELECT query_id, doc_id, bm25_rank, r AS vector_rank FROM lex FULL JOIN (SELECT * FROM vr WHERE r <= 30) USING (query_id, doc_id)),
+lex AS (SELECT query_id, doc_id, f, r AS bm25_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM bm25) WHERE r <= 30),
+fu AS (SELECT query_id, doc_id, f, bm25_rank, r AS vector_rank FROM lex FULL JOIN (SELECT * FROM vr WHERE r <= 30) USING (query_id, doc_id)),
 fw AS (SELECT *, max(bm25_rank) OVER (PARTITION BY query_id) IS NOT NULL AS l, max(vector_rank) OVER (PARTITION BY query_id) IS NOT NULL AS v FROM fu),
 fused AS (
   SELECT query_id, doc_id, bm25_rank, vector_rank,
-    coalesce((CASE WHEN l AND v THEN 0.5 WHEN l THEN 1.0 ELSE 0.0 END) * 0.55 / (60 + bm25_rank), 0.0) + coalesce((CASE WHEN l AND v THEN 0.5 WHEN v THEN 1.0 ELSE 0.0 END) / (60 + vector_rank), 0.0) AS score
+    coalesce((CASE WHEN l AND v THEN 0.5 WHEN l THEN 1.0 ELSE 0.0 END) * f / (60 + bm25_rank), 0.0) + coalesce((CASE WHEN l AND v THEN 0.5 WHEN v THEN 1.0 ELSE 0.0 END) / (60 + vector_rank), 0.0) AS score
   FROM fw
 )"""
 
@@ -177,18 +207,14 @@ SQL: dict[str, str] = {
     "access_reinforcement": f"WITH RECURSIVE {ACCESS} SELECT *, round({reinforce('access_count', 'last_access')}, 6) AS reinforcement FROM access",
     "corpus_stats": f"SELECT count(*) AS n_docs, CAST(sum(len({words('text')})) AS BIGINT) AS total_tokens, round(avg(len({words('text')})), 6) AS avg_len FROM documents",
     "term_df": f"WITH tok AS (SELECT doc_id, unnest({words('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tok GROUP BY term",
-    "bm25_search": f'WITH {NOTES}, {TERMS}, {bm25("notes", "")}, {pure("notes", "")} SELECT * FROM f WHERE "rank" <= 10',
-    "bm25_tiers": f"""WITH {NOTES}, {TERMS}, tok AS (SELECT DISTINCT doc_id, unnest({words("body")}) AS term FROM notes),
-        need AS (SELECT query_id, count(*) AS need FROM qd GROUP BY 1),
-        al AS (SELECT query_id, doc_id FROM qd JOIN tok USING (term) JOIN need USING (query_id) GROUP BY query_id, doc_id, need HAVING count(*) = need),
-        an AS (SELECT DISTINCT query_id, doc_id FROM qterms JOIN tok USING (term)),
-        c AS (SELECT query_id, 1 AS t, count(*) AS n FROM al GROUP BY 1 UNION ALL SELECT query_id, 2, count(*) FROM an GROUP BY 1)
-        SELECT query_id AS item_id, CASE WHEN min(t) = 1 THEN 'all' ELSE 'any' END AS tier, min_by(n, t) AS n_hits FROM c GROUP BY 1""",
-    "scoped_search": f"""WITH {NOTES}, scoped AS (SELECT * FROM notes WHERE starts_with(path, 'src1') AND level = 'L3Evergreen'), {TERMS}, {bm25("scoped", "")}, {pure("scoped", "")}
+    "bm25_search": f'WITH {NOTES}, {PHRASES}, {laddered("notes", "")}, {pure("notes", "")} SELECT * FROM f WHERE "rank" <= 10',
+    "bm25_tiers": f"""WITH {NOTES}, {PHRASES}, {laddered("notes", "")}
+        SELECT query_id AS item_id, CASE WHEN t = 0 THEN 'strict' ELSE 'any' END AS tier, count(*) AS n_hits FROM bm25 GROUP BY ALL""",
+    "scoped_search": f"""WITH {NOTES}, scoped AS (SELECT * FROM notes WHERE starts_with(path, 'src1') AND level = 'L3Evergreen'), {PHRASES}, {laddered("scoped", "")}, {pure("scoped", "")}
         SELECT * FROM f WHERE "rank" <= 10""",
     "vector_search": f'WITH {VECTORS} SELECT query_id, doc_id AS vec_id, r AS "rank", round(distance, 6) + 0.0 AS distance FROM vr WHERE r <= 10',
-    "rrf_fusion": f"WITH {NOTES}, {TERMS}, {bm25('notes', '')}, {VECTORS}, {FUSED} SELECT query_id, doc_id AS id, coalesce(bm25_rank, 0) AS bm25_rank, coalesce(vector_rank, 0) AS vector_rank, round(score, 6) AS score FROM fused",
-    "hybrid_search": f"""WITH RECURSIVE {ACCESS}, {NOTES}, {TERMS}, {bm25("notes", "")}, {VECTORS}, {FUSED}, {LINKS},
+    "rrf_fusion": f"WITH {NOTES}, {PHRASES}, {laddered('notes', '')}, {VECTORS}, {FUSED} SELECT query_id, doc_id AS id, coalesce(bm25_rank, 0) AS bm25_rank, coalesce(vector_rank, 0) AS vector_rank, round(score, 6) AS score FROM fused",
+    "hybrid_search": f"""WITH RECURSIVE {ACCESS}, {NOTES}, {PHRASES}, {laddered("notes", "")}, {VECTORS}, {FUSED}, {LINKS},
         us AS (SELECT user_id AS doc_id, sum(access_count) AS c, max(last_access) AS l FROM access GROUP BY 1),
         f0 AS (SELECT fused.*, level, mtime, status, c, l, max(score) OVER (PARTITION BY query_id) AS top FROM fused JOIN notes USING (doc_id) LEFT JOIN us USING (doc_id)),
         live AS (SELECT query_id, doc_id FROM f0 WHERE status = 'active'),
@@ -198,7 +224,7 @@ SQL: dict[str, str] = {
         f2 AS (SELECT *, (score + boost) * {decayed("false")} * coalesce({reinforce("c", "l")}, 1.0) * CASE WHEN status = 'active' THEN 1.0 ELSE 0.2 END AS fin FROM f1),
         f3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fin, 9) DESC, bm25_rank NULLS LAST, vector_rank NULLS LAST, doc_id) AS r FROM f2)
         SELECT query_id, doc_id AS id, r AS "rank", round(fin, 6) AS score, round(boost, 6) AS graph_boost FROM f3 WHERE r <= 10""",
-    "graph_boost": f"""WITH {NOTES}, {TERMS}, {bm25("notes", "")}, {VECTORS}, {FUSED}, {LINKS}, p AS (SELECT query_id, doc_id, status FROM fused JOIN notes USING (doc_id)),
+    "graph_boost": f"""WITH {NOTES}, {PHRASES}, {laddered("notes", "")}, {VECTORS}, {FUSED}, {LINKS}, p AS (SELECT query_id, doc_id, status FROM fused JOIN notes USING (doc_id)),
         live AS (SELECT * FROM p WHERE status = 'active'), bo AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
         lk AS (SELECT DISTINCT x.query_id, x.doc_id, true AS c FROM live x JOIN bo ON a = x.doc_id AND a <> b JOIN live y ON y.query_id = x.query_id AND y.doc_id = b)
         SELECT query_id, doc_id AS id, coalesce(c, false) AS connected FROM p LEFT JOIN lk USING (query_id, doc_id)""",
@@ -209,11 +235,11 @@ SQL: dict[str, str] = {
         k AS (SELECT b.query_id, b.doc_id.d AS d, b.doc_id.o AS o, round(score, 9) AS s FROM xbm25 b JOIN h ON h.query_id = b.query_id AND h.d = b.doc_id.d),
         z AS (SELECT *, row_number() OVER (PARTITION BY query_id, d ORDER BY s DESC, o) AS n FROM k)
         SELECT query_id AS item_id, d AS doc_id, o AS ord, round(s, 6) AS score FROM z WHERE n = 1""",
-    "federated_search": f"""WITH {NOTES}, own AS (SELECT * FROM notes WHERE doc_id % 2 = 0), shared AS (SELECT * FROM notes WHERE doc_id % 2 = 1), {TERMS}, {bm25("own", "o")}, {bm25("shared", "g")},
+    "federated_search": f"""WITH {NOTES}, own AS (SELECT * FROM notes WHERE doc_id % 2 = 0), shared AS (SELECT * FROM notes WHERE doc_id % 2 = 1), {PHRASES}, {laddered("own", "o")}, {laddered("shared", "g")},
         o1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM obm25),
         g1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM gbm25),
-        o2 AS (SELECT query_id, o1.doc_id, md5(body) AS h, 'primary' AS scope, 0.55 * CASE WHEN status = 'active' THEN 1.0 ELSE 0.2 END / (60 + r) AS s FROM o1 JOIN own USING (doc_id) WHERE r <= 20),
-        g2 AS (SELECT query_id, g1.doc_id, md5(body) AS h, 'global' AS scope, 0.7 * 0.55 * CASE WHEN status = 'active' THEN 1.0 ELSE 0.2 END / (60 + r) AS s FROM g1 JOIN shared USING (doc_id) WHERE r <= 20),
+        o2 AS (SELECT query_id, o1.doc_id, md5(body) AS h, 'primary' AS scope, f * CASE WHEN status = 'active' THEN 1.0 ELSE 0.2 END / (60 + r) AS s FROM o1 JOIN own USING (doc_id) WHERE r <= 20),
+        g2 AS (SELECT query_id, g1.doc_id, md5(body) AS h, 'global' AS scope, 0.7 * f * CASE WHEN status = 'active' THEN 1.0 ELSE 0.2 END / (60 + r) AS s FROM g1 JOIN shared USING (doc_id) WHERE r <= 20),
         a AS (SELECT * FROM o2 UNION ALL SELECT * FROM g2 WHERE NOT EXISTS (SELECT 1 FROM o2 WHERE o2.query_id = g2.query_id AND o2.h = g2.h)),
         z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, scope DESC, doc_id) AS r FROM a)
         SELECT query_id AS item_id, doc_id, scope, r AS "rank", round(s, 6) AS score FROM z WHERE r <= 10""",

@@ -178,6 +178,44 @@ def test_bm25_equals_a_full_text_index(spark):
         assert all(got[q, d] == pytest.approx(s, abs=1e-9) for d, s in want.items())
 
 
+def test_query_tiers_equal_a_full_text_index(spark):
+    """Phrases, repeated parts, CJK runs as bigrams and full-width forms, by the first tier that a full-text index has hits for."""
+    import random
+    import re
+    import sqlite3
+
+    def cut(text):
+        runs = re.findall("[一-鿿]+|[^\\s一-鿿]+", text)
+        return " ".join(" ".join(r[i : i + 2] for i in range(len(r) - 1)) if re.match("[一-鿿]{2}", r) else r for r in runs)
+
+    r = random.Random(5)
+    words = "ab cd ef gh ij-kl don't 知识 图谱 知识图谱 Ｆｕｌｌ".split()
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.randint(2, 25)))) for i in range(60)] + [(60, "谱知 ab 知识 cd 图谱")]
+    asked = [(1, "ab don't ab"), (2, "ij-kl cd"), (3, "nowhere ij-kl, ef"), (4, "知识图谱"), (5, "full, ab"), (6, "图谱知识"), (7, "?! ..."), (8, "gh nowhere a1 b2 c3 d4 e5 f6 ab cd longer"), (9, "谱识")]
+    narrow = lambda x: "".join(chr(ord(c) - 0xFEE0) if 0xFF01 <= ord(c) <= 0xFF5E else c for c in x)
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table t using fts5(body)")
+    con.executemany("insert into t(rowid, body) values (?, ?)", [(i, cut(narrow(x))) for i, x in docs])
+    got = {}
+    for x in search.ladder(spark.createDataFrame(docs, "doc_id long, body string"), spark.createDataFrame(asked, "query_id long, query string")).collect():
+        got.setdefault(x["query_id"], (x["tier"], {}, x["factor"]))[1][x["doc_id"]] = x["score"]
+    tiers = set()
+    for q, text in asked:
+        quote = lambda parts: ['"' + x.strip(".,?!") + '"' for x in parts if re.search(r"\w", x)]
+        whole, some = quote(map(cut, text.split())), list(dict.fromkeys(quote(cut(text).split())))
+        some_eight = sorted(some, key=lambda x: (len(x) < 5, -len(x), some.index(x)))[:8]  # by length within quotes
+        for tier, match in enumerate((" ".join(whole), " AND ".join(some), " OR ".join(some_eight))):
+            want = dict(con.execute("select rowid, -bm25(t) from t where t match ?", (match,)).fetchall()) if match else {}
+            if want:
+                tiers.add(tier)
+                assert got[q][0] == tier and set(got[q][1]) == set(want) and got[q][2] == (0.55 if tier == 2 else 1.0), (q, tier)
+                assert all(got[q][1][d] == pytest.approx(s, abs=1e-9) for d, s in want.items()), (q, tier)
+                break
+        else:
+            assert q not in got
+    assert tiers == {0, 1, 2}
+
+
 def test_file_names_get_suffixes(spark):
     rows = spark.createDataFrame([(1, "f", "A b", "x"), (2, "f", "A  b", "y"), (3, "f", "a b", "x"), (4, "g", "a b", "z")], "id long, folder string, title string, body string")
     assert {r["id"]: r["file_name"] for r in notes.file_names(rows).collect()} == {1: "a-b.md", 2: "a-b-v2.md", 3: "a-b.md", 4: "a-b.md"}
