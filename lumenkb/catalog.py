@@ -149,12 +149,23 @@ def rrf_fusion(spark, sf_dir):
     return rows.select("query_id", F.col("doc_id").alias("id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("bm25_rank", "vector_rank")], F.round("score", 6).alias("score"))
 
 
+def hybrid_inputs(spark: SparkSession, sf_dir: str) -> tuple:
+    access = accesses(spark, sf_dir).groupBy(F.col("user_id").alias("doc_id")).agg(F.sum("access_count").alias("access_count"), F.max("last_access").alias("last_access"))
+    return note_view(spark, sf_dir), asked(spark, sf_dir), vectors(spark, sf_dir), query_vectors(spark, sf_dir), page_edges(spark, sf_dir), access, NOW
+
+
 @query
 def hybrid_search(spark, sf_dir):
-    access = accesses(spark, sf_dir).groupBy(F.col("user_id").alias("doc_id")).agg(F.sum("access_count").alias("access_count"), F.max("last_access").alias("last_access"))
-    links = page_edges(spark, sf_dir)
-    rows = search.hybrid_search(note_view(spark, sf_dir), asked(spark, sf_dir), vectors(spark, sf_dir), query_vectors(spark, sf_dir), links, access, NOW)
-    return rows.withColumnRenamed("doc_id", "id")
+    rows = search.hybrid_search(*hybrid_inputs(spark, sf_dir))
+    return rows.withColumn("expanded_from", F.coalesce("expanded_from", F.lit(-1))).withColumnRenamed("doc_id", "id")
+
+
+@query
+def graph_expand(spark, sf_dir):
+    """What each query's best hits of the hybrid search lead to."""
+    docs, queries, v, qv, edges, access, now = hybrid_inputs(spark, sf_dir)
+    rows = search.expansions(search.scored_pool(docs, queries, v, qv, edges, access, now, 10), docs, edges, access, now)
+    return rows.select("query_id", F.col("doc_id").alias("neighbour"), "parent", F.round("score", 9).alias("score"))
 
 
 @query
@@ -203,13 +214,6 @@ def backlinks(spark, sf_dir):
     return graph.degree(pages(spark, sf_dir), page_edges(spark, sf_dir)).withColumnRenamed("id", "page_id")
 
 
-@query
-def graph_expand(spark, sf_dir):
-    parents = pages(spark, sf_dir).where("id % 25 = 0").select("id", (1.0 / (60 + F.col("id"))).alias("score"))
-    rows = graph.expand(parents, page_edges(spark, sf_dir), graph_notes(spark, sf_dir))
-    return rows.select(F.col("id").alias("neighbour"), "parent", F.round("score", 9).alias("score"))
-
-
 @query
 def orphans(spark, sf_dir):
     return graph.orphans(graph_notes(spark, sf_dir), page_edges(spark, sf_dir)).withColumnRenamed("id", "page_id")

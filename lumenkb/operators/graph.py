@@ -81,18 +81,18 @@ def degree(notes: DataFrame, links: DataFrame) -> DataFrame:
     return rows.select("id", F.coalesce("in_links", F.lit(0)).alias("in_links"), F.coalesce("out_links", F.lit(0)).alias("out_links"))
 
 
-def expand(parents: DataFrame, links: DataFrame, notes: DataFrame) -> DataFrame:
-    """id, parent, score: neighbours of ``parents`` (id, score) outside them, each with its best link.
+def expand(parents: DataFrame, links: DataFrame, notes: DataFrame, pool: DataFrame) -> DataFrame:
+    """query_id, id, parent, score: neighbours of each query's ``parents`` (query_id, id, score) outside its ``pool`` (query_id, id), each with its best link.
 
     ``notes``: id, level, status. A link outwards passes OUTWARD of the parent's score; one inwards INWARD, and only to
     lasting notes. Inactive and passing notes are skipped.
     """
-    out = links.join(parents.select(F.col("id").alias("src"), "score"), "src").select(F.col("dst").alias("id"), F.col("src").alias("parent"), (F.col("score") * OUTWARD).alias("score"), F.lit(False).alias("inward"))
-    into = links.join(parents.select(F.col("id").alias("dst"), "score"), "dst").select(F.col("src").alias("id"), F.col("dst").alias("parent"), (F.col("score") * INWARD).alias("score"), F.lit(True).alias("inward"))
-    rows = out.unionByName(into).join(parents.select("id"), "id", "left_anti").join(notes.select("id", "level", "status"), "id")
+    one_way = lambda near, far, share: links.join(parents.select("query_id", F.col("id").alias(near), "score"), near).select("query_id", F.col(far).alias("id"), F.col(near).alias("parent"), (F.col("score") * share).alias("score"), F.lit(near == "dst").alias("inward"))
+    rows = one_way("src", "dst", OUTWARD).unionByName(one_way("dst", "src", INWARD)).join(pool.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    rows = rows.join(notes.select("id", "level", "status"), "id")
     rows = rows.where("status = 'active' and level <> 'L0Ephemeral' and (not inward or level = 'L3Evergreen')")
-    best = rows.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "parent")).alias("x"))
-    return best.select("id", F.col("x.parent").alias("parent"), (-F.col("x.s")).alias("score"))
+    best = rows.groupBy("query_id", "id").agg(F.min(F.struct((-F.round("score", 12)).alias("s"), "parent", "score")).alias("x"))
+    return best.select("query_id", "id", F.col("x.parent").alias("parent"), F.col("x.score").alias("score"))
 
 
 def orphans(notes: DataFrame, links: DataFrame) -> DataFrame:

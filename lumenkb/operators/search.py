@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenkb.functions import ranking as R
 from lumenkb.functions.text import SEGMENT_CJK, fold_fullwidth, index_tokens, segmented, tokens
+from lumenkb.operators.graph import expand
 from lumenkb.session import materialize, ship_code
 
 K1, B = 1.2, 0.75
@@ -223,12 +224,16 @@ def section_locate(hits: DataFrame, sections: DataFrame, terms: DataFrame) -> Da
     return best.select("query_id", "doc_id", F.col("x.ord").cast("long").alias("ord"), (-F.col("x.s")).alias("score"))
 
 
-def hybrid_search(docs: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, edges: DataFrame, access: DataFrame, now: int, limit: int = 10) -> DataFrame:
-    """query_id, doc_id, rank, score, graph_boost.
+MOST_PARENTS = 10
 
-    Fuses both channels, lifts active notes that have an active neighbour in the pool by a share of the best score, and
-    weighs by age, use and status. ``edges``: src, dst. ``access``: doc_id, access_count, last_access.
-    """
+
+def best_order() -> list[Column]:
+    """By final score, then the channels' ranks."""
+    return [F.desc(F.round("score", 9)), F.asc_nulls_last("bm25_rank"), F.asc_nulls_last("vector_rank"), F.col("doc_id")]
+
+
+def scored_pool(docs: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, edges: DataFrame, access: DataFrame, now: int, limit: int) -> DataFrame:
+    """query_id, doc_id, bm25_rank, vector_rank, status, graph_boost, score of all direct hits, as a table; see ``hybrid_search``."""
     pool = max(3 * limit, 20)
     rows = fuse(lexical_hits(docs, queries, pool), vector_search(vectors, query_vectors, pool))
     rows = rows.join(docs.select("doc_id", "level", "mtime", "status"), "doc_id").join(access, "doc_id", "left")
@@ -236,12 +241,38 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, vectors: DataFrame, query
     live = rows.where(F.col("status") == "active").select("query_id", "doc_id")
     rows = rows.join(connected(live, edges).withColumn("linked", F.lit(True)), ["query_id", "doc_id"], "left")
     boost = F.when(F.col("linked"), R.BOOST * F.col("top")).otherwise(0.0)
-    weigh = R.decay(F.col("level"), F.col("mtime"), F.lit(now), F.lit(False))
-    used = F.coalesce(R.reinforcement(F.col("access_count"), F.col("last_access"), F.lit(now)), F.lit(1.0))
-    final = (F.col("score") + boost) * weigh * used * F.when(F.col("status") == "active", 1.0).otherwise(R.INACTIVE)
+    final = (F.col("score") + boost) * in_time(now) * F.when(F.col("status") == "active", 1.0).otherwise(R.INACTIVE)
     rows = rows.withColumn("graph_boost", boost).withColumn("score", final)
-    order = [F.desc(F.round("score", 9)), F.asc_nulls_last("bm25_rank"), F.asc_nulls_last("vector_rank"), F.col("doc_id")]
-    return ranked(rows, order, limit).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"), F.round("graph_boost", 6).alias("graph_boost"))
+    return materialize(rows.select("query_id", "doc_id", "bm25_rank", "vector_rank", "status", "graph_boost", "score"), "pool")
+
+
+def in_time(now: int) -> Column:
+    """The weight of a note's age and use (level, mtime, access_count, last_access)."""
+    used = F.coalesce(R.reinforcement(F.col("access_count"), F.col("last_access"), F.lit(now)), F.lit(1.0))
+    return R.decay(F.col("level"), F.col("mtime"), F.lit(now), F.lit(False)) * used
+
+
+def expansions(pool: DataFrame, docs: DataFrame, edges: DataFrame, access: DataFrame, now: int, limit: int = 10) -> DataFrame:
+    """query_id, doc_id, parent, score: what the best active hits of a ``scored_pool`` link to outside of it, half of ``limit`` at most."""
+    parents = ranked(pool.where("status = 'active'"), best_order(), min(2 * limit, MOST_PARENTS)).select("query_id", F.col("doc_id").alias("id"), "score")
+    near = expand(parents, edges, docs.select(F.col("doc_id").alias("id"), "level", "status"), pool.select("query_id", F.col("doc_id").alias("id")))
+    rows = near.withColumnRenamed("id", "doc_id").join(docs.select("doc_id", "level", "mtime"), "doc_id").join(access, "doc_id", "left")
+    rows = rows.withColumn("score", F.col("score") * in_time(now))
+    return ranked(rows, score_order(), max(limit // 2, 1)).select("query_id", "doc_id", "parent", "score")
+
+
+def hybrid_search(docs: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, edges: DataFrame, access: DataFrame, now: int, limit: int = 10) -> DataFrame:
+    """query_id, doc_id, rank, score, graph_boost, expanded_from (null: a direct hit).
+
+    Fuses both channels, lifts active notes that have an active neighbour in the pool by a share of the best score,
+    weighs by age, use and status, and adds neighbours outside the pool. ``edges``: src, dst. ``access``: doc_id,
+    access_count, last_access.
+    """
+    pool = scored_pool(docs, queries, vectors, query_vectors, edges, access, now, limit)
+    more = expansions(pool, docs, edges, access, now, limit).withColumnRenamed("parent", "expanded_from").withColumn("graph_boost", F.lit(0.0))
+    rows = pool.drop("status").unionByName(more, allowMissingColumns=True)
+    rows = ranked(rows, best_order(), limit)
+    return rows.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"), F.round("graph_boost", 6).alias("graph_boost"), "expanded_from")
 
 
 def federated_search(own: DataFrame, shared: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:

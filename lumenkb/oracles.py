@@ -154,6 +154,24 @@ res AS (
 edges AS (SELECT DISTINCT src, dst FROM res WHERE resolution = 'document'),
 gn AS (SELECT id, p, title, ['L0Ephemeral', 'L1Resource', 'L2Log', 'L3Evergreen'][CAST(id % 4 + 1 AS INTEGER)] AS level, CASE WHEN id % 10 = 9 THEN 'superseded' ELSE 'active' END AS status FROM pn)"""
 
+#: The scored pool f2 of the hybrid search, and ex, what its best ten active hits lead to outside of it.
+HYBRID = f"""{ACCESS}, {NOTES}, {PHRASES}, {laddered("notes", "")}, {VECTORS}, {FUSED}, {LINKS},
+us AS (SELECT user_id AS doc_id, sum(access_count) AS c, max(last_access) AS l FROM access GROUP BY 1),
+f0 AS (SELECT fused.*, level, mtime, status, c, l, max(score) OVER (PARTITION BY query_id) AS top FROM fused JOIN notes USING (doc_id) LEFT JOIN us USING (doc_id)),
+live AS (SELECT query_id, doc_id FROM f0 WHERE status = 'active'),
+bo AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+lk AS (SELECT DISTINCT x.query_id, x.doc_id, true AS linked FROM live x JOIN bo ON a = x.doc_id AND a <> b JOIN live y ON y.query_id = x.query_id AND y.doc_id = b),
+f1 AS (SELECT f0.*, CASE WHEN linked THEN 0.25 * top ELSE 0.0 END AS boost FROM f0 LEFT JOIN lk USING (query_id, doc_id)),
+f2 AS (SELECT *, (score + boost) * {decayed("false")} * coalesce({reinforce("c", "l")}, 1.0) * CASE WHEN status = 'active' THEN 1.0 ELSE 0.2 END AS fin FROM f1),
+par AS (SELECT query_id, doc_id, fin FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fin, 9) DESC, bm25_rank NULLS LAST, vector_rank NULLS LAST, doc_id) AS r FROM f2 WHERE status = 'active') WHERE r <= 10),
+ec AS (SELECT query_id, dst AS id, src AS parent, fin * 0.5 AS s, false AS inward FROM edges JOIN par ON doc_id = src UNION ALL SELECT query_id, src, dst, fin * 0.35, true FROM edges JOIN par ON doc_id = dst),
+ee AS (
+  SELECT ec.*, mtime, level, c, l, row_number() OVER (PARTITION BY query_id, id ORDER BY round(s, 12) DESC, parent) AS n FROM ec JOIN notes ON notes.doc_id = id LEFT JOIN us ON us.doc_id = id
+  WHERE status = 'active' AND level <> 'L0Ephemeral' AND (NOT inward OR level = 'L3Evergreen') AND NOT EXISTS (SELECT 1 FROM f2 WHERE f2.query_id = ec.query_id AND f2.doc_id = ec.id)
+),
+es AS (SELECT query_id, id, parent, s * {decayed("false")} * coalesce({reinforce("c", "l")}, 1.0) AS fin FROM ee WHERE n = 1),
+ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fin, 9) DESC, id) AS r FROM es) WHERE r <= 5)"""
+
 SETS = f"""
 sets AS (SELECT doc_id, list_sort(list_distinct({words("text")})) AS w FROM documents),
 nodes AS (SELECT w, min(doc_id) AS low FROM sets WHERE len(w) > 0 GROUP BY w)"""
@@ -214,16 +232,10 @@ SQL: dict[str, str] = {
         SELECT * FROM f WHERE "rank" <= 10""",
     "vector_search": f'WITH {VECTORS} SELECT query_id, doc_id AS vec_id, r AS "rank", round(distance, 6) + 0.0 AS distance FROM vr WHERE r <= 10',
     "rrf_fusion": f"WITH {NOTES}, {PHRASES}, {laddered('notes', '')}, {VECTORS}, {FUSED} SELECT query_id, doc_id AS id, coalesce(bm25_rank, 0) AS bm25_rank, coalesce(vector_rank, 0) AS vector_rank, round(score, 6) AS score FROM fused",
-    "hybrid_search": f"""WITH RECURSIVE {ACCESS}, {NOTES}, {PHRASES}, {laddered("notes", "")}, {VECTORS}, {FUSED}, {LINKS},
-        us AS (SELECT user_id AS doc_id, sum(access_count) AS c, max(last_access) AS l FROM access GROUP BY 1),
-        f0 AS (SELECT fused.*, level, mtime, status, c, l, max(score) OVER (PARTITION BY query_id) AS top FROM fused JOIN notes USING (doc_id) LEFT JOIN us USING (doc_id)),
-        live AS (SELECT query_id, doc_id FROM f0 WHERE status = 'active'),
-        bo AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
-        lk AS (SELECT DISTINCT x.query_id, x.doc_id, true AS linked FROM live x JOIN bo ON a = x.doc_id AND a <> b JOIN live y ON y.query_id = x.query_id AND y.doc_id = b),
-        f1 AS (SELECT f0.*, CASE WHEN linked THEN 0.25 * top ELSE 0.0 END AS boost FROM f0 LEFT JOIN lk USING (query_id, doc_id)),
-        f2 AS (SELECT *, (score + boost) * {decayed("false")} * coalesce({reinforce("c", "l")}, 1.0) * CASE WHEN status = 'active' THEN 1.0 ELSE 0.2 END AS fin FROM f1),
-        f3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fin, 9) DESC, bm25_rank NULLS LAST, vector_rank NULLS LAST, doc_id) AS r FROM f2)
-        SELECT query_id, doc_id AS id, r AS "rank", round(fin, 6) AS score, round(boost, 6) AS graph_boost FROM f3 WHERE r <= 10""",
+    "hybrid_search": f"""WITH RECURSIVE {HYBRID},
+        al AS (SELECT query_id, doc_id, bm25_rank, vector_rank, fin, boost, -1 AS via FROM f2 UNION ALL SELECT query_id, id, NULL, NULL, fin, 0.0, parent FROM ex),
+        f3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fin, 9) DESC, bm25_rank NULLS LAST, vector_rank NULLS LAST, doc_id) AS r FROM al)
+        SELECT query_id, doc_id AS id, r AS "rank", round(fin, 6) AS score, round(boost, 6) AS graph_boost, via AS expanded_from FROM f3 WHERE r <= 10""",
     "graph_boost": f"""WITH {NOTES}, {PHRASES}, {laddered("notes", "")}, {VECTORS}, {FUSED}, {LINKS}, p AS (SELECT query_id, doc_id, status FROM fused JOIN notes USING (doc_id)),
         live AS (SELECT * FROM p WHERE status = 'active'), bo AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
         lk AS (SELECT DISTINCT x.query_id, x.doc_id, true AS c FROM live x JOIN bo ON a = x.doc_id AND a <> b JOIN live y ON y.query_id = x.query_id AND y.doc_id = b)
@@ -247,11 +259,7 @@ SQL: dict[str, str] = {
     "link_edges": f"WITH {LINKS} SELECT src, dst FROM edges",
     "link_stats": f"WITH {LINKS} SELECT resolution, count(*) AS n FROM res GROUP BY 1",
     "backlinks": f"""WITH {LINKS} SELECT id AS page_id, (SELECT count(*) FROM edges WHERE dst = id) AS in_links, (SELECT count(*) FROM edges WHERE src = id) AS out_links FROM pn""",
-    "graph_expand": f"""WITH {LINKS}, par AS (SELECT id, 1.0 / CAST(60 + id AS DOUBLE) AS score FROM pn WHERE id % 25 = 0),
-        c AS (SELECT dst AS id, src AS parent, score * 0.5 AS s, false AS inward FROM edges JOIN par ON par.id = src UNION ALL SELECT src, dst, score * 0.35, true FROM edges JOIN par ON par.id = dst),
-        k AS (SELECT c.*, row_number() OVER (PARTITION BY c.id ORDER BY s DESC, parent) AS n FROM c JOIN gn ON gn.id = c.id
-              WHERE c.id NOT IN (SELECT id FROM par) AND status = 'active' AND level <> 'L0Ephemeral' AND (NOT inward OR level = 'L3Evergreen'))
-        SELECT id AS neighbour, parent, round(s, 9) AS score FROM k WHERE n = 1""",
+    "graph_expand": f"WITH RECURSIVE {HYBRID} SELECT query_id, id AS neighbour, parent, round(fin, 9) AS score FROM ex",
     "orphans": f"""WITH {LINKS} SELECT id AS page_id FROM gn WHERE status = 'active' AND level <> 'L0Ephemeral' AND id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)""",
     "broken_links": f"WITH {LINKS} SELECT src, raw_target FROM res WHERE resolution = 'broken'",
     "weave_plan": f"""WITH {LINKS}, e AS (SELECT DISTINCT dst, concat(s.p, '|', s.title) AS entry FROM edges JOIN gn t ON t.id = dst JOIN gn s ON s.id = src

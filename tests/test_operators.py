@@ -75,11 +75,12 @@ def test_chains_end_in_cycles(spark):
 
 
 def test_expansion_takes_the_best_link(spark):
-    links = spark.createDataFrame([(1, 9), (2, 9), (8, 1), (7, 1), (1, 6)], "src long, dst long")
-    parents = spark.createDataFrame([(1, 0.4), (2, 0.9)], "id long, score double")
-    n = spark.createDataFrame([(9, "L1Resource", "active"), (8, "L3Evergreen", "active"), (7, "L2Log", "active"), (6, "L0Ephemeral", "active")], "id long, level string, status string")
-    got = {r["id"]: (r["parent"], round(r["score"], 6)) for r in graph.expand(parents, links, n).collect()}
-    assert got == {9: (2, 0.45), 8: (1, 0.14)}
+    links = spark.createDataFrame([(1, 9), (2, 9), (8, 1), (7, 1), (1, 6), (1, 2), (1, 5)], "src long, dst long")
+    parents = spark.createDataFrame([(3, 1, 0.4), (3, 2, 0.9), (4, 1, 0.2)], "query_id long, id long, score double")
+    pool = parents.select("query_id", "id").union(spark.createDataFrame([(3, 5)], "query_id long, id long"))
+    n = spark.createDataFrame([(9, "L1Resource", "active"), (8, "L3Evergreen", "active"), (7, "L2Log", "active"), (6, "L0Ephemeral", "active"), (5, "L1Resource", "active"), (2, "L1Resource", "superseded")], "id long, level string, status string")
+    got = {(r["query_id"], r["id"]): (r["parent"], round(r["score"], 6)) for r in graph.expand(parents, links, n, pool).collect()}
+    assert got == {(3, 9): (2, 0.45), (3, 8): (1, 0.14), (4, 9): (1, 0.1), (4, 8): (1, 0.07), (4, 5): (1, 0.1)}
 
 
 @pytest.mark.parametrize(
