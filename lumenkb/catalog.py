@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenkb import oracles
 from lumenkb.functions import ranking as R
+from lumenkb.functions import text
 from lumenkb.functions.text import estimate_tokens, tokens
 from lumenkb.operators import graph, guard, notes, search, sessions, sync
 from lumenkb.plans.views import NOW, page_links, pages
@@ -67,6 +68,43 @@ def estimate_tokens_(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", estimate_tokens(F.col("text")).alias("tokens"))
 
 
+@query
+def safe_names(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.safe_name(F.concat(F.lit(" ."), F.substring("text", 1, 60), F.lit("?a/b."))).alias("name"))
+
+
+@query
+def one_line(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.one_line(F.col("text"))).alias("line_md5"))
+
+
+@query
+def ansi_strip(spark, sf_dir):
+    """Texts with colours about each t that begins a word, and a sequence that never ends."""
+    coloured = F.concat(F.replace("text", F.lit(" t"), F.lit(" \x1b[1;31mt\x1b[0m")), F.lit("\x1b\x1b[9;"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.without_ansi(coloured)).alias("plain_md5"))
+
+
+@query
+def unescape(spark, sf_dir):
+    """Texts with every third's line feeds written out, and every fifth's followed by an escaped item."""
+    raw = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("\n"), F.lit("\\n"))).otherwise(F.concat("text", F.lit("\\t\\nx")))
+    raw = F.when(F.col("doc_id") % 5 == 0, F.concat(raw, F.lit("\\n- item"))).otherwise(raw)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.unescaped(raw)).alias("text_md5"))
+
+
+@query
+def fuzzy_match(spark, sf_dir):
+    """Which first lines hold the letters of the document's source in their order."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_subsequence(F.upper(F.concat("lang", "source")), text.first_line(F.col("text"))).alias("matches"))
+
+
+@query
+def path_keywords(spark, sf_dir):
+    path = F.concat(F.lit("crates/"), "source", F.lit("-"), "lang", F.lit("_v/src/Mod_"), (F.col("doc_id") % 20).cast("string"), F.lit(".test.rs"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.path_keywords(path), " ").alias("keywords"))
+
+
 @query
 def lifecycle_status(spark, sf_dir):
     n = note_view(spark, sf_dir)

@@ -68,3 +68,52 @@ def first_line(text: Column) -> Column:
 def line_count(text: Column) -> Column:
     """Lines as a reader counts them: a trailing line feed opens none, and an empty text has none."""
     return F.when(text == "", 0).otherwise(F.size(F.split(F.regexp_replace(text, "\n$", ""), "\n", -1))).cast("long")
+
+
+def safe_name(title: Column) -> Column:
+    """A title as a file name: characters that file systems refuse become underscores, outer blanks and dots go."""
+    clean = F.regexp_replace(title, r'[/\\:*?"<>|\x00]', "_")
+    clean = F.regexp_replace(F.regexp_replace(clean, r"(?U)^\s+|\s+$", ""), r"^\.+|\.+$", "")
+    return F.when(clean == "", F.lit("untitled")).otherwise(clean)
+
+
+def one_line(text: Column) -> Column:
+    """Each run of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def without_ansi(text: Column) -> Column:
+    """Text without escape characters, each with its control sequence: from a bracket to the first ASCII letter or the end."""
+    return F.regexp_replace(text, r"\x1b(\[[^A-Za-z]*[A-Za-z]?)?", "")
+
+
+def unescaped(text: Column) -> Column:
+    """Written-out line feeds and tabs as such, where the text looks escaped as a whole: it has no line feed, or escaped list items or the known heading."""
+    looks = ~text.contains("\n") | text.contains("## Non-Negotiable Invariants\\n") | text.contains("\\n- ")
+    plain = F.replace(F.replace(text, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t"))
+    return F.when(text.contains("\\n") & looks, plain).otherwise(text)
+
+
+def is_subsequence(needle: Column, text: Column) -> Column:
+    """Whether the characters of ``needle`` stand in ``text`` in their order, ASCII letters in either case. An empty needle does."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    text = F.translate(text, upper, lower)
+    chars = F.regexp_extract_all(F.translate(needle, upper, lower), F.lit("(?s)."), F.lit(0))
+
+    def after(at: Column, c: Column) -> Column:
+        found = F.call_function("locate", c, text, at)
+        return F.when((at == 0) | (found == 0), 0).otherwise(found + 1)
+
+    return F.aggregate(chars, F.lit(1), after) > 0
+
+
+#: Folders that say nothing of a path's subject (fixed values).
+LAYOUT = ["src", "crates", "tests", "target", "benches", "examples", "docs", "doc", "lib", ".github", ".git", ".cargo", "node_modules"]
+
+
+def path_keywords(path: Column) -> Column:
+    """The words of a path's segments in order: parts between hyphens and underscores, after the whole where there are several."""
+    named = F.filter(F.transform(F.split(path, "/"), F.trim), lambda x: (x != "") & ~x.isin(LAYOUT))
+    stems = F.transform(named, lambda x: F.lower(F.regexp_replace(x, r"\.[^.]*$", "")))
+    parts = lambda x: F.filter(F.split(x, "[_-]"), lambda y: F.octet_length(y) >= 2)
+    return F.array_distinct(F.flatten(F.transform(stems, lambda x: F.when(F.size(parts(x)) > 1, F.concat(F.array(x), parts(x))).otherwise(parts(x)))))

@@ -215,6 +215,14 @@ def slug(x: str) -> str:
 
 SQL: dict[str, str] = {
     "estimate_tokens": f"SELECT doc_id, {estimate('text')} AS tokens FROM documents",
+    "safe_names": r"""SELECT doc_id, CASE WHEN n = '' THEN 'untitled' ELSE n END AS name FROM (
+        SELECT doc_id, trim(regexp_replace(translate(concat(' .', substr(text, 1, 60), '?a/b.'), '/\:*?"<>|', '_________'), '^\s+|\s+$', '', 'g'), '.') AS n FROM documents)""",
+    "one_line": r"SELECT doc_id, md5(array_to_string(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), ' ')) AS line_md5 FROM documents",
+    "ansi_strip": "SELECT doc_id, md5(text) AS plain_md5 FROM documents",
+    "unescape": r"""WITH a AS (SELECT doc_id, concat(CASE WHEN doc_id % 3 = 0 THEN replace(text, chr(10), '\n') ELSE concat(text, '\t\nx') END, CASE WHEN doc_id % 5 = 0 THEN '\n- item' ELSE '' END) AS r FROM documents)
+        SELECT doc_id, md5(CASE WHEN contains(r, '\n') AND (NOT contains(r, chr(10)) OR contains(r, '## Non-Negotiable Invariants\n') OR contains(r, '\n- ')) THEN replace(replace(r, '\n', chr(10)), '\t', chr(9)) ELSE r END) AS text_md5 FROM a""",
+    "fuzzy_match": """SELECT doc_id, regexp_matches(lower(string_split(text, chr(10))[1]), array_to_string(string_split(lower(concat(lang, source)), ''), '.*')) AS matches FROM documents""",
+    "path_keywords": """SELECT doc_id, concat(lower(concat(source, '-', lang, '_v')), ' ', lower(source), ' ', lower(lang), ' mod_', CAST(doc_id % 20 AS VARCHAR), '.test mod ', CAST(doc_id % 20 AS VARCHAR), '.test') AS keywords FROM documents""",
     "lifecycle_status": rf"""WITH {NOTES} SELECT doc_id, CASE WHEN status <> 'active' THEN status WHEN doc_id % 13 = 0 THEN 'superseded' WHEN doc_id % 11 = 0 THEN 'archived'
         WHEN len(list_filter(string_split(body, chr(10))[1:5], lambda x: regexp_matches(upper(ltrim(x)), '^> \[(SUPERSEDED\]|!?WARN\] SUPERSEDED)'))) > 0 THEN 'superseded' ELSE 'active' END AS status FROM notes""",
     "hierarchy_classify": """SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'L2Log' WHEN doc_id % 7 = 0 THEN 'L3Evergreen'

@@ -217,6 +217,22 @@ def test_query_tiers_equal_a_full_text_index(spark):
     assert tiers == {0, 1, 2}
 
 
+def test_text_functions(spark):
+    from lumenkb.functions import text as T
+
+    def of(f, *values):
+        cols = [f"c{i}" for i in range(len(values))]
+        return spark.createDataFrame([values], ", ".join(f"{c} string" for c in cols)).select(f(*map(F.col, cols)).alias("x")).first()["x"]
+
+    assert [of(T.safe_name, x) for x in (" ..a/b?. ", "...", "", " . x", None)] == ["a_b_", "untitled", "untitled", " x", None]
+    assert [of(T.one_line, x) for x in (" a \n\t b\u2003c ", "", None)] == ["a b c", "", None]
+    assert [of(T.without_ansi, x) for x in ("\x1b[1;31mred\x1b[0m", "a\x1bb", "a\x1b[12", "a\x1b[\n;Kb", "[0m", None)] == ["red", "ab", "a", "ab", "[0m", None]
+    assert [of(T.unescaped, x) for x in ("a\\nb\\tc", "a\nb\\nc", "a\n\\n- b", "a\\tb", None)] == ["a\nb\tc", "a\nb\\nc", "a\n\n- b", "a\\tb", None]
+    assert [of(T.is_subsequence, n, t) for n, t in (("aC", "xAbc"), ("ca", "abc"), ("", "x"), ("aa", "a"), ("a.c", "a.c"), ("a.c", "abc"), (None, "a"))] == [True, False, True, False, True, False, None]
+    assert of(T.path_keywords, "crates/my-core/src/Vector_Store/x/embed.test.rs") == ["my-core", "my", "core", "vector_store", "vector", "store", "embed.test"]
+    assert of(T.path_keywords, "./src//a.rs") == []
+
+
 def test_file_names_get_suffixes(spark):
     rows = spark.createDataFrame([(1, "f", "A b", "x"), (2, "f", "A  b", "y"), (3, "f", "a b", "x"), (4, "g", "a b", "z")], "id long, folder string, title string, body string")
     assert {r["id"]: r["file_name"] for r in notes.file_names(rows).collect()} == {1: "a-b.md", 2: "a-b-v2.md", 3: "a-b.md", 4: "a-b.md"}
