@@ -1 +1 @@
-"""Training-data operators: ten independent DataFrame-to-DataFrame functions and their queries."""
+"""Training-data operators: thirteen independent DataFrame-to-DataFrame functions and their queries."""

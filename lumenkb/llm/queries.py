@@ -85,8 +85,16 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(table(spark, sf_dir, "documents"))
 
 
+def op13_rank_select_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenkb.llm.fim import fill_in_middle, restored
+
+    digest = lambda x: F.sha2(F.encode(x, "UTF-8"), 256)
+    rows = fill_in_middle(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_edit_aware_tokens, op2_chosen_path_jaccard, op3_deobfuscated_toxicity, op4_exact_topk, op5_soft_mixing, op6_one_bit_ann, op7_fuzzy_line_dedup, op8_sum_of_squares_packing, op9_suffix_array_dedup, op10_stratified_shards)}
+    return {f.__name__: f for f in (op1_edit_aware_tokens, op2_chosen_path_jaccard, op3_deobfuscated_toxicity, op4_exact_topk, op5_soft_mixing, op6_one_bit_ann, op7_fuzzy_line_dedup, op8_sum_of_squares_packing, op9_suffix_array_dedup, op10_stratified_shards, op13_rank_select_fim)}
 
 
 TOPK_SQL = """
@@ -104,5 +112,23 @@ SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 5
 """
 
 
+FIM_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256(concat('1:', CAST(doc_id AS VARCHAR))) AS h FROM documents),
+u AS (
+  SELECT doc_id, x, CAST(length(x) AS BIGINT) AS n, CAST(concat('0x', h[1:8]) AS BIGINT) AS h1, CAST(concat('0x', h[9:16]) AS BIGINT) AS h2,
+    CAST(concat('0x', h[17:24]) AS BIGINT) AS h3, CAST(concat('0x', h[25:32]) AS BIGINT) AS h4
+  FROM t
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM u
+), p AS (SELECT *, substring(x, 1, a) AS prefix, substring(x, a + 1, b - a) AS middle, substring(x, b + 1, n - b) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle) ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256,
+  sha256(x) AS restored_sha256
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": TOPK_SQL}
+    return {"op4_exact_topk": TOPK_SQL, "op13_rank_select_fim": FIM_SQL}
