@@ -85,6 +85,20 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(table(spark, sf_dir, "documents"))
 
 
+def op11_wand_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenkb.llm.wand import lexical_top_k
+
+    return lexical_top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenkb.llm.contamination import contaminated
+
+    rows = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256)
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def op13_rank_select_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenkb.llm.fim import fill_in_middle, restored
 
@@ -94,7 +108,7 @@ def op13_rank_select_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_edit_aware_tokens, op2_chosen_path_jaccard, op3_deobfuscated_toxicity, op4_exact_topk, op5_soft_mixing, op6_one_bit_ann, op7_fuzzy_line_dedup, op8_sum_of_squares_packing, op9_suffix_array_dedup, op10_stratified_shards, op13_rank_select_fim)}
+    return {f.__name__: f for f in (op1_edit_aware_tokens, op2_chosen_path_jaccard, op3_deobfuscated_toxicity, op4_exact_topk, op5_soft_mixing, op6_one_bit_ann, op7_fuzzy_line_dedup, op8_sum_of_squares_packing, op9_suffix_array_dedup, op10_stratified_shards, op11_wand_search, op12_positional_decontamination, op13_rank_select_fim)}
 
 
 TOPK_SQL = """
@@ -112,6 +126,34 @@ SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 5
 """
 
 
+LEXICAL_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+c AS (SELECT count(*) AS nd, CAST(sum(len(w)) AS BIGINT) AS nl FROM d WHERE len(w) > 0),
+tok AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d),
+post AS (SELECT doc_id, n, term, count(*) AS tf FROM tok GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(w) AS term FROM q) GROUP BY ALL),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(times * CAST(floor(1000 * ln((2.0 * nd + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * nd) // nl)))) AS BIGINT) AS score
+  FROM asked JOIN post USING (term) JOIN dfs USING (term), c GROUP BY item_id, doc_id
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS "rank" FROM s WHERE score > 0)
+SELECT item_id, "rank", doc_id, score FROM r WHERE "rank" <= 10
+"""
+
+LEAKS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+starts AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[s : s + n - 1], ' ') AS g FROM starts),
+pos AS (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
+occ AS (SELECT k, s, pos.n, item_id FROM pos JOIN win ON win.n = pos.n AND g = array_to_string(w[s : s + pos.n - 1], ' ')),
+hit AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(s, s + n)) AS p FROM occ) GROUP BY k),
+held AS (SELECT k, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS xs FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS x FROM occ) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(xs, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (k) LEFT JOIN held USING (k)
+"""
+
 FIM_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256(concat('1:', CAST(doc_id AS VARCHAR))) AS h FROM documents),
 u AS (
@@ -131,4 +173,4 @@ FROM p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": TOPK_SQL, "op13_rank_select_fim": FIM_SQL}
+    return {"op4_exact_topk": TOPK_SQL, "op11_wand_search": LEXICAL_SQL, "op12_positional_decontamination": LEAKS_SQL, "op13_rank_select_fim": FIM_SQL}
