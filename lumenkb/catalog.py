@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,11 @@ from lumenkb import oracles
 from lumenkb.functions import ranking as R
 from lumenkb.functions import text
 from lumenkb.functions.text import estimate_tokens, tokens
-from lumenkb.operators import graph, guard, notes, search, sessions, sync
-from lumenkb.plans.views import NOW, page_links, pages
+from lumenkb.operators import graph, guard, index, notes, rules, search, sessions, sync
+from lumenkb.operators import vectors as near
+from lumenkb.plans.views import NOW, code_files, note_vectors, page_links, pages, rule_notes
 from lumenkb.plans.views import notes as note_view
-from lumenkb.session import table
+from lumenkb.session import new_folder, table
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -176,6 +178,14 @@ def vector_search(spark, sf_dir):
     return rows.select("query_id", F.col("doc_id").alias("vec_id"), "rank", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
+@query
+def section_knn(spark, sf_dir):
+    """The vectors as those of sections, five to a note."""
+    sections = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("section_id"), F.floor(F.col("vec_id") / 5).alias("doc_id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = near.section_search(sections, query_vectors(spark, sf_dir), 10)
+    return rows.withColumn("distance", F.round("distance", 6) + 0.0)
+
+
 def channels(spark: SparkSession, sf_dir: str, pool: int = 30) -> tuple[DataFrame, DataFrame]:
     lexical = search.lexical_hits(note_view(spark, sf_dir), asked(spark, sf_dir), pool)
     return lexical, search.vector_search(vectors(spark, sf_dir), query_vectors(spark, sf_dir), pool)
@@ -289,6 +299,14 @@ def near_dups(spark, sf_dir):
     return graph.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def cosine_dups(spark, sf_dir):
+    """Near vectors among active lasting notes; every third drawn one supersedes what it was drawn towards."""
+    v = note_vectors(spark, sf_dir)
+    superseded = v.where("id % 24 = 7").select("id", F.lit(4).alias("n")).select((F.col("id") - F.col("n")).alias("a"), F.col("id").alias("b"))
+    return near.cosine_duplicates(v, superseded).withColumn("score", F.round("score", 6))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return note_view(spark, sf_dir).select(F.col("doc_id").alias("id"), "path", F.col("body").alias("content"))
 
@@ -317,6 +335,39 @@ def guard_diff(spark, sf_dir):
     return guard.audit_diffs(note_view(spark, sf_dir).select(F.col("doc_id").alias("diff_id"), F.concat(head, body).alias("diff")), RULES).drop("path")
 
 
+COMMENT_RULES = [
+    {"id": "C1", "kind": "forbidden", "pattern": "password", "severity": "deny", "include_comments": False},
+    {"id": "C2", "kind": "forbidden", "pattern": "password", "severity": "warn", "include_comments": True},
+]
+
+
+@query
+def guard_comments(spark, sf_dir):
+    return guard.forbidden(code_files(spark, sf_dir), COMMENT_RULES).withColumnRenamed("id", "doc_id")
+
+
+@query
+def guard_rules(spark, sf_dir):
+    rows = rules.note_rules(rule_notes(spark, sf_dir))
+    return rows.select("doc_id", F.col("at").cast("long").alias("place"), "id", "kind", "pattern", F.coalesce("file_pattern", F.lit("")).alias("file_pattern"), "severity", "remediation")
+
+
+def changed_rule_notes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The rule notes, and the same after a change: some are gone, some retired (named successors may not be active), some have lost their rules or name a note that is gone as superseded."""
+    was = rule_notes(spark, sf_dir)
+    kind = F.col("doc_id") % 7
+    named = lambda key, n: F.concat(F.lit(f'{{"{key}": "[[decisions/n'), n.cast("string"), F.lit('|x]]"}'))
+    front = F.when(kind == 2, named("superseded_by", F.col("doc_id") + 1)).when((kind == 5) & (F.col("doc_id") % 2 == 0), named("supersedes", F.col("doc_id") - 4)).otherwise(F.col("frontmatter"))
+    now = was.where("doc_id % 7 <> 1").withColumn("frontmatter", front).withColumn("status", F.when(kind == 2, "superseded").otherwise(F.col("status")))
+    return was, now.withColumn("body", F.when(kind == 3, "# T").otherwise(F.col("body")))
+
+
+@query
+def guard_resurrection(spark, sf_dir):
+    """The rules that hold for that change, each once."""
+    return rules.rules_of_change(*changed_rule_notes(spark, sf_dir)).select("doc_id", "id", "kind", "pattern", "state")
+
+
 @query
 def rule_dedup(spark, sf_dir):
     rows = note_view(spark, sf_dir).select(F.concat(F.lit("R"), (F.col("doc_id") % 50).cast("string")).alias("id"), F.substring("title", 1, 5).alias("pattern"), F.col("path").alias("source"), F.col("doc_id").alias("order"))
@@ -364,6 +415,33 @@ def section_diff(spark, sf_dir):
     return sync.section_reuse(cut(was), cut(now))
 
 
+@query
+def pending_sections(spark, sf_dir):
+    """Lines of the later state of the notes that have no vector yet, or one of another text."""
+    cut = lambda d: d.select("doc_id", F.posexplode(F.split("body", "\n", -1)).alias("ord", "line")).select("doc_id", F.col("ord").cast("long").alias("ord"), F.md5("line").alias("text_hash"))
+    was, now = mutated(spark, sf_dir)
+    return near.pending_sections(cut(now), cut(was))
+
+
+@query
+def index_maintenance(spark, sf_dir):
+    """Rows, notes and a sum for each table of an index that was built from the earlier state and brought to the later one by two batches."""
+    def source(d):
+        links = F.array(F.concat(F.lit("n"), (F.col("doc_id") + 1).cast("string")))
+        return d.select("doc_id", "path", F.element_at(F.split("body", "\n", -1), 1).alias("title"), F.array(F.regexp_replace("path", "/.*", ""), F.lit("note")).alias("tags"), links.alias("links"), "body", "mtime")
+
+    was, now = mutated(spark, sf_dir)
+    state = sync.changes(was, now)
+    changed = source(now).join(state.where("state in ('added', 'modified')").select("path"), "path", "left_semi")
+    kept = index.NoteIndex(spark, new_folder(spark, "note-index"))
+    kept.apply("notes", 0, source(was))
+    kept.apply("notes", 1, changed.where("doc_id % 2 = 0"), was.join(state.where("state = 'deleted'"), "path", "left_semi").select("doc_id"))
+    kept.apply("notes", 2, changed.where("doc_id % 2 = 1"))
+    sums = {"documents": "n_tokens", "postings": "tf", "links": "pos + 1", "tags": "length(tag)", "sections": "ord"}
+    rows = [kept.read(t).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("doc_id").alias("n_notes"), F.sum(F.expr(x)).cast("long").alias("total")).select(F.lit(t).alias("name"), "*") for t, x in sums.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query
 def vector_dirty(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("h").alias("content_hash"), F.lit(0).alias("mtime"))

@@ -19,9 +19,14 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), ACCENTED, PLAIN)
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def tokens(text: Column) -> Column:
     """Folded runs of letters and digits, in order."""
-    return F.regexp_extract_all(fold(text), F.lit(WORD), F.lit(0))
+    plain = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.when(is_ascii(text), plain).otherwise(F.regexp_extract_all(fold(text), F.lit(WORD), F.lit(0)))
 
 
 def fold_fullwidth(text: Column) -> Column:
@@ -46,7 +51,7 @@ def segmented(text: Column) -> Column:
 
 def index_tokens(text: Column) -> Column:
     """Tokens of the text as it is indexed."""
-    return tokens(segmented(text))
+    return tokens(F.when(is_ascii(text), text).otherwise(segmented(text)))
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -113,7 +118,7 @@ LAYOUT = ["src", "crates", "tests", "target", "benches", "examples", "docs", "do
 
 def path_keywords(path: Column) -> Column:
     """The words of a path's segments in order: parts between hyphens and underscores, after the whole where there are several."""
-    named = F.filter(F.transform(F.split(path, "/"), F.trim), lambda x: (x != "") & ~x.isin(LAYOUT))
+    named = F.filter(F.transform(F.split(path, "/"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.isin(LAYOUT))
     stems = F.transform(named, lambda x: F.lower(F.regexp_replace(x, r"\.[^.]*$", "")))
     parts = lambda x: F.filter(F.split(x, "[_-]"), lambda y: F.octet_length(y) >= 2)
     return F.array_distinct(F.flatten(F.transform(stems, lambda x: F.when(F.size(parts(x)) > 1, F.concat(F.array(x), parts(x))).otherwise(parts(x)))))

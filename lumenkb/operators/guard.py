@@ -7,6 +7,16 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenkb.functions.code import without_comments
+
+#: What in a pattern or an id says that a rule is about comments too (fixed values); case counts in the first list only.
+RAW_MARKS = ["//", "/*", "# ", "<<<<<<<", "======="]
+RAW_WORDS = ["PRIVATE KEY", "BEGIN ", "SECRET", "AKIA", "@TS-IGNORE", "@TS-EXPECT-ERROR", "@TS-NOCHECK", "ESLINT-DISABLE", "BIOME-IGNORE", "TYPE: IGNORE", "PYRIGHT: IGNORE", "NOQA", "NOLINT", "TODO(", "FIXME", "WORKAROUND", "HACK"]
+RAW_STARTS = ["GHP_", "SK-"]
+RAW_IDS = ["SECRET", "TOKEN", "KEY", "SLOP", "COMMENT", "SUPPRESS", "PII", "PRIVACY"]
+#: Rules that one plan holds; more go in blocks.
+MOST_RULES = 500
+
 
 def compiled(pattern: str) -> str:
     """The regular expression of a rule's pattern: an identifier as a whole word, ``name()`` as a call, plain text as itself."""
@@ -43,24 +53,36 @@ def applies(rule: dict, path: Column) -> Column:
     """Whether a rule is about a file: by its glob, and never about the note that states it."""
     own = F.lit(True)
     if rule.get("source_note"):
-        own = ~((path == rule["source_note"]) | path.endswith("/" + rule["source_note"]))
+        own = ~((path == rule["source_note"]) | path.endswith("/" + rule["source_note"]) | F.lit(rule["source_note"]).endswith(F.concat(F.lit("/"), path)))
     return own & (path.rlike(file_regex(rule["file_pattern"])) if rule.get("file_pattern") else F.lit(True))
 
 
-def _each(rules: list[dict], kind: str, text: Column, path: Column, negate: bool = False) -> Column:
-    """The rules of a kind that a text violates, as an array; each is a literal pattern, compiled once."""
+def reads_comments(rule: dict) -> bool:
+    """Whether a forbidding rule is about whole lines; others are about lines without their comments."""
+    pattern, upper, name = rule["pattern"], rule["pattern"].upper(), rule["id"].upper()
+    return bool(rule.get("include_comments")) or any(x in pattern for x in RAW_MARKS) or any(x in upper for x in RAW_WORDS) or upper.startswith(tuple(RAW_STARTS)) or any(x in name for x in RAW_IDS)
+
+
+def rule_list(rules: DataFrame) -> list[list[dict]]:
+    """Rules of a table (see ``operators.rules``) as ``forbidden`` and the others take them, in blocks of at most MOST_RULES."""
+    rows = [r.asDict() for r in rules.orderBy("id", "kind", "pattern").toLocalIterator()]
+    return [rows[i : i + MOST_RULES] for i in range(0, len(rows), MOST_RULES)]
+
+
+def _each(rules: list[dict], kind: str, text: Column, path: Column, negate: bool = False, code: Column | None = None) -> Column:
+    """The rules of a kind that a text violates, as an array; each is a literal pattern, compiled once. ``code``: the text without comments."""
     hits = []
     for r in rules:
         if r["kind"] == kind:
-            found = text.rlike(compiled(r["pattern"]))
+            found = text.rlike(compiled(r["pattern"])) if code is None or reads_comments(r) else (F.trim(code) != "") & code.rlike(compiled(r["pattern"]))
             hits.append(F.when((~found if negate else found) & applies(r, path), F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"))))
     return F.filter(F.array(*hits), lambda x: x.isNotNull()) if hits else F.array().cast("array<struct<rule_id:string,severity:string>>")
 
 
 def forbidden(files: DataFrame, rules: list[dict]) -> DataFrame:
-    """rule_id, id, line_no, severity: lines of files (id, path, content) that match a forbidding rule."""
-    lines = files.select("id", "path", F.posexplode(F.split("content", "\n", -1)).alias("i", "line"))
-    rows = lines.select("id", (F.col("i") + 1).cast("long").alias("line_no"), F.explode(_each(rules, "forbidden", F.col("line"), F.col("path"))).alias("v"))
+    """rule_id, id, line_no, severity: lines of files (id, path, content) that match a forbidding rule, outside comments unless the rule is about these."""
+    lines = files.select("id", "path", F.posexplode(F.split("content", "\n", -1)).alias("i", "line")).withColumn("code", without_comments(F.col("line"), F.col("path")))
+    rows = lines.select("id", (F.col("i") + 1).cast("long").alias("line_no"), F.explode(_each(rules, "forbidden", F.col("line"), F.col("path"), code=F.col("code"))).alias("v"))
     return rows.select("v.rule_id", "id", "line_no", "v.severity")
 
 
@@ -113,7 +135,8 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
 def audit_diffs(diffs: DataFrame, rules: list[dict]) -> DataFrame:
     """diff_id, rule_id, path, line_no: added lines that a rule forbids, and files whose change takes away what a rule asks for."""
     lines = diff_lines(diffs)
-    bad = lines.where("kind = '+'").select("diff_id", "path", "line_no", F.explode(_each(rules, "forbidden", F.col("content"), F.col("path"))).alias("v"))
+    added = lines.where("kind = '+'").withColumn("code", without_comments(F.col("content"), F.col("path")))
+    bad = added.select("diff_id", "path", "line_no", F.explode(_each(rules, "forbidden", F.col("content"), F.col("path"), code=F.col("code"))).alias("v"))
     bad = bad.select("diff_id", "v.rule_id", "path", "line_no")
     asks = [r for r in rules if r["kind"] == "must_contain"]
     for r in asks:

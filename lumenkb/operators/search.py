@@ -77,15 +77,17 @@ def query_phrases(queries: DataFrame, most: int = 8) -> DataFrame:
     """query_id, tier, term, times, need: what each tier of a query (see TIERS) asks for.
 
     A term is the tokens of a phrase with spaces between, ``times`` how often the tier asks for it, ``need`` how many
-    different terms a hit must hold. strict: each part of the query between white space is a phrase. all: the same
-    after CJK runs are cut into bigrams. any: at most ``most`` different phrases of those; where there are more, Latin
-    ones of three characters and more come first, then other Latin ones, then CJK bigrams, longer before shorter.
+    different terms a hit must hold. A single CJK character asks for all tokens that begin with it, which the term marks
+    by a star. strict: each part of the query between white space is a phrase. all: the same after CJK runs are cut into
+    bigrams. any: at most ``most`` different phrases of those; where there are more, Latin ones of three characters and
+    more come first, then other Latin ones, then CJK bigrams, longer before shorter.
     """
     text = fold_fullwidth(F.col("query"))
     parts = lambda x: F.posexplode(F.split(F.trim(x), r"\s+")).alias("pos", "part")
-    term = F.array_join(index_tokens(F.col("part")), " ")
+    starred = lambda x: F.when((F.length(x) == 1) & x.rlike(SEGMENT_CJK), F.concat(x, F.lit("*"))).otherwise(x)
+    term = starred(F.array_join(index_tokens(F.col("part")), " "))
     whole = queries.select("query_id", parts(text)).select("query_id", term.alias("term")).where("term <> ''").withColumn("tier", F.lit(0))
-    cut = queries.select("query_id", parts(segmented(text))).select("query_id", "pos", F.array_join(tokens(F.col("part")), " ").alias("term"), F.regexp_replace(F.lower("part"), r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "").alias("key"))
+    cut = queries.select("query_id", parts(segmented(text))).select("query_id", "pos", starred(F.array_join(tokens(F.col("part")), " ")).alias("term"), F.regexp_replace(F.lower("part"), r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "").alias("key"))
     cut = cut.where("term <> ''").groupBy("query_id", "key").agg(F.min("pos").alias("pos"), F.min_by("term", "pos").alias("term"))
     cjk = F.col("key").rlike(SEGMENT_CJK)
     group = F.when(~cjk & (F.length("key") >= 3), 0).when(~cjk, 1).when(F.length("key") >= 2, 2).otherwise(3)
@@ -96,29 +98,52 @@ def query_phrases(queries: DataFrame, most: int = 8) -> DataFrame:
     return rows.withColumn("need", F.when(F.col("tier") == 2, 1).otherwise(F.count(F.lit(1)).over(Window.partitionBy("query_id", "tier"))))
 
 
-def phrase_index(docs: DataFrame, terms: DataFrame, text: str = "body") -> DataFrame:
-    """doc_id, len, term, tf of each of ``terms`` (distinct; tokens with spaces between) in each document that holds it."""
-    cut = docs.select("doc_id", index_tokens(F.col(text)).alias("_w")).select("doc_id", "_w", F.size("_w").alias("len"))
-    words = cut.select("doc_id", "len", F.posexplode("_w").alias("pos", "word"))
+#: What of a note is indexed, as far as it has it; tags are texts.
+FIELDS = ["title", "body", "tags"]
+
+
+def note_words(docs: DataFrame) -> Column:
+    """The tokens of a note's FIELDS, an empty one after each field, so that no phrase reaches from one into the next."""
+    fields = [F.array_join("tags", " ") if f == "tags" and dict(docs.dtypes)[f].startswith("array") else F.col(f) for f in FIELDS if f in docs.columns]
+    return F.concat(*[x for f in fields for x in (index_tokens(F.coalesce(f, F.lit(""))), F.array(F.lit("")))])
+
+
+def phrase_index(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, term, tf of each of ``terms`` (distinct; see ``query_phrases``) in each document that holds it, and doc_id, len of all documents.
+
+    One pass reads the texts and keeps the words that a term asks for, with each document's end.
+    """
+    n_fields = sum(f in docs.columns for f in FIELDS)
     asked = terms.select("term", F.split("term", " ").alias("x")).select("term", F.size("x").alias("n"), F.posexplode("x").alias("off", "word"))
+    ends = docs.sparkSession.sql("SELECT '' AS word")
+    wanted = small_batch(materialize(asked.select("word").distinct().unionByName(ends), "asked-words"))
+    words = docs.select("doc_id", note_words(docs).alias("_w")).select("doc_id", F.size("_w").alias("len"), F.posexplode("_w").alias("pos", "word"))
+    # a word of CJK letters also stands for all that begin like it
+    first = F.substring("word", 1, 1)
+    keys = F.when(first.rlike(SEGMENT_CJK), F.array("word", F.concat(first, F.lit("*")))).otherwise(F.array("word"))
+    if asked.where("word like '%*'").limit(1).count():
+        words = words.withColumn("word", F.explode(keys))
+    last = (F.col("word") != "") | (F.col("pos") == F.col("len") - 1)
+    kept = materialize(words.where(last).join(wanted, "word").select("doc_id", "word", "pos", F.when(F.col("word") == "", F.col("len") - n_fields).alias("len")), "kept-words")
+
     # a phrase stands where all of its tokens agree on where it begins; a single token begins at itself
-    found = words.join(asked, "word")
-    alone = found.where("n = 1").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    starts = found.where("n > 1").groupBy("doc_id", "len", "term", "n", (F.col("pos") - F.col("off")).alias("at")).agg(F.count(F.lit(1)).alias("m")).where("m = n")
-    return alone.unionByName(starts.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")))
+    found = kept.where("word <> ''").join(small_batch(asked), "word")
+    alone = found.where("n = 1").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    starts = found.where("n > 1").groupBy("doc_id", "term", "n", (F.col("pos") - F.col("off")).alias("at")).agg(F.count(F.lit(1)).alias("m")).where("m = n")
+    return alone.unionByName(starts.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))), kept.where("word = ''").select("doc_id", "len")
 
 
-def ladder(docs: DataFrame, queries: DataFrame, text: str = "body") -> DataFrame:
+def ladder(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, tier, doc_id, score, factor: BM25 of the hits of each query's first tier that has any, and the tier's weight.
 
     A tier that asks for every phrase looks only at the documents that hold the rarest of them, and not at all if one
     of them stands nowhere; the last tier runs for what is left.
     """
     asked = materialize(query_phrases(queries), "phrases")
-    index = materialize(phrase_index(docs, asked.select("term").distinct(), text), "postings")
+    found, sizes = phrase_index(docs, asked.select("term").distinct())
+    index = materialize(found.join(sizes, "doc_id"), "postings")
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = F.size(index_tokens(F.col(text)))
-    total = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(n).alias("avg_len"))
+    total = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
     units = materialize(asked.join(df, "term").join(F.broadcast(total)), "units")  # a row of totals
 
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))

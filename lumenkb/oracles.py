@@ -22,7 +22,7 @@ def n_lines(x: str) -> str:
 
 NOTES = f"""
 notes AS (
-  SELECT d.doc_id, concat(source, '/', lang, '/', CAST(d.doc_id AS VARCHAR), '.md') AS path, string_split(text, chr(10))[1] AS title,
+  SELECT d.doc_id, concat(source, '/', lang, '/', CAST(d.doc_id AS VARCHAR), '.md') AS path, string_split(text, chr(10))[1] AS title, concat(lang, ' ', source) AS tags,
     ['L0Ephemeral', 'L1Resource', 'L2Log', 'L3Evergreen'][CAST(d.doc_id % 4 + 1 AS INTEGER)] AS level,
     {NOW} - d.doc_id % 730 * 86400 AS mtime,
     CASE WHEN toxic = 1 THEN 'superseded' WHEN quality = 0 THEN 'deprecated' ELSE 'active' END AS status, text AS body
@@ -87,16 +87,16 @@ phrases AS (SELECT term, string_split(term, ' ') AS ph FROM (SELECT DISTINCT ter
 def laddered(src: str, p: str) -> str:
     """CTEs that end in ``{p}bm25``: query_id, doc_id, t, score, f (the tier's weight), of the first tier with hits."""
     return f"""
-{p}w AS (SELECT doc_id, {words("body")} AS w FROM {src}),
+{p}w AS (SELECT doc_id, w, len(w) - 2 AS n FROM (SELECT doc_id, list_concat({words("title")}, [''], {words("body")}, [''], {words("tags")}) AS w FROM {src})),
 {p}tok AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM {p}w),
 {p}post AS (
   SELECT doc_id, term, count(*) AS tf FROM {p}tok JOIN phrases ON word = ph[1] AND len(ph) = 1 GROUP BY ALL
   UNION ALL SELECT t.doc_id, term, count(*) FROM {p}tok t JOIN phrases ON word = ph[1] AND len(ph) > 1 JOIN {p}w x ON x.doc_id = t.doc_id WHERE x.w[t.pos : t.pos + len(ph) - 1] = ph GROUP BY ALL
 ),
-{p}stat AS (SELECT count(*) AS n_docs, avg(len(w)) AS avg_len FROM {p}w),
+{p}stat AS (SELECT count(*) AS n_docs, avg(n) AS avg_len FROM {p}w),
 {p}df AS (SELECT term, count(*) AS df FROM {p}post GROUP BY term),
 {p}sc AS (
-  SELECT u.query_id, u.t, p.doc_id, count(*) AS m, sum(times * greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / avg_len))) AS score
+  SELECT u.query_id, u.t, p.doc_id, count(*) AS m, sum(times * greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_len))) AS score
   FROM units u JOIN {p}post p USING (term) JOIN {p}df USING (term) JOIN {p}w USING (doc_id), {p}stat GROUP BY ALL
 ),
 {p}hit AS (SELECT s.*, min(s.t) OVER (PARTITION BY query_id) AS first FROM {p}sc s JOIN need n USING (query_id, t) WHERE m >= need),
@@ -213,6 +213,21 @@ def slug(x: str) -> str:
     return f"CASE WHEN {s} = '' THEN 'untitled' ELSE {s} END"
 
 
+#: The rules of a note by its form, with the line of each.
+STATED = """
+rn AS (SELECT doc_id, status, CAST(doc_id AS VARCHAR) AS i, concat('decisions/n', CAST(doc_id AS VARCHAR), '.md') AS path FROM notes),
+sen AS (SELECT doc_id, concat('Forbid `old_', i, '()` in `src/**/*.rs`. -- Remediation: Use new_', i, '.') AS t FROM rn),
+hash AS (SELECT doc_id, list_reduce(list_prepend(0, list_transform(string_split(t, ''), lambda c: ascii(c))), lambda a, b: (31 * a + b) % 65536) AS h FROM sen),
+own AS (
+  SELECT doc_id, status, path, 3 AS place, concat('ADR-', i) AS id, 'forbidden' AS kind, concat('w, ', i) AS pattern, 'src/**/*.rs' AS file_pattern, 'warn' AS severity, 'Use x, y | z.' AS remediation FROM rn WHERE doc_id % 6 = 0
+  UNION ALL SELECT doc_id, status, path, 3, concat('R', i), 'must_contain', concat('need_', i), '*.py', 'warn', concat('Ensure changes include required pattern `need_', i, '`.') FROM rn WHERE doc_id % 6 = 1
+  UNION ALL SELECT doc_id, status, path, 3, concat('RULE-n', i, '-', lpad(lower(to_hex(h)), 4, '0')), 'forbidden', concat('old_', i, '()'), 'src/**/*.rs', 'deny', concat('Use new_', i, '.') FROM rn JOIN hash USING (doc_id) WHERE doc_id % 6 = 2
+  UNION ALL SELECT doc_id, status, path, 7, concat('Y', i, '-', CAST(n AS VARCHAR)), 'forbidden', concat(['a', 'b'][n], i), '', 'warn', concat('Remove or replace forbidden pattern `', ['a', 'b'][n], i, '`.') FROM rn, range(1, 3) r(n) WHERE doc_id % 6 = 3
+  UNION ALL SELECT doc_id, status, path, -1, concat('T', i, '-1'), 'must_contain', concat('f', i), '*.md', 'deny', concat('Ensure changes include required pattern `f', i, '`. (Supersedes [[old-', i, ']])') FROM rn WHERE doc_id % 6 = 5
+  UNION ALL SELECT doc_id, status, path, CASE doc_id % 6 WHEN 3 THEN 9 WHEN 4 THEN 7 ELSE 5 END, concat('S-', CAST(doc_id % 10 AS VARCHAR)), 'forbidden', concat('shared_', CAST(doc_id % 3 AS VARCHAR)), '', 'deny',
+    concat('Remove or replace forbidden pattern `shared_', CAST(doc_id % 3 AS VARCHAR), '`.', CASE WHEN doc_id % 6 = 5 THEN concat(' (Supersedes [[old-', i, ']])') ELSE '' END) FROM rn
+)"""
+
 SQL: dict[str, str] = {
     "estimate_tokens": f"SELECT doc_id, {estimate('text')} AS tokens FROM documents",
     "safe_names": r"""SELECT doc_id, CASE WHEN n = '' THEN 'untitled' ELSE n END AS name FROM (
@@ -239,6 +254,22 @@ SQL: dict[str, str] = {
     "scoped_search": f"""WITH {NOTES}, scoped AS (SELECT * FROM notes WHERE starts_with(path, 'src1') AND level = 'L3Evergreen'), {PHRASES}, {laddered("scoped", "")}, {pure("scoped", "")}
         SELECT * FROM f WHERE "rank" <= 10""",
     "vector_search": f'WITH {VECTORS} SELECT query_id, doc_id AS vec_id, r AS "rank", round(distance, 6) + 0.0 AS distance FROM vr WHERE r <= 10',
+    "section_knn": f"""WITH {VECTORS}, f AS (SELECT query_id, doc_id AS section_id, doc_id // 5 AS doc_id, distance, r, row_number() OVER (PARTITION BY query_id, doc_id // 5 ORDER BY r) AS n FROM vr WHERE r <= 50),
+        k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS "rank" FROM f WHERE n = 1)
+        SELECT query_id, doc_id, "rank", section_id, r AS section_rank, round(distance, 6) + 0.0 AS distance FROM k WHERE "rank" <= 10""",
+    "cosine_dups": f"""WITH {NOTES}, v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        d AS (SELECT v.id, CASE WHEN v.id % 8 = 7 THEN list_transform(range(1, len(v.e) + 1), lambda i: s * w.e[i] + (1 - s) * v.e[i]) ELSE v.e END AS e
+          FROM (SELECT *, CASE WHEN (id // 8) % 7 = 0 THEN 1.0::DOUBLE ELSE CAST(55 + 8 * ((id // 8) % 5) AS DOUBLE) / 100 END AS s FROM v) v LEFT JOIN v w ON w.id = v.id - 4),
+        m AS (SELECT d.id, e, min(d.id) OVER (PARTITION BY e) AS rep, count(*) OVER (PARTITION BY e) AS size FROM d JOIN notes n ON n.doc_id = d.id WHERE n.status = 'active' AND n.level = 'L3Evergreen'),
+        p AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS score FROM m a JOIN m b ON a.id = a.rep AND b.id = b.rep AND a.id < b.id),
+        x AS (SELECT a.id AS a, b.id AS b, a.rep AS ra, b.rep AS rb, a.size AS na, b.size AS nb FROM m a JOIN m b ON a.id = b.id - 4 AND b.id % 24 = 7),
+        y AS (SELECT least(ra, rb) AS a, greatest(ra, rb) AS b FROM x WHERE ra <> rb GROUP BY ra, rb, na, nb HAVING count(*) = na * nb),
+        z AS (SELECT id, count(*) AS c FROM (SELECT a AS id FROM x WHERE ra = rb UNION ALL SELECT b FROM x WHERE ra = rb) GROUP BY id)
+        SELECT a, b, round(score, 6) AS score, 'cosine' AS kind FROM p WHERE score > 0.88 AND NOT EXISTS (SELECT 1 FROM y WHERE y.a = p.a AND y.b = p.b)
+        UNION ALL SELECT rep, m.id, 1.0, 'copy' FROM m LEFT JOIN z ON z.id = m.id WHERE m.id <> rep AND coalesce(c, 0) < size - 1""",
+    "pending_sections": f"""WITH {NOTES}, {MUTATED}, c AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS ord FROM (SELECT doc_id, string_split(body, chr(10)) AS l FROM now)),
+        o AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS ord FROM (SELECT doc_id, string_split(body, chr(10)) AS l FROM was))
+        SELECT c.doc_id, c.ord, md5(c.x) AS text_hash FROM c LEFT JOIN o ON o.doc_id = c.doc_id AND o.ord = c.ord WHERE o.x IS NULL OR o.x <> c.x""",
     "rrf_fusion": f"WITH {NOTES}, {PHRASES}, {laddered('notes', '')}, {VECTORS}, {FUSED} SELECT query_id, doc_id AS id, coalesce(bm25_rank, 0) AS bm25_rank, coalesce(vector_rank, 0) AS vector_rank, round(score, 6) AS score FROM fused",
     "hybrid_search": f"""WITH RECURSIVE {HYBRID},
         al AS (SELECT query_id, doc_id, bm25_rank, vector_rank, fin, boost, -1 AS via FROM f2 UNION ALL SELECT query_id, id, NULL, NULL, fin, 0.0, parent FROM ex),
@@ -287,6 +318,18 @@ SQL: dict[str, str] = {
           max(CASE WHEN line_no > 1 AND regexp_matches(line, '\bthe\b') THEN 1 ELSE 0 END) AS has FROM lines GROUP BY ALL)
         SELECT doc_id AS diff_id, rule_id, line_no - 1 AS line_no FROM bad WHERE line_no > 1
         UNION ALL SELECT doc_id, 'R3', 1 FROM f WHERE regexp_matches(path, '^(.*/)?src1[^/]*/.*$') AND has = 0 AND (lost = 1 OR n > 1)""",
+    "guard_comments": rf"""WITH x AS (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+        t AS (SELECT doc_id, line_no, doc_id % 3 AS lang, (doc_id + line_no - 1) % 6 AS kind, regexp_matches(regexp_replace(raw, '[^A-Za-z ]', '', 'g'), '\bpassword\b') AS said FROM x)
+        SELECT 'C1' AS rule_id, doc_id, line_no, 'deny' AS severity FROM t WHERE lang = 2 OR kind IN (1, 5) OR (kind = 0 AND lang = 1) OR (kind = 3 AND lang = 0) OR (kind IN (0, 2, 3) AND said)
+        UNION ALL SELECT 'C2', doc_id, line_no, 'warn' FROM t""",
+    "guard_rules": f"WITH {NOTES}, {STATED} SELECT doc_id, place, id, kind, pattern, file_pattern, severity, remediation FROM own WHERE status = 'active'",
+    "guard_resurrection": f"""WITH {NOTES}, {STATED},
+        live AS (SELECT doc_id FROM rn WHERE status = 'active' AND doc_id % 7 NOT IN (1, 2)),
+        cur AS (SELECT o.*, 'current' AS state FROM own o JOIN live USING (doc_id) WHERE (doc_id % 7 <> 3 OR place = -1) AND NOT (place = -1 AND doc_id % 7 = 5 AND doc_id % 2 = 0)),
+        old AS (SELECT o.*, 'resurrected' AS state FROM own o WHERE status = 'active' AND (doc_id % 7 = 3 OR (doc_id % 7 = 5 AND doc_id % 2 = 0)
+          OR (doc_id % 7 = 1 AND NOT (doc_id % 2 = 0 AND doc_id + 4 IN (SELECT doc_id FROM live))) OR (doc_id % 7 = 2 AND doc_id + 1 NOT IN (SELECT doc_id FROM live)))),
+        r AS (SELECT *, row_number() OVER (PARTITION BY id, kind, pattern ORDER BY state, path, place) AS n FROM (SELECT * FROM cur UNION ALL SELECT * FROM old))
+        SELECT doc_id, id, kind, pattern, state FROM r WHERE n = 1""",
     "rule_dedup": f"""WITH {NOTES}, r AS (SELECT concat('R', CAST(doc_id % 50 AS VARCHAR)) AS id, substr(title, 1, 5) AS pattern, path AS source, doc_id FROM notes)
         SELECT id, pattern, source FROM (SELECT *, row_number() OVER (PARTITION BY id, pattern ORDER BY doc_id) AS n FROM r) WHERE n = 1""",
     "gc_turns": f"WITH {TURNS} SELECT conv_id, turn, CAST(tier AS BIGINT) AS fold_tier, tokens AS tokens_after FROM folded",
@@ -299,6 +342,12 @@ SQL: dict[str, str] = {
         s AS (SELECT doc_id, 1 AS side, unnest(string_split(body, chr(10))) AS x FROM was UNION ALL SELECT doc_id, 2, unnest(string_split(body, chr(10))) FROM now),
         c AS (SELECT doc_id, x, count(*) FILTER (side = 1) AS a, count(*) FILTER (side = 2) AS b FROM s GROUP BY ALL)
         SELECT doc_id, CAST(sum(least(a, b)) AS BIGINT) AS reused, CAST(sum(greatest(b - a, 0)) AS BIGINT) AS inserted, CAST(sum(greatest(a - b, 0)) AS BIGINT) AS deleted FROM c GROUP BY 1""",
+    "index_maintenance": f"""WITH {NOTES}, {MUTATED}, x AS (SELECT doc_id, string_split(path, '/')[1] AS tag, concat(string_split(body, chr(10))[1], ' ', string_split(path, '/')[1], ' note ', body) AS t, string_split(body, chr(10)) AS l FROM now),
+        w AS (SELECT doc_id, unnest({words("t")}) AS term FROM x), s AS (SELECT doc_id, unnest(range(0, len(l))) AS ord FROM x)
+        SELECT 'documents' AS name, count(*) AS n_rows, count(DISTINCT doc_id) AS n_notes, CAST(sum(len({words("t")})) AS BIGINT) AS total FROM x
+        UNION ALL SELECT 'postings', count(*), count(DISTINCT doc_id), CAST(sum(tf) AS BIGINT) FROM (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL)
+        UNION ALL SELECT 'links', count(*), count(DISTINCT doc_id), count(*) FROM x UNION ALL SELECT 'tags', 2 * count(*), count(DISTINCT doc_id), CAST(sum(4 + length(tag)) AS BIGINT) FROM x
+        UNION ALL SELECT 'sections', count(*), count(DISTINCT doc_id), CAST(sum(ord) AS BIGINT) FROM s""",
     "vector_dirty": f"""WITH v AS (SELECT vec_id AS id, CASE WHEN label = 3 THEN 'old' ELSE 'h' END AS h, 0 AS mtime FROM embeddings), d AS (SELECT doc_id AS id, 'h' AS h, 0 AS mtime FROM documents)
         SELECT {state("v", "d")} AS state, count(*) AS n FROM v FULL JOIN d ON v.id = d.id GROUP BY 1""",
     "index_health": """WITH r AS (SELECT d.doc_id AS d, text, v.vec_id AS v FROM documents d FULL JOIN embeddings v ON d.doc_id = v.vec_id)

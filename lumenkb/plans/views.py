@@ -15,7 +15,7 @@ FOLDERS = ["daily", "docs", "logs", "cards", "misc"]
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, path, title, level, mtime, status, body: a note for each document."""
+    """doc_id, path, title, tags, level, mtime, status, body: a note for each document; its title is its first line, its tags are language and source."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     status = F.when(F.col("toxic") == 1, "superseded").when(F.col("quality") == 0, "deprecated").otherwise("active")
     level = F.element_at(F.array(*map(F.lit, LEVELS)), (F.col("doc_id") % 4 + 1).cast("int"))
@@ -23,6 +23,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"),
         first_line(F.col("text")).alias("title"),
+        F.array("lang", "source").alias("tags"),
         level.alias("level"),
         (F.lit(NOW) - F.col("doc_id") % 730 * 86_400).alias("mtime"),
         status.alias("status"),
@@ -43,3 +44,48 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, pos, raw_target: the links of each page, without the leading slash."""
     found = F.regexp_extract_all("html", F.lit('href="/?([^"]*)"'), F.lit(1))
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("src"), F.posexplode(found).alias("pos", "raw_target"))
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, path, content: a source file for each document; each of its lines is one of six kinds, with a word in or beside comments and quotes."""
+    docs = table(spark, sf_dir, "documents")
+    ending = F.element_at(F.array(*map(F.lit, ["rs", "py", "md"])), (F.col("doc_id") % 3 + 1).cast("int"))
+    path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), ending)
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.regexp_replace(x, "[^A-Za-z ]", ""))
+
+    def kinds(x, i):
+        of = [F.concat(x, F.lit(" // password")), F.concat(F.lit('"'), x, F.lit(' // " password')), F.concat(x, F.lit(" /* password */ x")), F.concat(x, F.lit(" # password")), F.concat(F.lit("/* "), x, F.lit(" password")), F.concat(F.lit("no/* \\*/pass"), x, F.lit(" 'it\\'s // ' password"))]
+        return F.element_at(F.array(*of), ((F.col("doc_id") + i) % 6 + 1).cast("int"))
+
+    return docs.select(F.col("doc_id").alias("id"), path.alias("path"), F.array_join(F.transform(lines, kinds), "\n").alias("content"))
+
+
+def rule_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, path, title, status, frontmatter, body: a note with rules, of one of six forms, for each document; its status is the document's."""
+    n = F.col("doc_id").cast("string")
+    text = lambda form, *cols: F.format_string(form, *(cols or [n] * form.count("%s")))
+    forms = [
+        text('- [ADR-%s] (warn) [src/**/*.rs] forbidden: "w, %s", remediation: "Use x, y | z."'),
+        text("* **R%s**: files: '*.py', must_contain: need_%s | severity: notice"),
+        text("- Forbid `old_%s()` in `src/**/*.rs`. -- Remediation: Use new_%s."),
+        text("```yaml\n- id: Y%s\n  forbidden: [a%s, b%s]\n  level: warn\n```"),
+        text("```text\n- [N%s] forbidden: x\n```"),
+        F.lit("plain words"),
+    ]
+    body = F.concat(
+        F.lit("# T\n- [X-0] forbidden: `outside`\n## Non-Negotiable Invariants of ours\n"), F.element_at(F.array(*forms), (F.col("doc_id") % 6 + 1).cast("int")),
+        text('\n### More\n- [S-%s] deny: "shared_%s"\n## Other\n- [X-1] forbidden: `after`\n', (F.col("doc_id") % 10).cast("string"), (F.col("doc_id") % 3).cast("string")),
+    )
+    front = F.when(F.col("doc_id") % 6 == 5, text('{"invariants": [{"must_contain": "f%s", "pattern": "*.md"}], "supersedes": "[[old-%s]]"}'))
+    return notes(spark, sf_dir).select("doc_id", F.concat(F.lit("decisions/n"), n, F.lit(".md")).alias("path"), F.concat(F.lit("T"), n).alias("title"), "status", front.alias("frontmatter"), body.alias("body"))
+
+
+def note_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, v: the vectors of active lasting notes. Every second one is drawn towards the vector four ids before, or is its copy."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    share = F.when(F.floor(F.col("id") / 8) % 7 == 0, 1.0).otherwise((55 + 8 * (F.floor(F.col("id") / 8) % 5)) / 100.0)
+    other = v.select((F.col("id") + 4).alias("id"), F.col("v").alias("w"))
+    drawn = F.zip_with("v", "w", lambda x, y: F.col("s") * y + (1 - F.col("s")) * x)
+    rows = v.join(other, "id", "left").withColumn("s", share).select("id", F.when(F.col("id") % 8 == 7, drawn).otherwise(F.col("v")).alias("v"))
+    lasting = notes(spark, sf_dir).where("status = 'active' and level = 'L3Evergreen'").select(F.col("doc_id").alias("id"))
+    return rows.join(lasting, "id")

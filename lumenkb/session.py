@@ -75,13 +75,18 @@ def sweep(spark: SparkSession, since: int) -> None:
     del _written[since:]
 
 
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """The name of a folder in the shared one that nothing else uses."""
+    return f"{shared_dir(spark)}/lumenkb/{tag}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: a cut of the lineage that outlives executors.
 
     With ``keep`` the table is none that ``sweep`` deletes.
     """
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/lumenkb/{tag}-{uuid.uuid4().hex}"
+    at = new_folder(spark, tag)
     df.write.option("compression", "zstd").parquet(at)
     if not keep:
         _written.append(at)
