@@ -6,30 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenkb.llm import jaccard, lines, mixing, packing, queries, toxicity
-from lumenkb.session import materialize, sweep, table, written
+from lumenkb.session import materialize, table, tidy
 
 #: The share of tokens that each class of the labels is to have, but for toxic text, which the first stage rejects.
 MIXTURE = {"high": 0.97, "low": 0.03}
 
 
-_since = 0
-
-
-def next_stage(spark: SparkSession) -> None:
-    """A stage begins when its predecessor's result is written, so what that has written on its way can go."""
-    sweep(spark, _since)
-
-
+@tidy
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go. Null and empty texts stay."""
-    global _since
-    _since = written()
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
+@tidy
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go from the texts, and with their last word a document that had some; n_chars follows."""
-    next_stage(spark)
     rows = lines.dedup_lines(docs)
     changed = F.col("n_removed") > 0
     rows = rows.where(~changed | F.col("kept_text").rlike(r"\S"))
@@ -38,20 +29,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select(*[{"text": text, "n_chars": n_chars}.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
+@tidy
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays, that of the smallest doc_id."""
-    next_stage(spark)
     return jaccard.one_of_each(docs)
 
 
+@tidy
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay with the fitted rate as their chance; rates are at most one, so none is repeated."""
-    next_stage(spark)
     return mixing.mix(docs, table(spark, sf_dir, "labels"), F.expr(queries.DOMAIN), MIXTURE)
 
 
+@tidy
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    next_stage(spark)
     return packing.pack(docs)
 
 
@@ -71,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed sequences of the documents that are left: one row per piece."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,7 +16,7 @@ from lumenkb.operators import graph, guard, index, notes, rules, search, session
 from lumenkb.operators import vectors as near
 from lumenkb.plans.views import NOW, code_files, note_vectors, page_links, pages, rule_notes
 from lumenkb.plans.views import notes as note_view
-from lumenkb.session import new_folder, table
+from lumenkb.session import new_folder, table, tidy
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -28,7 +28,7 @@ RULES = [
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    _queries[f.__name__.rstrip("_")] = f
+    _queries[f.__name__.rstrip("_")] = f = tidy(f)
     return f
 
 

@@ -49,9 +49,18 @@ def segmented(text: Column) -> Column:
     return F.when(text.rlike(SEGMENT_CJK), segment(text)).otherwise(text)
 
 
+#: Any character that segmenting might change is of these.
+WIDE = r"[^\x00-\x{2E7F}]"
+
+
+def indexed(text: Column) -> Column:
+    """Text as ``index_tokens`` cuts it. Most texts need no more than a look."""
+    return F.when(is_ascii(text), text).when(text.rlike(WIDE), segmented(text)).otherwise(text)
+
+
 def index_tokens(text: Column) -> Column:
-    """Tokens of the text as it is indexed."""
-    return tokens(F.when(is_ascii(text), text).otherwise(segmented(text)))
+    """Tokens of the text as it is indexed. Where texts are long, ``indexed`` is better a column of its own before ``tokens``."""
+    return tokens(indexed(text))
 
 
 def estimate_tokens(text: Column) -> Column:

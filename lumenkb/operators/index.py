@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lumenkb.functions.text import index_tokens
+from lumenkb.functions.text import indexed, tokens
 
 #: What the tables' rows are made by; a change of ``derive`` must change it, so that older rows count as stale.
 MADE_BY = "1"
@@ -39,12 +39,13 @@ def derive(notes: DataFrame) -> dict[str, DataFrame]:
 
     A note is found by the words of its title, its tags and its body. Its sections are its lines.
     """
-    text = F.concat_ws("\n", "title", F.array_join("tags", " "), "body")
-    cut = notes.select("doc_id", index_tokens(text).alias("w"))
+    text = indexed(F.concat_ws("\n", "title", F.array_join("tags", " "), "body"))
+    notes = notes.withColumn("_text", text)
+    words = tokens(F.col("_text"))
     hashed = F.md5(F.concat_ws("\x1f", F.coalesce("title", F.lit("")), F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ","), F.array_join(F.coalesce("links", F.array().cast("array<string>")), ","), F.coalesce("body", F.lit(""))))
     return {
-        "documents": notes.select("doc_id", "path", "title", hashed.alias("content_hash"), "mtime", F.size(index_tokens(text)).alias("n_tokens"), F.lit(MADE_BY).alias("made_by")),
-        "postings": cut.select("doc_id", F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")),
+        "documents": notes.select("doc_id", "path", "title", hashed.alias("content_hash"), "mtime", F.size(words).alias("n_tokens"), F.lit(MADE_BY).alias("made_by")),
+        "postings": notes.select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")),
         "links": notes.select("doc_id", F.posexplode("links").alias("pos", "target")),
         "tags": notes.select("doc_id", F.explode("tags").alias("tag")).distinct(),
         "sections": notes.select("doc_id", F.posexplode(F.split("body", "\n", -1)).alias("ord", "line")).select("doc_id", "ord", F.md5("line").alias("text_hash")),

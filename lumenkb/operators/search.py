@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenkb.functions import ranking as R
-from lumenkb.functions.text import SEGMENT_CJK, fold_fullwidth, index_tokens, segmented, tokens
+from lumenkb.functions.text import SEGMENT_CJK, fold_fullwidth, index_tokens, indexed, segmented, tokens
 from lumenkb.operators.graph import expand
 from lumenkb.session import materialize, ship_code
 
@@ -102,35 +102,40 @@ def query_phrases(queries: DataFrame, most: int = 8) -> DataFrame:
 FIELDS = ["title", "body", "tags"]
 
 
-def note_words(docs: DataFrame) -> Column:
-    """The tokens of a note's FIELDS, an empty one after each field, so that no phrase reaches from one into the next."""
-    fields = [F.array_join("tags", " ") if f == "tags" and dict(docs.dtypes)[f].startswith("array") else F.col(f) for f in FIELDS if f in docs.columns]
-    return F.concat(*[x for f in fields for x in (index_tokens(F.coalesce(f, F.lit(""))), F.array(F.lit("")))])
+#: What stands between fields and after the last one among a note's tokens.
+BETWEEN, END = "", "\n"
+
+
+def note_words(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, word of a note's FIELDS, with BETWEEN so that no phrase reaches from one field into the next, and END."""
+    text = {f: F.array_join("tags", " ") if f == "tags" and dict(docs.dtypes)[f].startswith("array") else F.col(f) for f in FIELDS if f in docs.columns}
+    # columns of their own, else each mention below would look for wide characters again
+    ready = docs.select("doc_id", *[indexed(F.coalesce(x, F.lit(""))).alias(f"_{f}") for f, x in text.items()])
+    marks = [BETWEEN] * (len(text) - 1) + [END]
+    words = F.concat(*[x for f, mark in zip(text, marks, strict=True) for x in (tokens(F.col(f"_{f}")), F.array(F.lit(mark)))])
+    return ready.select("doc_id", F.posexplode(words).alias("pos", "word"))
 
 
 def phrase_index(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, term, tf of each of ``terms`` (distinct; see ``query_phrases``) in each document that holds it, and doc_id, len of all documents.
 
-    One pass reads the texts and keeps the words that a term asks for, with each document's end.
+    One pass reads the texts and keeps the words that a term asks for, and each document's end.
     """
-    n_fields = sum(f in docs.columns for f in FIELDS)
+    between = sum(f in docs.columns for f in FIELDS) - 1
     asked = terms.select("term", F.split("term", " ").alias("x")).select("term", F.size("x").alias("n"), F.posexplode("x").alias("off", "word"))
-    ends = docs.sparkSession.sql("SELECT '' AS word")
+    ends = docs.sparkSession.range(1).select(F.lit(END).alias("word"))
     wanted = small_batch(materialize(asked.select("word").distinct().unionByName(ends), "asked-words"))
-    words = docs.select("doc_id", note_words(docs).alias("_w")).select("doc_id", F.size("_w").alias("len"), F.posexplode("_w").alias("pos", "word"))
-    # a word of CJK letters also stands for all that begin like it
-    first = F.substring("word", 1, 1)
-    keys = F.when(first.rlike(SEGMENT_CJK), F.array("word", F.concat(first, F.lit("*")))).otherwise(F.array("word"))
-    if asked.where("word like '%*'").limit(1).count():
-        words = words.withColumn("word", F.explode(keys))
-    last = (F.col("word") != "") | (F.col("pos") == F.col("len") - 1)
-    kept = materialize(words.where(last).join(wanted, "word").select("doc_id", "word", "pos", F.when(F.col("word") == "", F.col("len") - n_fields).alias("len")), "kept-words")
+    words = note_words(docs)
+    if wanted.where("word like '%*'").limit(1).count():  # a word of CJK letters also stands for all that begin like it
+        first = F.substring("word", 1, 1)
+        words = words.withColumn("word", F.explode(F.when(first.rlike(SEGMENT_CJK), F.array("word", F.concat(first, F.lit("*")))).otherwise(F.array("word"))))
+    kept = materialize(words.join(wanted, "word"), "kept-words")
 
     # a phrase stands where all of its tokens agree on where it begins; a single token begins at itself
-    found = kept.where("word <> ''").join(small_batch(asked), "word")
+    found = kept.where(F.col("word") != END).join(small_batch(asked), "word")
     alone = found.where("n = 1").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     starts = found.where("n > 1").groupBy("doc_id", "term", "n", (F.col("pos") - F.col("off")).alias("at")).agg(F.count(F.lit(1)).alias("m")).where("m = n")
-    return alone.unionByName(starts.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))), kept.where("word = ''").select("doc_id", "len")
+    return alone.unionByName(starts.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))), kept.where(F.col("word") == END).select("doc_id", (F.col("pos") - between).alias("len"))
 
 
 def ladder(docs: DataFrame, queries: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +21,37 @@ DEFAULTS = {
 }
 
 _shipped: set[str] = set()
-#: Folders of intermediate tables in the order in which they were written.
-_written: list[str] = []
+
+
+#: The intermediate tables that are written on the way to the result of the innermost ``tidy`` function.
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
+def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``f``, which makes a DataFrame; of the intermediate tables that it writes only those stay that the DataFrame still reads."""
+
+    @wraps(f)
+    def tidied(*args, **kwargs) -> DataFrame:
+        own: list[str] = []
+        before = _owned.set(own)
+        try:
+            out = f(*args, **kwargs)
+        finally:
+            _owned.reset(before)
+        read = {part for file in (out.inputFiles() if own else []) for part in file.split("/")}
+        kept = [at for at in own if at.rsplit("/", 1)[-1] in read]
+        delete(out.sparkSession, [at for at in own if at not in kept])
+        if (outer := _owned.get()) is not None:
+            outer += kept
+        return out
+
+    return tidied
+
+
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    for at in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def build(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -60,34 +92,16 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written() -> int:
-    """How many intermediate tables there have been, for ``sweep``."""
-    return len(_written)
-
-
-def sweep(spark: SparkSession, since: int) -> None:
-    """Delete the intermediate tables from the ``since``-th on; nothing that is still to be computed may read them."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for at in _written[since:]:
-        path = hadoop(at)
-        path.getFileSystem(conf).delete(path, True)
-    del _written[since:]
-
-
 def new_folder(spark: SparkSession, tag: str) -> str:
     """The name of a folder in the shared one that nothing else uses."""
     return f"{shared_dir(spark)}/lumenkb/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: a cut of the lineage that outlives executors.
-
-    With ``keep`` the table is none that ``sweep`` deletes.
-    """
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: a cut of the lineage that outlives executors."""
     spark = df.sparkSession
     at = new_folder(spark, tag)
     df.write.option("compression", "zstd").parquet(at)
-    if not keep:
-        _written.append(at)
+    if (own := _owned.get()) is not None:
+        own.append(at)
     return spark.read.schema(df.schema).parquet(at)
