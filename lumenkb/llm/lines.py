@@ -4,12 +4,13 @@ A line is normalised (lower case, digits as 0, ASCII punctuation as space, words
 lines are one node, at any length. Lines of fewer than ``min_words`` words (characters, in scripts without spaces) are not
 linked to near ones: in sentence fragments a word is much.
 
-A line's SimHash is made piece by piece, so that changed words spoil the pieces they are in and no other: runs of up to
-``PIECE`` words, three counted from the start of the line and three from its end, each have a 64-bit SimHash of their
-words; lines of about ``SHORT`` words or fewer have one for all their words and one for all but each. These are the pigeonhole
-blocks. Lines that agree on a block are compared: a plain 64-bit SimHash of all words may differ in ``RADIUS`` bits, and
-an edit similarity of ``similarity`` or more decides. Links are closed to connected groups, and the first line of each
-group (by doc_id, then place) stays.
+A line's SimHash is made piece by piece, so that changed words spoil the pieces they are in and no other. The pieces of a
+line of more than ``LONG`` words are runs of ``RUN`` words that its words choose: for each of ``SEEDS`` hashes the run with the
+smallest one, wherever it stands, so that words added, lost or moved elsewhere change nothing. Shorter lines have runs of
+up to ``PIECE`` words, three counted from either end; lines of about ``SHORT`` words or fewer all their words and all but
+each. A 64-bit SimHash of each piece's words is a pigeonhole block. Lines that agree on a block are compared: a plain
+64-bit SimHash of all words may differ in ``RADIUS`` bits, and an edit similarity of ``similarity`` or more decides. Links
+are closed to connected groups, and the first line of each group (by doc_id, then place) stays.
 
 Nodes of a block are first compared with the block's smallest one only, a join whose rows follow the number of nodes.
 Nodes that this leaves unlinked are then compared with all others of the block, in cells of bounded size.
@@ -33,7 +34,9 @@ from lumenkb.session import materialize, ship_code
 
 FOLD = bytes(48 if 48 <= i <= 57 else i if i >= 128 or 97 <= i <= 122 or i == 10 else 32 for i in range(256))
 #: Words of a piece at most, words of a short line at most, bits in which the codes of whole lines may differ.
-PIECE, SHORT, RADIUS = 6, 8, 18
+PIECE, SHORT, RADIUS = 6, 8, 21
+#: Words of a line whose pieces are counted from its ends at most; runs that longer ones choose, and words of each.
+LONG, SEEDS, RUN = 12, 10, 3
 #: Characters of scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 POWERS = np.cumprod(np.r_[np.uint64(1), np.full(255, 0x9E3779B97F4A7C15, np.uint64)], dtype=np.uint64)
@@ -97,7 +100,25 @@ def simhashes(lines: list[bytes]) -> np.ndarray:
     return majority(*unit_hashes(lines)).view(np.int64) if lines else np.zeros(0, np.int64)
 
 
-def pieces(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def chosen(hashes: np.ndarray, base: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each seed and line (words from ``base`` on, at least RUN) its number and the first word of the run with the smallest hash."""
+    lengths = counts - RUN + 1
+    starts = np.cumsum(lengths) - lengths
+    whose = np.repeat(np.arange(len(counts)), lengths)
+    first = np.arange(len(whose)) - starts[whose] + base[whose]
+    run = hashes[first]
+    for k in range(1, RUN):
+        run = mix(run) + hashes[first + k]
+    line, word = [], []
+    for seed in range(SEEDS):
+        key = mix(run ^ mix(np.array([seed + 1], np.uint64)))
+        at = np.flatnonzero(key == np.minimum.reduceat(key, starts)[whose])
+        one, i = np.unique(whose[at], return_index=True)
+        line.append(one), word.append(first[at[i]])
+    return np.concatenate(line), np.concatenate(word)
+
+
+def pieces(counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each piece of lines of ``counts`` words its line, a tag of its kind and place, its size; and the words of all pieces."""
     base = np.cumsum(counts) - counts
     line, tag, size, words = [], [], [], []
@@ -114,26 +135,32 @@ def pieces(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
                 add(at, 0, np.delete(every, k, axis=1))
     for length in range(SHORT // 3 + 1, PIECE + 1):
         # lines near the limit between two lengths have pieces of both
-        lo, hi = (SHORT if length == SHORT // 3 + 1 else 4 * length), (4 * length + 7 if length < PIECE else 1 << 60)
+        lo, hi = (SHORT if length == SHORT // 3 + 1 else 4 * length), min(4 * length + 7, LONG + 1)
         at = np.flatnonzero((counts >= lo) & (counts <= hi))
         for k in range(3 if len(at) else 0):
             near = at[counts[at] >= (k + 1) * length]
             add(near, 16 * length + k + 1, base[near, None] + k * length + np.arange(length))
             add(near, 16 * length + k + 9, (base + counts)[near, None] - (k + 1) * length + np.arange(length))
+    at = np.flatnonzero(counts >= LONG)  # lines near the limit have both
+    if len(at):
+        whose, first = chosen(hashes, base[at], counts[at])
+        add(at[whose], 0, first[:, None] + np.arange(RUN))
     if not line:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in (line, tag, size, words))
 
 
 def block_codes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The SimHash of each line, and the blocks: the line and the 64-bit code of each, lines ascending."""
+    """The SimHash of each line, and the blocks: the line and the 64-bit code of each, lines ascending, no code twice in a line."""
     hashes, counts = unit_hashes(lines)
-    line, tag, size, words = pieces(counts)
+    line, tag, size, words = pieces(counts, hashes)
     # a word's place in its piece belongs to it, so that one that occurs twice does not outvote the others
     place = (np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint64)
     code = mix(majority(mix(hashes[words] + place), size) + mix(tag.astype(np.uint64))) if len(line) else np.zeros(0, np.uint64)
-    order = np.argsort(line, kind="stable")
-    return majority(hashes, counts).view(np.int64), line[order], code[order].view(np.int64)
+    order = np.lexsort((code, line))
+    line, code = line[order], code[order]
+    new = np.r_[True, (line[1:] != line[:-1]) | (code[1:] != code[:-1])] if len(line) else np.zeros(0, bool)
+    return majority(hashes, counts).view(np.int64), line[new], code[new].view(np.int64)
 
 
 def spaced(line: bytes) -> bytes:

@@ -12,7 +12,7 @@ from lumenkb.llm import queries
 from lumenkb.llm.components import components
 from lumenkb.llm.gsaca import suffix_array
 from lumenkb.llm.jaccard import jaccard_classes, one_of_each
-from lumenkb.llm.lines import block_codes, close, dedup_lines, distance, normalised, simhashes, unit_hashes
+from lumenkb.llm.lines import RADIUS, block_codes, close, dedup_lines, distance, normalised, simhashes, unit_hashes
 from lumenkb.llm.pairs import Forest, listed
 from lumenkb.llm.shingles import shingle_set
 from lumenkb.llm.suffix import dedup_substrings
@@ -134,6 +134,48 @@ def test_op7_finds_nine_tenths_of_what_all_pairs_by_edit_similarity_give(spark):
     assert len(pairs) > 20 and sum(bool(blocks[i] & blocks[j]) for i, j in pairs) >= 0.9 * len(pairs)
 
 
+def changed(r, kind, words):
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(2, 9)))
+    if kind == "ends":
+        return [word() for _ in range(3)] + words + [word() for _ in range(3)]
+    if kind == "outer":
+        return [word() for _ in range(20)] + words[20:-20] + [word() for _ in range(20)]
+    if kind == "letters":  # one in each fifth word
+        return [x if i % 5 else x[:-1] + "zz" for i, x in enumerate(words)]
+    words = list(words)
+    for _ in range(max(1, len(words) // 7)):
+        if kind == "replaced":
+            words[r.randrange(len(words))] = word()
+        elif kind == "inserted":
+            words.insert(r.randrange(len(words) + 1), word())
+        else:
+            del words[r.randrange(len(words))]
+    return words
+
+
+@pytest.mark.parametrize("kind, sizes", [("ends", [30, 60, 300]), ("outer", [1000]), ("letters", [10, 13, 30, 60, 200, 1000]), ("replaced", [6, 8, 10, 12, 13, 20, 35, 100]), ("inserted", [8, 10, 12, 13, 20, 35, 100]), ("deleted", [8, 10, 12, 13, 20, 35, 100])])
+def test_lines_meet_whatever_has_changed(kind, sizes):
+    r = random.Random(3)
+    for n in sizes:
+        found = total = 0
+        while total < 100:
+            one = ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(2, 9))) for _ in range(n)]
+            two = changed(r, kind, one)
+            a, b = " ".join(one), " ".join(two)
+            if distance(a, b) <= 0.2 * max(len(a), len(b)):
+                sim, whose, code = block_codes([a.encode(), b.encode()])
+                bits = int(np.bitwise_count(sim.view(np.uint64)[0] ^ sim.view(np.uint64)[1]))
+                found += bits <= RADIUS and bool(set(code[whose == 0].tolist()) & set(code[whose == 1].tolist()))
+                total += 1
+        assert found >= 90, (n, found)
+
+
+def test_words_added_at_both_ends_of_a_long_line(docs):
+    line = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
+    got = {r["doc_id"]: r["kept_text"] for r in dedup_lines(docs([(1, line), (2, f"one {line} two"), (3, "other text of its own here")])).collect()}
+    assert got == {1: line, 2: "", 3: "other text of its own here"}
+
+
 def test_op7_equals_all_pairs_without_a_radius(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").collect()]
     rows = spark.createDataFrame(docs, "doc_id long, text string")
