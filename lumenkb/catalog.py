@@ -12,11 +12,12 @@ from lumenkb import oracles
 from lumenkb.functions import ranking as R
 from lumenkb.functions import text
 from lumenkb.functions.text import estimate_tokens, tokens
-from lumenkb.operators import graph, guard, index, notes, rules, search, sessions, sync
+from lumenkb.operators import distil, graph, guard, index, loadout, notes, projects, rules, search, sessions, sync
 from lumenkb.operators import vectors as near
-from lumenkb.plans.views import NOW, code_files, note_vectors, page_links, pages, rule_notes
+from lumenkb.plans.views import NOW, cards, code_files, note_vectors, page_links, pages, rule_notes, traces
 from lumenkb.plans.views import notes as note_view
-from lumenkb.session import new_folder, table, tidy
+from lumenkb.session import materialize, new_folder, table, tidy
+from lumenkb.sources import ignore
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -107,6 +108,22 @@ def path_keywords(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.path_keywords(path), " ").alias("keywords"))
 
 
+IGNORED = """
+# canonical-sibling = 100.md, '202.md'
+src1/
+*5.md
+!*25.md
+/src3/e?/
+src4/**/[0-3]*.md
+"""
+
+
+@query
+def scan_filter(spark, sf_dir):
+    """The notes whose files a scan keeps."""
+    return ignore.kept_files(note_view(spark, sf_dir).select("doc_id", "path"), ignore.parse_ignore(IGNORED))
+
+
 @query
 def lifecycle_status(spark, sf_dir):
     n = note_view(spark, sf_dir)
@@ -479,14 +496,63 @@ def category_normalize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"), notes.category(raw, F.col("text")).alias("category"))
 
 
+def asked_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asked(spark, sf_dir).select("query_id", F.slice(F.array_sort(F.array_distinct(tokens(F.col("query")))), 1, 6).alias("keywords"))
+
+
+def ranked_cards(hits: DataFrame, cards: DataFrame, most: int) -> DataFrame:
+    """The best ``cards`` (doc_id, name, level, more) of keyword ``hits``; lasting ones score one more, and one point alone isn't enough."""
+    rows = hits.join(cards, "doc_id").withColumn("score", F.col("score") + F.when(F.col("level") == "L3Evergreen", 1).otherwise(0)).where("score > 1")
+    return search.ranked(rows, [F.desc("score"), F.length("name"), F.col("doc_id")], most)
+
+
 @query
 def loadout_rank(spark, sf_dir):
     """The ten best notes for each query's keywords."""
-    words = asked(spark, sf_dir).select("query_id", F.slice(F.array_sort(F.array_distinct(tokens(F.col("query")))), 1, 6).alias("keywords"))
-    cards = note_view(spark, sf_dir).where("status = 'active'").select("doc_id", "title", "path", "level")
-    score = notes.keyword_score(F.col("title"), F.col("path"), F.col("title"), F.col("keywords"), F.col("level") == "L3Evergreen")
-    rows = cards.join(search.small_batch(words)).withColumn("score", score.cast("long")).where("score > 1")
-    return search.ranked(rows, [F.desc("score"), F.length("title"), F.col("doc_id")], 10).select("query_id", "doc_id", "score", "rank")
+    known = note_view(spark, sf_dir).where("status = 'active'").select("doc_id", F.col("title").alias("name"), "path", F.col("title").alias("concept"), "level")
+    return ranked_cards(loadout.keyword_hits(known, asked_keywords(spark, sf_dir)), known, 10).select("query_id", "doc_id", "score", "rank")
+
+
+@query
+def card_concepts(spark, sf_dir):
+    return cards(spark, sf_dir).select("doc_id", loadout.card_concept(F.col("body")).alias("concept"))
+
+
+@query
+def loadout_text(spark, sf_dir):
+    """A loadout for each query: its text is the scope (four times over for every fourth), its keywords the modules that have changed."""
+    words = asked_keywords(spark, sf_dir)
+    known = materialize(cards(spark, sf_dir).select("doc_id", "name", "path", "level", loadout.card_concept(F.col("body")).alias("concept")), "cards")
+    best = ranked_cards(loadout.keyword_hits(known, words), known, loadout.MOST_CARDS)
+    scope = F.repeat(F.replace("query", F.lit("\n"), F.lit(" ")), F.when(F.col("query_id") % 4 == 0, 4).otherwise(1))
+    heads = asked(spark, sf_dir).select("query_id", scope.alias("scope")).join(words, "query_id")
+    logs = F.when(F.col("query_id") % 3 == 0, F.array(F.lit("- [[log one]]"), F.lit("- [[log two]]")))
+    heads = heads.select("query_id", F.concat(F.lit("Q"), F.col("query_id").cast("string")).alias("name"), loadout.changes_line(F.col("keywords"), F.size("keywords")).alias("changes"), "scope", logs.alias("logs"))
+    rows = loadout.loadout_texts(heads, best.select("query_id", "rank", F.col("doc_id").cast("string").alias("name"), "concept"))
+    return rows.select("query_id", "n_cards", "tokens", F.md5("text").alias("text_md5"))
+
+
+@query
+def find_project(spark, sf_dir):
+    """Pages as projects, asked for by the first words of documents; those that no name answers go to the nearest vectors."""
+    p = pages(spark, sf_dir)
+    level = F.concat(F.lit("topic "), F.regexp_extract("path", "^([a-z]*)/", 1))
+    known = p.select(F.col("id").alias("project"), "path", "title", F.concat(F.lit("slug-"), F.col("id").cast("string")).alias("slug"), F.array(F.concat(F.lit("p"), F.col("id").cast("string"))).alias("aliases"), F.array(level, F.lit("project")).alias("tags"))
+    links = page_edges(spark, sf_dir).join(p.select(F.col("id").alias("src"), F.regexp_extract("path", r"([^/]*)\.md$", 1).alias("stem")), "src").select(F.col("dst").alias("project"), "stem")
+    n = F.col("doc_id") % 4
+    words = F.filter(tokens(F.substring("text", 1, 60)), lambda x: F.length(x) > 3)
+    text_ = F.when(n == 0, F.concat(F.lit("P"), (F.col("doc_id") % 300).cast("string"))).when(n == 1, F.get(words, 0)).when(n == 2, F.concat_ws("_", F.get(words, 0), F.get(words, 1))).otherwise(F.concat(F.lit("slug-"), (F.col("doc_id") % 300).cast("string"), F.lit(" slug")))
+    queries = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), text_.alias("query"))
+    hits = search.vector_search(vectors(spark, sf_dir), query_vectors(spark, sf_dir)).select("query_id", F.col("doc_id").alias("project"), "rank", (F.col("distance") / 2).alias("distance"))
+    none = hits.select("query_id", "project", "rank").where("false")
+    return projects.find_projects(queries, projects.harvested(known, links), none, hits)
+
+
+@query
+def distil_skills(spark, sf_dir):
+    rows = distil.skills(traces(spark, sf_dir))
+    joined = [F.array_join(c, "\n").alias(c) for c in ("tags", "commands_before", "commands_after", "error_lines")]
+    return rows.select(F.col("id").alias("conv_id"), "title", "summary", *joined)
 
 
 @query

@@ -43,11 +43,12 @@ def resolve_links(notes: DataFrame, links: DataFrame) -> DataFrame:
     kind = F.when(F.trim("raw_target") == "", "broken").when(F.col("bare") == "", "self").when(F.col("target") == "", "broken")
     kind = kind.when(F.regexp_extract("target", r"\.([a-z0-9]+)$", 1).isin(ASSETS), "asset")
     rows = rows.withColumn("kind", kind).withColumn("up", F.col("bare").rlike(r"(^|/)\.\.(/|$)"))
-    # a folder that is left again goes with the step that leaves it
-    flat = F.col("beside")
-    for _ in range(4):
-        flat = F.regexp_replace(flat, r"(^|/)(?!\.\.)[^/]+/\.\.(/|$)", "$1")
-    rows = rows.withColumn("relative", F.when(F.col("up"), F.regexp_replace(flat, r"/$", "")))
+    # a step up leaves the folder before it; one that leaves the root leads nowhere
+    none = F.lit(None).cast("array<string>")
+    step = lambda at, x: F.when(x == "..", F.when(F.size(at) > 0, F.slice(at, F.lit(1), F.size(at) - 1)).otherwise(none)).otherwise(F.concat(at, F.array(x)))
+    parts = F.filter(F.split("beside", "/"), lambda x: (x != "") & (x != "."))
+    flat = F.aggregate(parts, F.array().cast("array<string>"), lambda at, x: F.when(at.isNotNull(), step(at, x)))
+    rows = rows.withColumn("relative", F.when(F.col("up"), F.array_join(flat, "/")))
     open_rows = rows.where(F.col("kind").isNull())
     ends = own.withColumn("parts", F.split("p", "/")).select("id", "p", "dir", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", i, F.size("parts")), "/"))).alias("end"))
     tiers = [

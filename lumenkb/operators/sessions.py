@@ -90,11 +90,26 @@ def offload(logs: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def access_counts(events: DataFrame, keys: list[str], gap: int = 60) -> DataFrame:
-    """``keys``, access_count, last_access: events (keys, ts in seconds) that come ``gap`` seconds or more after the last one counted."""
-    times = events.groupBy(*keys).agg(F.array_sort(F.collect_list("ts")).alias("ts"))
+    """``keys``, access_count, last_access: events (keys, ts in whole seconds) that come ``gap`` seconds or more after the last one counted.
+
+    No stretch shorter than ``gap`` has two events that count, so a stretch of up to 60 seconds is one row, with a bit
+    for each second that has an event. What a key gathers grows with the time it spans, not with its events.
+    """
+    width = min(gap, 60)
+    at = F.floor(F.col("ts") / width)
+    bits = events.where("ts is not null").select(*keys, at.alias("b"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("ts") - at * width).cast("int")).alias("bit"))
+    spans = bits.groupBy(*keys, "b").agg(F.bit_or("bit").alias("mask")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("b", "mask"))).alias("spans"))
+
+    def step(a: Column, x: Column) -> Column:
+        begin = x["b"] * width
+        soonest = F.greatest(F.coalesce(a["last"] + gap - begin, F.lit(0)), F.lit(0))
+        left = F.call_function("shiftright", x["mask"], F.least(soonest, F.lit(62)).cast("int"))
+        # the lowest bit has as many others below it as its place says
+        place = soonest + F.bit_count(left.bitwiseAND(-left) - 1)
+        return F.when((soonest < width) & (left != 0), F.struct((a["n"] + 1).alias("n"), (begin + place).cast("long").alias("last"))).otherwise(a)
+
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("last"))
-    step = lambda a, t: F.when(a["last"].isNull() | (t - a["last"] >= gap), F.struct((a["n"] + 1).alias("n"), t.alias("last"))).otherwise(a)
-    return times.withColumn("x", F.aggregate("ts", start, step)).select(*keys, F.col("x.n").alias("access_count"), F.col("x.last").alias("last_access"))
+    return spans.withColumn("x", F.aggregate("spans", start, step)).select(*keys, F.col("x.n").alias("access_count"), F.col("x.last").alias("last_access"))
 
 
 def claim(handoffs: DataFrame, claims: DataFrame) -> DataFrame:

@@ -228,6 +228,39 @@ own AS (
     concat('Remove or replace forbidden pattern `shared_', CAST(doc_id % 3 AS VARCHAR), '`.', CASE WHEN doc_id % 6 = 5 THEN concat(' (Supersedes [[old-', i, ']])') ELSE '' END) FROM rn
 )"""
 
+def ident(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[-_/:.\s\p{{Z}}]+', ' ', 'g'), '[^\p{{L}}\p{{N}} ]', '', 'g'), ' +', ' ', 'g'))"
+
+
+def some(items: str, var: str, cond: str) -> str:
+    return f"len(list_filter({items}, lambda {var}: {cond})) > 0"
+
+
+PROJECTS = f"""
+pj AS (SELECT id, lang, title, lower(regexp_extract(title, '([\\p{{L}}\\p{{N}}]+)', 1)) AS word FROM pg),
+dv AS (SELECT dst, list_distinct(list(s.word) FILTER (s.word <> '')) AS d FROM edges JOIN pj s ON s.id = src GROUP BY dst),
+kn AS (SELECT id, concat(lang, '/', word, '.md') AS path, CASE WHEN word = '' THEN '.md' ELSE word END AS stem, title, [concat('slug-', CAST(id AS VARCHAR)), concat('p', CAST(id AS VARCHAR))] AS ids, coalesce(d, []) AS der, {ident("concat('topic ', lang)")} AS tag
+  FROM pj LEFT JOIN dv ON dst = id),
+ks AS (SELECT *, list_concat([stem, title], ids) AS own, list_concat([stem, title], ids, der) AS nl FROM kn),
+kp AS (SELECT *, list_transform(nl, lambda x: {ident("x")}) AS nn FROM ks),
+dq AS (SELECT doc_id, list_filter({words("substr(text, 1, 60)")}, lambda w: length(w) > 3) AS w FROM documents),
+aq AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat('P', CAST(doc_id % 300 AS VARCHAR)) WHEN 1 THEN w[1] WHEN 2 THEN concat_ws('_', w[1], w[2]) ELSE concat('slug-', CAST(doc_id % 300 AS VARCHAR), ' slug') END AS query FROM dq),
+aw AS (SELECT doc_id, lower(query) AS ql, {ident("query")} AS qn FROM aq WHERE trim(coalesce(query, '')) <> ''),
+pr AS (
+  SELECT doc_id, id, path, list_contains(own, ql) OR {ident("stem")} = qn OR {ident("title")} = qn AS e,
+    regexp_matches(lower(stem), array_to_string(string_split(ql, ''), '.*')) AS s,
+    len(string_split(qn, ' ')) > 0 AND qn <> '' AND (
+      {some("nl", "x", "starts_with(x, ql) OR contains(x, ql)")}
+      OR {some("nn", "x", "x = qn OR contains(x, qn) OR (strlen(x) >= 3 AND starts_with(qn, x)) OR (x <> '' AND (list_has_all(string_split(x, ' '), string_split(qn, ' ')) OR (list_has_all(string_split(qn, ' '), string_split(x, ' ')) AND len(string_split(x, ' ')) >= 2)))")}
+      OR starts_with(tag, qn) OR list_has_all(string_split(tag, ' '), string_split(qn, ' '))
+      OR len(list_filter(string_split(qn, ' '), lambda y: NOT ({some("list_append(nn, tag)", "x", "contains(x, y)")}))) = 0) AS m
+  FROM aw, kp
+),
+pt AS (
+  SELECT doc_id, id, CASE WHEN e THEN 0 WHEN m THEN 1 ELSE 2 END AS tier, 0 AS r, path FROM pr WHERE e OR m OR s
+  UNION ALL SELECT query_id, vr.doc_id, 4, r, '' FROM vr JOIN aw ON aw.doc_id = query_id JOIN pg ON pg.id = vr.doc_id WHERE r <= 10 AND distance / 2 <= 0.35
+)"""
+
 SQL: dict[str, str] = {
     "estimate_tokens": f"SELECT doc_id, {estimate('text')} AS tokens FROM documents",
     "safe_names": r"""SELECT doc_id, CASE WHEN n = '' THEN 'untitled' ELSE n END AS name FROM (
@@ -238,6 +271,10 @@ SQL: dict[str, str] = {
         SELECT doc_id, md5(CASE WHEN contains(r, '\n') AND (NOT contains(r, chr(10)) OR contains(r, '## Non-Negotiable Invariants\n') OR contains(r, '\n- ')) THEN replace(replace(r, '\n', chr(10)), '\t', chr(9)) ELSE r END) AS text_md5 FROM a""",
     "fuzzy_match": """SELECT doc_id, regexp_matches(lower(string_split(text, chr(10))[1]), array_to_string(string_split(lower(concat(lang, source)), ''), '.*')) AS matches FROM documents""",
     "path_keywords": """SELECT doc_id, concat(lower(concat(source, '-', lang, '_v')), ' ', lower(source), ' ', lower(lang), ' mod_', CAST(doc_id % 20 AS VARCHAR), '.test mod ', CAST(doc_id % 20 AS VARCHAR), '.test') AS keywords FROM documents""",
+    "scan_filter": f"""WITH {NOTES}, p AS (SELECT doc_id, path, string_split(path, '/') AS s FROM notes), q AS (SELECT doc_id, path, s[1] AS src, s[2] AS lang, s[3] AS f FROM p),
+        k AS (SELECT * FROM q WHERE CASE WHEN src = 'src4' AND regexp_matches(f, '^[0-3]') THEN false WHEN f LIKE '%25.md' THEN true WHEN f LIKE '%5.md' THEN false
+          ELSE NOT (src = 'src3' AND lang LIKE 'e_') AND src <> 'src1' END)
+        SELECT doc_id, path FROM k WHERE f IN ('100.md', '202.md') OR NOT EXISTS (SELECT 1 FROM k z WHERE z.src = k.src AND z.lang = k.lang AND z.f IN ('100.md', '202.md'))""",
     "lifecycle_status": rf"""WITH {NOTES} SELECT doc_id, CASE WHEN status <> 'active' THEN status WHEN doc_id % 13 = 0 THEN 'superseded' WHEN doc_id % 11 = 0 THEN 'archived'
         WHEN len(list_filter(string_split(body, chr(10))[1:5], lambda x: regexp_matches(upper(ltrim(x)), '^> \[(SUPERSEDED\]|!?WARN\] SUPERSEDED)'))) > 0 THEN 'superseded' ELSE 'active' END AS status FROM notes""",
     "hierarchy_classify": """SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'L2Log' WHEN doc_id % 7 = 0 THEN 'L3Evergreen'
@@ -369,6 +406,48 @@ SQL: dict[str, str] = {
           FROM notes, k WHERE status = 'active'),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(title), doc_id) AS n FROM c WHERE score > 1)
         SELECT query_id, doc_id, score, n AS "rank" FROM r WHERE n <= 10""",
+    "card_concepts": f"""WITH {NOTES}, c AS (SELECT doc_id, trim(concat('C ', title)) AS x FROM notes WHERE status = 'active')
+        SELECT doc_id, CASE WHEN length(x) > 100 THEN concat(rtrim(substr(x, 1, 90)), '...') ELSE x END AS concept FROM c""",
+    "loadout_text": f"""WITH {NOTES}, k AS (SELECT item_id AS query_id, text, list_sort(list_distinct({words("text")}))[1:6] AS ks FROM benchmark),
+        cd AS (SELECT doc_id, title, path, level, CASE WHEN length(x) > 100 THEN concat(rtrim(substr(x, 1, 90)), '...') ELSE x END AS concept FROM (SELECT *, trim(concat('C ', title)) AS x FROM notes WHERE status = 'active')),
+        c AS (SELECT query_id, doc_id, title, concept, CAST(coalesce(list_sum(list_transform(list_filter(ks, lambda k: strlen(k) > 1), lambda k: (CASE WHEN lower(title) = k THEN 20 WHEN contains(lower(title), k) THEN 10 ELSE 0 END)
+            + (CASE WHEN contains(lower(path), k) THEN 4 ELSE 0 END) + (CASE WHEN contains(lower(concept), k) THEN 3 ELSE 0 END))), 0) + CASE WHEN level = 'L3Evergreen' THEN 1 ELSE 0 END AS BIGINT) AS score FROM cd, k),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(title), doc_id) AS n FROM c WHERE score > 1),
+        ln AS (SELECT query_id, n, concat('- **[[', CAST(doc_id AS VARCHAR), ']]**: ', concept) AS line FROM r WHERE n <= 4),
+        ls AS (SELECT query_id, list(line ORDER BY n) AS lines FROM ln GROUP BY 1),
+        h AS (SELECT k.query_id, repeat(replace(text, chr(10), ' '), CASE WHEN k.query_id % 4 = 0 THEN 4 ELSE 1 END) AS scope, coalesce(lines, []) AS lines, CASE WHEN k.query_id % 3 = 0 THEN ['- [[log one]]', '- [[log two]]'] ELSE ['- *(no recent log)*'] END AS logs,
+          concat('> **Active Changes**: ', CAST(greatest(least(len(ks), 3), 1) AS VARCHAR), ' modified modules: ', array_to_string(list_transform(ks[1:3], lambda m: concat('`', CASE WHEN length(m) > 30 THEN concat(substr(m, 1, 27), '...') ELSE m END, '`')), ', '),
+            ' (', CAST(len(ks) AS VARCHAR), ' files)') AS ch FROM k LEFT JOIN ls USING (query_id)),
+        g AS (SELECT *, CASE WHEN length(ch) > 100 THEN concat(substr(ch, 1, 97), '...') ELSE ch END AS cl FROM h),
+        v AS (SELECT query_id, lines, mode, n, CASE WHEN mode = 2 AND n > 1 THEN concat(substr(scope, 1, 60), '...') WHEN mode = 2 THEN substr(scope, 1, 60) ELSE scope END AS sc, scope, cl, logs FROM g, range(1, 3) m(mode), range(0, 5) t(n) WHERE n <= len(lines)),
+        tx AS (SELECT *, array_to_string(list_concat([concat('# Loadout: Q', CAST(query_id AS VARCHAR), ' [diff-aware]'), cl, concat('> **Scope**: ', sc), '', '## Knowledge and constraints (L3)'],
+            CASE WHEN n = 0 THEN ['- *(no rule or decision matches these modules)*'] ELSE lines[1:n] END, ['', '## Recent decisions (L2)'], logs, ['', '## Protocol', '1. Audit the diff before a commit; a note that replaces a decision names it.']), chr(10)) AS t FROM v),
+        e AS (SELECT *, {estimate("t")} AS tk FROM tx),
+        md AS (SELECT query_id, CASE WHEN bool_or(mode = 1 AND n = 1 AND tk <= 280) THEN 1 WHEN bool_or(mode = 2 AND n = 1 AND tk <= 280) THEN 2 ELSE 0 END AS md FROM e GROUP BY 1),
+        nc AS (SELECT e.query_id, any_value(md) AS md, coalesce(max(CASE WHEN mode = md AND n > 0 AND tk <= 280 THEN n END), 0) AS nc FROM e JOIN md USING (query_id) GROUP BY 1),
+        o AS (SELECT e.query_id, nc, CASE WHEN md = 2 AND nc = 1 THEN replace(t, concat('> **Scope**: ', sc), concat('> **Scope**: ', sc, '...')) ELSE t END AS t, scope, cl FROM nc JOIN e ON e.query_id = nc.query_id AND e.n = nc.nc AND e.mode = greatest(md, 1))
+        SELECT query_id, CAST(nc AS BIGINT) AS n_cards, {estimate("t")} AS tokens, md5(t) AS text_md5 FROM o""",
+    "find_project": f"""WITH {LINKS}, {VECTORS}, {PROJECTS}, z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tier, r, path, id) AS n FROM pt)
+        SELECT doc_id AS query_id, id AS project, ['exact', 'match', 'subsequence', 'text', 'vector'][tier + 1] AS tier FROM z WHERE n = 1""",
+    "distil_skills": r"""WITH RECURSIVE w AS (SELECT conv_id, turn, substr(regexp_replace(text, '(?s)[^A-Za-z].*$', ''), 1, 20) AS f, (turn + conv_id) % 6 AS k FROM conversations),
+        u AS (SELECT conv_id, turn, unnest(x) AS t, generate_subscripts(x, 1) AS part, k FROM (SELECT conv_id, turn, k, CASE k WHEN 0 THEN [concat('$ cargo ', f)] WHEN 1 THEN [concat('  error: ', f, ' failed')] WHEN 2 THEN [concat('plain ', f)]
+          WHEN 3 THEN ['Traceback (most recent call last):', '  File x.py, line 1', concat('KeyError: ', f)] WHEN 4 THEN ['test result: 0 FAILED'] ELSE [concat('git ', f)] END AS x FROM w)),
+        l AS (SELECT conv_id, k, part, rtrim(t) AS t, trim(t) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn, part) AS i FROM u),
+        b AS (SELECT *, coalesce(max(CASE WHEN k IN (1, 4) OR (k = 3 AND part = 1) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM l),
+        walk AS (
+          SELECT conv_id, CAST(0 AS BIGINT) AS i, false AS ins, CAST([] AS VARCHAR[]) AS got FROM (SELECT DISTINCT conv_id FROM l)
+          UNION ALL
+          SELECT w.conv_id, b.i, (w.ins OR o) AND NOT ((b.k IN (0, 4) AND len(w.got) + 1 > 2) OR len(w.got) + 1 >= 25), CASE WHEN w.ins OR o THEN list_append(w.got, b.t) ELSE w.got END
+          FROM walk w JOIN (SELECT *, k = 1 OR (k = 3 AND part = 1) AS o FROM b) b ON b.conv_id = w.conv_id AND b.i = w.i + 1
+        ),
+        er AS (SELECT conv_id, max_by(got, i) AS got FROM walk GROUP BY 1),
+        a AS (SELECT conv_id, string_agg(CASE WHEN k = 0 THEN trim(substr(s, 3)) ELSE s END, chr(10) ORDER BY i) FILTER ((k = 0 OR (k = 5 AND s <> 'git')) AND seen = 0) AS cb,
+            string_agg(CASE WHEN k = 0 THEN trim(substr(s, 3)) ELSE s END, chr(10) ORDER BY i) FILTER ((k = 0 OR (k = 5 AND s <> 'git')) AND seen = 1) AS ca,
+            max_by(s, i) FILTER (k = 3 AND part = 3) AS tb, min_by(s, i) FILTER (k = 1) AS e1, bool_or(k = 0) AS rs, bool_or(k = 3) AS py FROM b GROUP BY 1),
+        z AS (SELECT a.*, got, coalesce(tb, e1, CASE WHEN a.conv_id % 5 = 0 THEN 'a hint' END, 'Execution interrupted or troubleshooting check') AS summary FROM a JOIN er USING (conv_id))
+        SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN 'a hint' WHEN summary LIKE 'Execution interr%' THEN 'Execution Troubleshooting & Skill Distillation' ELSE concat('Resolve ', regexp_replace(summary, '^error: ', '')) END AS title, summary,
+          concat('type/skill', CASE WHEN rs THEN chr(10) || 'topic/rust' ELSE '' END, CASE WHEN py THEN chr(10) || 'topic/python' ELSE '' END) AS tags,
+          coalesce(cb, '') AS commands_before, coalesce(ca, '') AS commands_after, array_to_string(got, chr(10)) AS error_lines FROM z""",
     "handoff_claim": """WITH e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events WHERE event_type = 'error'),
         c AS (SELECT event_id AS handoff_id, CASE WHEN user_id % 2 = 0 THEN concat('agent', CAST(user_id % 5 AS VARCHAR)) END AS to_agent, concat('agent', CAST((event_id + i) % 5 AS VARCHAR)) AS agent, ts + i * 20000 AS t, ts
           FROM e, range(6) r(i)),

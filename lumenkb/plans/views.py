@@ -89,3 +89,26 @@ def note_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.join(other, "id", "left").withColumn("s", share).select("id", F.when(F.col("id") % 8 == 7, drawn).otherwise(F.col("v")).alias("v"))
     lasting = notes(spark, sf_dir).where("status = 'active' and level = 'L3Evergreen'").select(F.col("doc_id").alias("id"))
     return rows.join(lasting, "id")
+
+
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, name, path, body, level: active notes as cards, with their first line under a heading, in a quote or after a heading."""
+    said = F.concat(F.lit("C "), F.col("title"))
+    rest = F.concat(F.lit("\n\n"), F.col("body"))
+    under = F.concat(F.lit("# T\n## Core Concept\n> "), said, F.lit("\n> [!note] x"), rest)
+    body = F.when(F.col("doc_id") % 3 == 0, under).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("> "), said, rest)).otherwise(F.concat(F.lit("# T\n"), said, rest))
+    return notes(spark, sf_dir).where("status = 'active'").select("doc_id", F.col("title").alias("name"), "path", body.alias("body"), "level")
+
+
+def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, trace, hint, title: a log for each conversation, with commands, errors, tracebacks and results that its turns stand for."""
+    turns = table(spark, sf_dir, "conversations")
+    first = F.substring(F.regexp_replace("text", r"(?s)[^A-Za-z].*$", ""), 1, 20)
+    kinds = [
+        F.concat(F.lit("$ cargo "), first), F.concat(F.lit("  error: "), first, F.lit(" failed")), F.concat(F.lit("plain "), first),
+        F.concat(F.lit("Traceback (most recent call last):\n  File x.py, line 1\nKeyError: "), first), F.lit("test result: 0 FAILED"), F.concat(F.lit("git "), first),
+    ]
+    line = F.element_at(F.array(*kinds), ((F.col("turn") + F.col("conv_id")) % 6 + 1).cast("int"))
+    log = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n")
+    rows = turns.groupBy(F.col("conv_id").alias("id")).agg(log.alias("trace"))
+    return rows.select("id", "trace", F.when(F.col("id") % 5 == 0, "a hint").alias("hint"), F.lit(None).cast("string").alias("title"))

@@ -253,3 +253,61 @@ def test_more_queries_than_a_batch_run_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(search, "MOST_QUERIES", 10)
     assert sorted(search.vector_search(vectors, asked, 3).collect()) == want
     assert vectors.join(search.small_batch(asked)).count() == 900
+
+
+@pytest.mark.parametrize("gap", [1, 7, 60, 61, 200])
+def test_debounce_equals_a_walk_over_events(spark, gap):
+    import random
+
+    r = random.Random(gap)
+    events = [(r.randrange(4), r.choice([None, *range(-300, 900)])) for _ in range(1200)] + [(9, 5)] * 50
+    want = {}
+    for k in {k for k, _ in events}:
+        n, last = 0, None
+        for t in sorted(t for x, t in events if x == k and t is not None):
+            if last is None or t - last >= gap:
+                n, last = n + 1, t
+        want[k] = (n, last)
+    got = sessions.access_counts(spark.createDataFrame(events, "k long, ts long"), ["k"], gap).collect()
+    assert {x.k: (x.access_count, x.last_access) for x in got} == want
+
+
+def test_paths_of_any_depth(spark):
+    notes = spark.createDataFrame([(1, "a/b/c/d/e/f/n.md", "N"), (2, "a/z.md", "Z"), (3, "z.md", "Z")], "id long, path string, title string")
+    links = [("../../../../../z.md", 2), ("../../../../../../z.md", 3), ("../../../../../../../z.md", None), ("x/../.././../../../../z", 2), ("../f/n", None)]
+    rows = graph.resolve_links(notes, spark.createDataFrame([(1, i, t) for i, (t, _) in enumerate(links)], "src long, pos int, raw_target string")).orderBy("pos").collect()
+    assert [x.dst for x in rows] == [d for _, d in links]
+    assert [x.resolution for x in rows] == ["document", "document", "broken", "document", "self"]
+
+
+def test_title_tags_and_cjk_prefixes_equal_a_full_text_index(spark):
+    """Three columns, phrases within one of them, and a single CJK character as the beginning of tokens."""
+    import random
+    import re
+    import sqlite3
+
+    def cut(text):
+        runs = re.findall("[一-鿿]+|[^\\s一-鿿]+", text)
+        return " ".join(" ".join(r[i : i + 2] for i in range(len(r) - 1)) if re.match("[一-鿿]{2}", r) else r for r in runs)
+
+    r = random.Random(8)
+    words = "ab cd ef-gh 图 图书馆 读图 馆藏 书".split()
+    some = lambda n: " ".join(r.choice(words) for _ in range(n))
+    docs = [(i, some(2), some(r.randint(1, 20)), [some(1), some(1)]) for i in range(50)] + [(50, None, "ef", ["gh"]), (51, "ef", "gh", None), (52, "图", None, [])]
+    asked = {1: "图", 2: "书 ab", 3: "ef-gh", 4: "馆 图书馆", 5: "cd 图 nowhere"}
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table t using fts5(title, body, tags)")
+    con.executemany("insert into t(rowid, title, body, tags) values (?, ?, ?, ?)", [(i, cut(t or ""), cut(b or ""), cut(" ".join(g or []))) for i, t, b, g in docs])
+    rows = search.ladder(spark.createDataFrame(docs, "doc_id long, title string, body string, tags array<string>"), spark.createDataFrame(list(asked.items()), "query_id long, query string")).collect()
+    one = lambda x: f'"{x}"*' if re.fullmatch("[一-鿿]", x) else f'"{x}"'
+    for q, text in asked.items():
+        whole, parts = [one(cut(x)) for x in text.split()], list(dict.fromkeys(map(one, cut(text).split())))
+        for tier, match in enumerate((" ".join(whole), " AND ".join(parts), " OR ".join(parts))):
+            want = dict(con.execute("select rowid, -bm25(t) from t where t match ?", (match,)).fetchall())
+            if want:
+                got = {x["doc_id"]: x["score"] for x in rows if x["query_id"] == q}
+                assert {x["tier"] for x in rows if x["query_id"] == q} == {tier} and set(got) == set(want), (q, tier)
+                assert all(got[d] == pytest.approx(s, abs=1e-9) for d, s in want.items()), (q, tier)
+                break
+        else:
+            raise AssertionError(q)
