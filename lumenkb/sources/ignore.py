@@ -88,7 +88,11 @@ def kept_files(files: DataFrame, rules: Ignore) -> DataFrame:
 
 def scan_kept(spark: SparkSession, root: str, ignore_file: str = ".notesignore") -> DataFrame:
     """``markdown.scan`` of a tree without what the ignore file at its root excludes; without one nothing more is."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{ignore_file}")
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    text = spark.read.text(str(path), wholetext=True).first() if there else None
-    return kept_files(scan(spark, root), parse_ignore(text[0] if text else ""))
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{ignore_file}")
+    fs, text = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), ""
+    if fs.exists(path):  # Spark's own readers pass over files whose names begin with a dot
+        stream = fs.open(path)
+        text = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
+        stream.close()
+    return kept_files(scan(spark, root), parse_ignore(text))
