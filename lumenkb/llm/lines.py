@@ -4,13 +4,14 @@ A line is normalised (lower case, digits as 0, ASCII punctuation as space, words
 lines are one node, at any length. Lines of fewer than ``min_words`` words (characters, in scripts without spaces) are not
 linked to near ones: in sentence fragments a word is much.
 
-A line's SimHash is made piece by piece, so that changed words spoil the pieces they are in and no other. The pieces of a
-line of more than ``LONG`` words are runs of ``RUN`` words that its words choose: for each of ``SEEDS`` hashes the run with the
-smallest one, wherever it stands, so that words added, lost or moved elsewhere change nothing. Shorter lines have runs of
-up to ``PIECE`` words, three counted from either end; lines of about ``SHORT`` words or fewer all their words and all but
-each. A 64-bit SimHash of each piece's words is a pigeonhole block. Lines that agree on a block are compared: a plain
-64-bit SimHash of all words may differ in ``RADIUS`` bits, and an edit similarity of ``similarity`` or more decides. Links
-are closed to connected groups, and the first line of each group (by doc_id, then place) stays.
+A line's SimHash is made piece by piece, so that changed words spoil the pieces they are in and no other: runs of up to
+``PIECE`` words, three counted from the start of the line and three from its end; lines of about ``SHORT`` words or fewer have
+all their words and all but each. A line of more than ``LONG`` words has two from either end and ``SEEDS`` runs of ``RUN``
+words that its words choose: for each of as many hashes the run with the smallest one, wherever it stands, so that words added,
+lost or moved elsewhere change nothing. A 64-bit SimHash of each piece's words is a pigeonhole block. Lines that agree on a
+block are compared: a plain 64-bit SimHash of all words may differ in ``RADIUS`` bits, and an edit similarity of
+``similarity`` or more decides. Links are closed to connected groups, and the first line of each group (by doc_id, then place)
+stays.
 
 Nodes of a block are first compared with the block's smallest one only, a join whose rows follow the number of nodes.
 Nodes that this leaves unlinked are then compared with all others of the block, in cells of bounded size.
@@ -34,9 +35,9 @@ from lumenkb.session import materialize, ship_code
 
 FOLD = bytes(48 if 48 <= i <= 57 else i if i >= 128 or 97 <= i <= 122 or i == 10 else 32 for i in range(256))
 #: Words of a piece at most, words of a short line at most, bits in which the codes of whole lines may differ.
-PIECE, SHORT, RADIUS = 6, 8, 21
-#: Words of a line whose pieces are counted from its ends at most; runs that longer ones choose, and words of each.
-LONG, SEEDS, RUN = 12, 10, 3
+PIECE, SHORT, RADIUS = 6, 8, 18
+#: Words of a line all of whose pieces are counted from its ends at most; runs that longer ones choose, and words of each.
+LONG, SEEDS, RUN = 20, 3, 5
 #: Characters of scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 POWERS = np.cumprod(np.r_[np.uint64(1), np.full(255, 0x9E3779B97F4A7C15, np.uint64)], dtype=np.uint64)
@@ -135,13 +136,13 @@ def pieces(counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
                 add(at, 0, np.delete(every, k, axis=1))
     for length in range(SHORT // 3 + 1, PIECE + 1):
         # lines near the limit between two lengths have pieces of both
-        lo, hi = (SHORT if length == SHORT // 3 + 1 else 4 * length), min(4 * length + 7, LONG + 1)
+        lo, hi = (SHORT if length == SHORT // 3 + 1 else 4 * length), (4 * length + 7 if length < PIECE else 1 << 60)
         at = np.flatnonzero((counts >= lo) & (counts <= hi))
         for k in range(3 if len(at) else 0):
-            near = at[counts[at] >= (k + 1) * length]
+            near = at[(counts[at] >= (k + 1) * length) & ((k < 2) | (counts[at] <= LONG))]
             add(near, 16 * length + k + 1, base[near, None] + k * length + np.arange(length))
             add(near, 16 * length + k + 9, (base + counts)[near, None] - (k + 1) * length + np.arange(length))
-    at = np.flatnonzero(counts >= LONG)  # lines near the limit have both
+    at = np.flatnonzero(counts > LONG - 4)  # lines near the limit have both
     if len(at):
         whose, first = chosen(hashes, base[at], counts[at])
         add(at[whose], 0, first[:, None] + np.arange(RUN))
