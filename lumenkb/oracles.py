@@ -445,7 +445,7 @@ SQL: dict[str, str] = {
             string_agg(CASE WHEN k = 0 THEN trim(substr(s, 3)) ELSE s END, chr(10) ORDER BY i) FILTER ((k = 0 OR (k = 5 AND s <> 'git')) AND seen = 1) AS ca,
             max_by(s, i) FILTER (k = 3 AND part = 3) AS tb, min_by(s, i) FILTER (k = 1) AS e1, bool_or(k = 0) AS rs, bool_or(k = 3) AS py FROM b GROUP BY 1),
         z AS (SELECT a.*, got, coalesce(tb, e1, CASE WHEN a.conv_id % 5 = 0 THEN 'a hint' END, 'Execution interrupted or troubleshooting check') AS summary FROM a JOIN er USING (conv_id))
-        SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN 'a hint' WHEN summary LIKE 'Execution interr%' THEN 'Execution Troubleshooting & Skill Distillation' ELSE concat('Resolve ', regexp_replace(summary, '^error: ', '')) END AS title, summary,
+        SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN 'a hint' WHEN summary LIKE 'Execution interr%' THEN 'Execution Troubleshooting & Skill Distillation' ELSE concat('Resolve ', trim(regexp_replace(summary, '^error: ', ''))) END AS title, summary,
           concat('type/skill', CASE WHEN rs THEN chr(10) || 'topic/rust' ELSE '' END, CASE WHEN py THEN chr(10) || 'topic/python' ELSE '' END) AS tags,
           coalesce(cb, '') AS commands_before, coalesce(ca, '') AS commands_after, array_to_string(got, chr(10)) AS error_lines FROM z""",
     "handoff_claim": """WITH e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events WHERE event_type = 'error'),
