@@ -1,5 +1,6 @@
 """Cases that the driver tables don't hold."""
 
+import time
 from collections import Counter
 
 import pytest
@@ -311,3 +312,16 @@ def test_title_tags_and_cjk_prefixes_equal_a_full_text_index(spark):
                 break
         else:
             raise AssertionError(q)
+
+
+def test_many_links_to_many_notes_of_one_name_make_no_pairs(spark):
+    n = 60_000
+    notes = spark.range(n).select("id", F.format_string("f%s/same.md", (F.col("id") % 3).cast("string")).alias("path"), F.lit("Same").alias("title"))
+    links = spark.range(n).select(F.col("id").alias("src"), F.lit(0).alias("pos"), F.element_at(F.array(F.lit("same"), F.lit("f1/same"), F.lit("SAME#x")), (F.col("id") % 7 % 3 + 1).cast("int")).alias("raw_target"))
+    began = time.monotonic()
+    rows = graph.resolve_links(notes, links).groupBy("resolution", F.col("src") % 3, "raw_target", "dst").count().collect()
+    assert time.monotonic() - began < 60
+    # the first of a name in a link's own folder wins; the first notes lead to themselves
+    assert sum(r["count"] for r in rows) == n
+    assert {(r[1], r.raw_target, r.dst) for r in rows if r.resolution == "document"} == {(f, t, 1 if t == "f1/same" else f) for f in range(3) for t in ("same", "f1/same", "SAME#x")}
+    assert sorted((r[1], r.raw_target) for r in rows if r.resolution == "self") == [(0, "same"), (1, "f1/same"), (2, "SAME#x")]
