@@ -76,3 +76,19 @@ def test_keys_lose_no_match(spark):
     for got, query in zip(found(spark, known, queries), queries, strict=True):
         want = plainly(known, query)
         assert got == want or (want is None and got[1] == "subsequence"), query
+
+
+def test_equal_queries_are_tried_once(spark, monkeypatch):
+    tried = spark.sparkContext.accumulator(0)
+    matches = P.matches
+
+    def counted(q, *more):
+        def seen(x):
+            tried.add(1)
+            return True
+
+        return F.udf(seen, "boolean")(q) & matches(q, *more)
+
+    monkeypatch.setattr(P, "matches", counted)
+    assert found(spark, KNOWN, ["paym", "PAYM", "nothing", " paym "] * 200, text=[(2, 3, 1)]) == ([(2, "match")] * 2 + [(3, "text"), (2, "match")] + ([(2, "match")] * 2 + [None, (2, "match")]) * 199)
+    assert tried.value < 100
