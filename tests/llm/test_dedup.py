@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tests.llm.conftest import ODD
 
-from lumenkb.llm import queries
+from lumenkb.llm import lines, queries
 from lumenkb.llm.components import components
 from lumenkb.llm.gsaca import suffix_array
 from lumenkb.llm.jaccard import jaccard_classes, one_of_each
@@ -274,3 +274,17 @@ def test_substrings_on_odd_rows(docs):
     rows = [(i, t or "") for i, t in ODD]
     same_bytes(dedup_substrings(docs(ODD, extra=True)).collect(), rows, 400)
     assert dedup_substrings(docs([])).count() == 0
+
+
+def test_pairs_that_are_told_early_leave_the_others_right():
+    r = np.random.default_rng(3)
+    word = lambda n: "".join(r.choice(list("abcdefgh "), n))
+    pairs = []
+    for k in range(600):
+        a = word(int(r.integers(80, 400)))
+        b = "".join(c for c in a if r.random() > 0.001 * (k % 300)) if k % 3 else word(len(a))
+        pairs.append((a, b))
+    most = np.array([0.2 * max(len(a), len(b)) for a, b in pairs])
+    gone = lines.far_apart(pairs, most)
+    assert 200 < gone.sum() < 600
+    assert all(lines.distance(a, b) > m for (a, b), m, x in zip(pairs, most, gone.tolist(), strict=True) if x)
