@@ -1,6 +1,7 @@
 """Near pairs of vectors and nearest sections, against all pairs."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,38 @@ def test_clusters_are_not_all_compared():
     assert compared < 0.1 * 3000 * 2999 / 2
 
 
+def test_vectors_without_clusters_are_sent_a_few_times_in_small_portions(spark, monkeypatch):
+    """Far apart from each other, they reach all cells: a row for each cell of each vector took the executors' memory."""
+    m = np.random.default_rng(9).normal(size=(3000, 64))
+    m[1] = m[0]
+    sent, portions, frame_of = [], [], pd.DataFrame
+    monkeypatch.setattr(V, "SEND", 500)
+    monkeypatch.setattr(V, "ship_code", lambda spark: None)
+
+    class Groups:
+        """Stands for the rows that are dealt to tasks, which it makes here."""
+
+        def __init__(self, rows):
+            self.rows = rows
+
+        def mapInPandas(self, f, schema):
+            if "side" not in schema:
+                return self.rows.mapInPandas(f, schema)
+            for out in f(iter([self.rows.toPandas()])):
+                portions.append(len(out)), sent.append(out)
+            return spark.createDataFrame([], schema)
+
+        def __getattr__(self, name):
+            return getattr(self.rows, name)
+
+    write = V.materialize
+    monkeypatch.setattr(V, "materialize", lambda df, tag: Groups(write(df, tag)))
+    V.near_pairs(V.unit_vectors(frame(spark, list(enumerate(m)))), cap=500)
+    rows = frame_of({"id": np.concatenate([x["id"].to_numpy() for x in sent])})
+    assert max(portions) < 600
+    assert 2 * 3000 < len(rows) < 16 * 3000  # 6 bundles or a few more; about 128 cells of 256 each before
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1, 0]), (2, [2, 0]), (3, None), (4, []), (5, [0, 0]), (6, [None, 1]), (7, [float("nan"), 1]), (8, [float("inf"), 1]), (9, [1, 0, 0]), (10, [1, 1e-9, 0]), (None, [1, 0])]
     got = {(r.a, r.b) for r in V.near_pairs(V.unit_vectors(frame(spark, rows))).collect()}
