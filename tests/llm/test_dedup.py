@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -16,6 +17,7 @@ from lumenkb.llm.lines import RADIUS, block_codes, close, dedup_lines, distance,
 from lumenkb.llm.pairs import Forest, listed
 from lumenkb.llm.shingles import shingle_set
 from lumenkb.llm.suffix import dedup_substrings
+from lumenkb.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -288,3 +290,26 @@ def test_pairs_that_are_told_early_leave_the_others_right():
     gone = lines.far_apart(pairs, most)
     assert 200 < gone.sum() < 600
     assert all(lines.distance(a, b) > m for (a, b), m, x in zip(pairs, most, gone.tolist(), strict=True) if x)
+
+
+def test_few_pairs_and_odd_ones_are_told_as_by_the_distance():
+    r = np.random.default_rng(4)
+    word = lambda n: "".join(r.choice(list("abcdé语😀 "), n))
+    pairs = [("", ""), ("", "a"), ("a" * 30, "b" * 30), ("ab" * 20, "ba" * 20)]
+    for n in (1, 3, 20, 90, 300) * 12:
+        a = word(n)
+        pairs.append((a, "".join(c for c in a if r.random() > 0.25) + word(int(r.integers(0, 4)))))
+        pairs.append((a, word(n)))
+    most = np.array([r.choice([0.05, 0.2, 0.5]) * max(len(a), len(b)) + 1e-9 for a, b in pairs])
+    want = [lines.distance(a, b) > m for (a, b), m in zip(pairs, most, strict=True)]
+    assert 20 < sum(want) < 110
+    for room, longest in ((1 << 16, 4096), (50, 4096), (1 << 16, 60)):
+        assert lines.far_apart(pairs, most, room, longest).tolist() == want
+
+
+def test_lines_leave_only_the_table_that_the_result_reads(spark, docs):
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "lumenkb"
+    before = set(folder.glob("*"))
+    got = dedup_lines(docs([(1, "one line of more than five words"), (2, "one line of more than five words\nb"), (3, "one line of more than six words")]))
+    assert [p.name.split("-")[0] for p in set(folder.glob("*")) - before] == ["gone"]
+    assert {r["doc_id"]: r["kept_text"] for r in got.collect()} == {1: "one line of more than five words", 2: "b", 3: ""}
