@@ -92,3 +92,33 @@ def test_equal_queries_are_tried_once(spark, monkeypatch):
     monkeypatch.setattr(P, "matches", counted)
     assert found(spark, KNOWN, ["paym", "PAYM", "nothing", " paym "] * 200, text=[(2, 3, 1)]) == ([(2, "match")] * 2 + [(3, "text"), (2, "match")] + ([(2, "match")] * 2 + [None, (2, "match")]) * 199)
     assert tried.value < 100
+
+
+def test_queries_of_several_words_do_not_try_each_project(spark, monkeypatch):
+    tried = spark.sparkContext.accumulator(0)
+    matches = P.matches
+
+    def counted(q, *more):
+        def seen(x, path):  # of a project, so that it is asked after the join
+            tried.add(1)
+            return True
+
+        return F.when(F.udf(seen, "boolean")(q, F.col("path")), matches(q, *more))
+
+    monkeypatch.setattr(P, "matches", counted)
+    # all names share the first letters of the longest word of each query
+    known = [(i, f"p/{i:02}.md", f"thening{i} of thenable{i % 7}", None, None, None) for i in range(40)]
+    queries = [f"thening{i} able{j}" for i in range(40) for j in range(2)] + [f"thening{i} of able{i % 7}" for i in range(40)]
+    got = found(spark, known, queries)
+    for query, one in zip(queries, got, strict=True):
+        assert one == plainly(known, query), query
+    assert tried.value < 200
+
+
+def test_names_within_queries_and_letters(spark):
+    known = [(1, "p/b.md", "beta beta", None, ["x y"], ["q"]), (2, "p/a.md", "北京", None, None, None), (3, "p/aB-cD.md", None, None, None, None), (4, "a/zz.md", "y x y", None, None, None)]
+    queries = ["beta gamma", "y then x", "北京市 map", "acd", "zz z", "-", "bd", "dc", "x", "y q", "q x"]
+    want = [(1, "match"), (4, "match"), (2, "match"), (3, "subsequence"), (4, "match"), (3, "exact"), (3, "subsequence"), None, (4, "match"), (1, "match"), (1, "match")]
+    got = found(spark, known, queries)
+    for query, one, other in zip(queries, got, want, strict=True):
+        assert one == other, query
